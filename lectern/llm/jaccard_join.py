@@ -3,15 +3,18 @@
 Sets are distinct word shingles, hashed to 64 bits. Two sets link when ``100 * |x & y| >= percent * |x | y|``.
 
 * Equal sets collapse to one class; only its representative is joined, so copies cost nothing however many they are.
-* Index: each set enters the inverted lists of its prefix, the (1 - t) n + 1 rarest shingles under one global order
-  (shingles that a bounded sample shows to be frequent come last). A list is sorted by set size and cut into blocks of
-  sizes that a factor t spans: a set meets its own and the neighbouring block, and skips all others (index-level
-  skipping). Entries carry their position in their set, which bounds the overlap that a pair can still reach.
-* Answers: the first pass links each entry only to its predecessor and to its blocks' leaders, so a list of any length
-  gives a linear number of candidates. Verified links form components. In the second pass a set takes over the answer of
-  a highly similar set: pairs inside one component are known to be connected and are skipped; only lists that still hold
-  several components are joined, pair by pair, with their prefix overlaps counted, which bounds what is verified to
-  pairs that can reach the threshold (answer-level skipping).
+* Index: each set enters the inverted lists of its prefix, the (1 - t) n + 1 rarest shingles under one global order:
+  first by the frequency that their words suggest, and last those that a sample shows to be frequent themselves. Any
+  order gives the same links; this one keeps lists short. A list is sorted by set size and cut into blocks of sizes that
+  a factor t spans: a set meets its own and the neighbouring block, and skips all others (index-level skipping). Entries
+  carry their position in their set, which bounds the overlap that a pair can still reach.
+* Answers: the first pass links each entry only to its predecessor and to its blocks' leaders, the entries of smallest
+  position, so a list of any length gives a linear number of candidates. Verified links form components. In the second
+  pass a set takes over the answer of a highly similar set: pairs inside one component are known to be connected and are
+  skipped; only lists that still hold several components are joined, pair by pair, with their prefix overlaps counted,
+  which bounds what is verified to pairs that can reach the threshold (answer-level skipping).
+* Before texts are fetched to verify a pair, the sets' signatures are compared: counts of their hashes by low bits, about
+  four a bucket. The counts' differences are a lower bound of the symmetric difference, so no link is lost.
 
 No pair that could connect two components is left out, and no list or component is gathered in one place: lists are
 range-partitioned by (shingle, size, id), so long ones spread over several tasks.
@@ -37,8 +40,8 @@ from lectern.llm.shared import bitmap_of, components, in_bitmap, persisted
 
 #: Documents, at most about, whose shingles are counted to find frequent ones, and the count from which one is frequent.
 SAMPLE_DOCS, FREQUENT = 6000, 4
-#: Frequent shingles remembered, at most.
-DICTIONARY = 1 << 18
+#: Frequent shingles and words remembered, at most.
+DICTIONARY, VOCABULARY = 1 << 18, 1 << 16
 #: Word hashes kept by a worker before it starts anew.
 _WORDS = 1 << 19
 
@@ -61,18 +64,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(lowered: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text whose A-Z are lower-cased already."""
+def _shingles(lowered: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and of its shingles in order, repeats included. A-Z are lower-cased already."""
     found = lowered.split()  # on blank, \t, \n, \v, \f and \r, and nothing else
     if not found:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     lookup = _hashes
     h = np.fromiter([lookup[w] for w in found], dtype=np.uint64, count=len(found))
     span = min(words, len(found))
     out = np.full(len(h) - span + 1, np.uint64(span))
     for k in range(span):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - span + 1 + k])
-    return np.unique(out)
+    return h, out
+
+
+def shingle_set(lowered: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text whose A-Z are lower-cased already."""
+    return np.unique(_shingles(lowered, words)[1])
+
+
+def signature(s: np.ndarray) -> bytes | None:
+    """Counts of a set's hashes by their low bits, about four to eight a bucket; none if one doesn't fit a byte."""
+    buckets = 1 << max(4, (len(s) // 4).bit_length() - 1)
+    counts = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their signatures."""
+    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0)).sum())
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -94,8 +116,8 @@ def _span(percent: int) -> float:
     return max(-float(np.log(percent / 100)), 1e-6) * 1.000001
 
 
-def _frequent(docs: DataFrame, words: int, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of shingles that are frequent in a sample of documents."""
+def _frequent(docs: DataFrame, words: int, sample_docs: int) -> tuple[np.ndarray, ...]:
+    """Of a sample of documents: frequent shingles (sorted hashes, counts) and words (sorted hashes, log2 of shares)."""
     total = docs.count()
     share = min(1.0, sample_docs / max(total, 1))
     edge = int(share * (1 << 32))
@@ -103,47 +125,66 @@ def _frequent(docs: DataFrame, words: int, sample_docs: int) -> tuple[np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.encode().lower(), words) for t in batch["text"].to_pylist() if t]
-            if sets:
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": _signed(h), "n": n.astype(np.int64)})
-
-    table = (
-        drawn.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(DICTIONARY).toPandas()
-    )
-    h = table["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(h, kind="stable")
-    return h[order], table["n"].to_numpy(dtype=np.int64)[order]
-
-
-def _sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """A row a document: id, set size, fingerprint of the set, and the prefix as (rank class, shingle) in global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most DICTIONARY entries
+            both = [_shingles(t.encode().lower(), words) for t in batch["text"].to_pylist() if t]
+            for kind, arrays in enumerate(([np.unique(s) for _, s in both], [h for h, _ in both])):
+                if arrays:
+                    h, n = np.unique(np.concatenate(arrays), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(h), kind, dtype=np.int32), "h": _signed(h), "n": n.astype(np.int64)})
+
+    counted = persisted(drawn.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "counted")
+    out: list[np.ndarray] = []
+    for kind, most in ((0, DICTIONARY), (1, VOCABULARY)):
+        table = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "h").limit(most).toPandas()
+        h = table["h"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        out += [h[order], table["n"].to_numpy(dtype=np.int64)[order]]
+    shares = np.log2(out[3] / max(out[3].sum(), 1)) if len(out[3]) else out[3].astype(np.float64)
+    return out[0], out[1], out[2], shares
+
+
+def _ranks(h: np.ndarray, shingles: np.ndarray, first: np.ndarray, distinct: np.ndarray, words: int, frequent: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The place of a set's shingles in the global order, up to their hash: small for rare ones."""
+    known, counts, vocabulary, shares = frequent
+    log = np.full(len(h), -24.0)
+    if len(vocabulary):
+        k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        log = np.where(vocabulary[k] == h, shares[k], log)
+    span = len(h) - len(shingles) + 1
+    run = np.concatenate([[0.0], np.cumsum(log)])
+    expected = run[span:] - run[:-span]
+    rank = np.round(2 * (expected[first] + 24.0 * words)).astype(np.int64)
+    if len(known):
+        k = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        rank = np.where(known[k] == distinct, (1 << 20) + counts[k], rank)
+    return rank
+
+
+def _sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, ...]) -> DataFrame:
+    """A row a document: id, set size, fingerprint and signature of the set, and the prefix in global order."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most DICTIONARY and VOCABULARY entries
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sizes, prints, prefixes, classes = [], [], [], []
+                sizes, prints, signatures, prefixes = [], [], [], []
                 for text in batch["text"].to_pylist():
-                    s = shingle_set(text.encode().lower(), words) if text else np.zeros(0, dtype=np.uint64)
+                    h, every = _shingles(text.encode().lower() if text else b"", words)
+                    s, first = np.unique(every, return_index=True)
                     sizes.append(len(s))
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    rank = np.zeros(len(s), dtype=np.int64)
-                    if len(known) and len(s):
-                        k = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        rank = np.where(known[k] == s, counts[k], 0)
-                    first = np.argsort(rank, kind="stable")[: _prefix_length(len(s), percent) if len(s) else 0]
-                    prefixes.append(_signed(s[first]))
-                    classes.append(rank[first].astype(np.int32))
+                    signatures.append(signature(s))
+                    prefix = s[:0]
+                    if len(s):
+                        rank = _ranks(h, every, first, s, words, shared.value)
+                        prefix = s[np.argsort(rank, kind="stable")[: _prefix_length(len(s), percent)]]
+                    prefixes.append(_signed(prefix))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "print", "prefix", "classes"],
+                    [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["doc_id", "n", "print", "signature", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, print binary, prefix array<long>, classes array<int>")
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, print binary, signature binary, prefix array<long>")
 
 
 def _sweep(index: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +195,7 @@ def _sweep(index: DataFrame, percent: int) -> DataFrame:
         if not held:
             return
         table = pa.Table.from_batches(held)
-        t, n, node, pos, last = (table[c].to_numpy() for c in ("t", "n", "node", "pos", "last"))
+        t, n, node, pos = (table[c].to_numpy() for c in ("t", "n", "node", "pos"))
         new = np.concatenate([[True], t[1:] != t[:-1]])
         lists = np.cumsum(new) - 1
         size = np.bincount(lists)[lists]
@@ -162,9 +203,12 @@ def _sweep(index: DataFrame, percent: int) -> DataFrame:
         live = (size > 1) | (lists == 0) | (lists == lists[-1])
         block = np.floor(np.log(n) / _span(percent)).astype(np.int64)
         head = new | np.concatenate([[True], block[1:] != block[:-1]])
-        leader = np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))
-        before = np.concatenate([[0], leader[:-1]])[leader]  # leader of the block before, if in the same list
         here = np.arange(len(t))
+        blocks = np.cumsum(head) - 1
+        order = np.lexsort((here, pos, blocks))
+        leaders = order[np.searchsorted(blocks[order], np.arange(blocks[-1] + 1))]
+        leader = leaders[blocks]
+        before = leaders[np.maximum(blocks - 1, 0)]  # leader of the block before, if in the same list
         a = np.concatenate([here, here, here])
         b = np.concatenate([leader, before, np.maximum(here - 1, 0)])
         ok = (t[a] == t[b]) & (node[a] != node[b])
@@ -174,13 +218,27 @@ def _sweep(index: DataFrame, percent: int) -> DataFrame:
         a, b = node[a[ok]], node[b[ok]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (pairs[:, 0], pairs[:, 1])] + [pa.nulls(len(pairs), pa.int64())] * 4, ["a", "b", "t", "n", "pos", "last"]
+            [pa.array(x) for x in (pairs[:, 0], pairs[:, 1])] + [pa.nulls(len(pairs), pa.int64())] * 3, ["a", "b", "t", "n", "pos"]
         )
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node[live]), pa.nulls(int(live.sum()), pa.int64())] + [pa.array(x[live]) for x in (t, n, pos, last)], ["a", "b", "t", "n", "pos", "last"]
+            [pa.array(node[live]), pa.nulls(int(live.sum()), pa.int64())] + [pa.array(x[live]) for x in (t, n, pos)], ["a", "b", "t", "n", "pos"]
         )
 
-    return index.mapInArrow(sweep, "a long, b long, t long, n long, pos long, last long")
+    return index.mapInArrow(sweep, "a long, b long, t long, n long, pos long")
+
+
+def _plausible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures allow a link."""
+    one, two = (signatures.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}")) for k in "ab")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b["n_a"].to_numpy(), b["n_b"].to_numpy()
+            most = na + nb - 2 * _least_overlap(na, nb, percent)
+            kept = [k for k, (x, y, d) in enumerate(zip(b["s_a"].to_pylist(), b["s_b"].to_pylist(), most)) if x is None or y is None or apart(x, y) <= d]
+            yield b.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(weigh, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -229,29 +287,28 @@ def join_sets(docs: DataFrame, words: int = 3, percent: int = 90, sample_docs: i
     sets = persisted(_sets(docs, words, percent, frequent), "sets")
     classes = sets.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("node"))
     # rows of a representative; copies add nothing to the index
-    index = (
-        sets.where("n > 0").join(classes.select("node", F.col("print").alias("print_")), F.expr("doc_id = node and print = print_")).dropDuplicates(["node", "print"])
-        .select("node", "n", F.posexplode(F.arrays_zip("prefix", "classes")).alias("pos", "e"), F.size("prefix").alias("size"), F.element_at("classes", -1).alias("last_class"), F.element_at("prefix", -1).alias("last_shingle"))
-        .select(F.col("e.prefix").alias("t"), "n", "node", F.col("pos").cast("long").alias("pos"), F.col("last_class").cast("long").alias("last"))
-    )
+    distinct = sets.where("n > 0").join(classes.select("node", F.col("print").alias("print_")), F.expr("doc_id = node and print = print_")).dropDuplicates(["node", "print"])
+    signatures = distinct.select("node", "n", "signature")
+    index = distinct.select("node", "n", F.posexplode("prefix").alias("pos", "t")).select("t", "n", "node", F.col("pos").cast("long").alias("pos"))
     index = index.repartitionByRange("t", "n", "node").sortWithinPartitions("t", "n", "node")
     swept = persisted(_sweep(index, percent), "swept")
     first = swept.where("b is not null").select("a", "b").distinct()
+    first = persisted(_plausible(first, signatures, percent), "first")
     links = persisted(_verified(first, docs, words, percent), "links")
     known = components(links, "links-cc")
 
-    live = swept.where("b is null").select(F.col("a").alias("node"), "t", "n", "pos", "last")
+    live = swept.where("b is null").select(F.col("a").alias("node"), "t", "n", "pos")
     live = live.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     contested = live.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
     live = live.join(contested, "t").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.lit(_span(percent))))
     live = persisted(live, "live")
-    left = live.select("t", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "last", "c")], "block")
-    right = live.select("t", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "last", "c")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    left = live.select("t", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c")], "block")
+    right = live.select("t", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "c")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
     need = F.expr(f"-floor((-{percent}L * (n_a + n_b)) / {100 + percent}D)")
     # the larger set of a pair is at its own block, the smaller one at its own and the next
     met = (
         left.join(right, ["t", "block"])
-        .where("c_a <> c_b and (n_a > n_b or (n_a = n_b and node_a > node_b)) and n_b * 100L >= n_a * " + f"{percent}L")
+        .where(F.expr(f"c_a <> c_b and (n_a > n_b or (n_a = n_b and node_a > node_b)) and n_b * 100L >= n_a * {percent}L"))
         .where(F.lit(1) + F.least(F.expr("n_a - pos_a - 1"), F.expr("n_b - pos_b - 1")) >= need)
     )
     shared_prefix = met.groupBy("node_a", "node_b").agg(
@@ -260,9 +317,10 @@ def join_sets(docs: DataFrame, words: int = 3, percent: int = 90, sample_docs: i
     second = (
         shared_prefix.where(F.col("common") + F.least(F.expr("n_a - pos_a - 1"), F.expr("n_b - pos_b - 1")) >= need)
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .join(first, ["a", "b"], "left_anti")
     )
-    more = persisted(_verified(persisted(second, "second"), docs, words, percent), "more")
+    second = persisted(_plausible(second, signatures, percent), "second")
+    # of those, the ones that the first pass has verified already are done
+    more = persisted(_verified(second.join(first, ["a", "b"], "left_anti"), docs, words, percent), "more")
     both = components(links.unionByName(more), "all-cc")
     labelled = classes.join(both, "node", "left").select("print", "n", "node", F.coalesce("component", "node").alias("component"))
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "print").join(

@@ -8,16 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import jaccard_join, language_id, packing, pii_pseudonyms, quality_rules_ensemble
+from lectern.llm import (
+    curve_search,
+    gumbel_pieces,
+    jaccard_join,
+    language_id,
+    line_frequency,
+    packing,
+    pii_pseudonyms,
+    quality_rules_ensemble,
+    token_counts,
+    url_filter,
+)
 from lectern.llm.shared import held_out
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+#: (verdict, host, path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_frequency.clean(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(language_id.training_rows(docs))
@@ -25,10 +45,27 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op3_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel_pieces.sample_pieces(_table(spark, sf_dir, "documents"), PIECES, ids=False)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), PIECES)
+
+
+def op6_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality_rules_ensemble.fit(docs, labels.where(~held_out(F.col("doc_id"))))
@@ -48,8 +85,98 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op8_quality_classifier, op9_jaccard_join, op10_pii_pseudonyms)
+    f.__name__: f
+    for f in (
+        op1_line_frequency, op2_language_id, op3_gumbel_pieces, op4_best_fit_packing, op5_token_counts,
+        op6_curve_search, op7_url_filter, op8_quality_classifier, op9_jaccard_join, op10_pii_pseudonyms,
+    )
+}
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: DuckDB SQL for the queries that SQL can express. The others hold trained models, a tokenizer, keyed hashes or noise.
+ORACLES: dict[str, str] = {
+    "op1_line_frequency": rf"""
+        WITH d AS (
+            SELECT doc_id, source, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+        ), base AS (
+            SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+            FROM d
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS g
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)
+        ), twice AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+        ), repeats AS (
+            SELECT doc_id, sum(step) AS n_repeat_words
+            FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM twice) GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, source, text, trim(unnest(string_split(
+                regexp_replace(translate(lower(t), '123456789', '000000000'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') AS line
+            FROM d WHERE text IS NOT NULL
+        ), full_lines AS (
+            SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS w FROM lines WHERE line <> ''
+        ), frequent AS (
+            SELECT source, line FROM (SELECT DISTINCT source, line, text FROM full_lines) GROUP BY source, line HAVING count(*) > {line_frequency.MOST_DOCS}
+        ), removed AS (
+            SELECT l.doc_id, sum(l.w) AS all_w, coalesce(sum(l.w) FILTER (f.line IS NOT NULL), 0) AS gone_w
+            FROM full_lines l LEFT JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY l.doc_id
+        ), joined AS (
+            SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, all_w, gone_w
+            FROM base b LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < {line_frequency.LEAST_WORDS} OR 100 * n_repeat_words > {line_frequency.MOST_REPEATED} * n_words AS base_failed,
+            NOT (n_words < {line_frequency.LEAST_WORDS} OR 100 * n_repeat_words > {line_frequency.MOST_REPEATED} * n_words)
+                AND coalesce(100 * (all_w - gone_w) >= {line_frequency.LEAST_KEPT} * all_w, true) AS kept,
+            coalesce((n_words * gone_w) // nullif(all_w, 0), 0)::BIGINT AS removed_words
+        FROM joined
+    """,
+    "op6_curve_search": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda x, y: x + y) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
+    """,
+    "op7_url_filter": """
+        WITH parts AS (
+            SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), named AS (
+            SELECT page_id, translate(regexp_replace(rest, '(?s)[/?#].*', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_replace(regexp_replace(rest, '(?s)[?#].*', ''), '^[^/]*', '') AS path
+            FROM parts
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+            FROM named
+        )
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+    """,
+    "op9_jaccard_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
+        ), n AS (
+            SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id
+        ), links AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+            JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)
+        ), reach AS (
+            SELECT doc_id, doc_id AS root FROM w UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.root = links.a
+        )
+        SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(root) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY 1, 2
+    """,
 }
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
