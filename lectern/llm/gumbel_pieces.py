@@ -25,20 +25,23 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Samples a text, and the seed, of the production query.
 SAMPLES, SEED = 4, 2024
-#: Distinct units whose lattices a worker keeps; texts and characters walked together.
-_UNITS, _TEXTS, _CHARS = 120_000, 512, 1 << 22
-_UNIT = regex.compile(r" *[^ ]+| +$")
+#: States of lattices that a worker keeps; texts and characters walked together.
+_STATES, _TEXTS, _CHARS = 700_000, 1024, 1 << 22
+#: Characters of a unit from which on it is kept whole.
+_LONG = 24
+_UNIT = re.compile("▁*[^▁]+|▁+$")
 #: Log-mass, relative to its node's, below which a set of paths is beyond the precision of the rest's sum.
 _NEGLIGIBLE = 45.0
 _G = 0x9E3779B97F4A7C15
@@ -54,8 +57,7 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.text: list[bytes] = []
         self.byte: list[int] = [0] * 256
-        self.trie: list[dict] = [{}]
-        self.at: list[tuple[int, float] | None] = [None]
+        self.trie: dict = {}  # character -> [further characters, piece or -1, weight]
         first = None
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -67,110 +69,159 @@ class Vocabulary:
             self.text.append(piece.encode() if usable else b"")
             if usable:
                 first = i if first is None else first
-                node = 0
+                node, entry = self.trie, None
                 for c in piece:
-                    if c not in self.trie[node]:
-                        self.trie[node][c] = len(self.trie)
-                        self.trie.append({})
-                        self.at.append(None)
-                    node = self.trie[node][c]
-                self.at[node] = (i, 1 / (i - first + 10))
+                    entry = node.setdefault(c, [{}, -1, 0.0])
+                    node = entry[0]
+                entry[1], entry[2] = i, 1 / (i - first + 10)
         self.rare = 1 / (10 * model.get_piece_size())  # the weight of a byte
         self.lengths = np.array([len(x) for x in self.text], dtype=np.int64)
 
-    def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each position: (end, ids, weight) of the pieces from there; bytes where no piece of one character is."""
-        out = []
-        trie, at = self.trie, self.at
-        for i in range(len(unit)):
-            node, here, single = 0, [], False
-            for j in range(i, len(unit)):
-                node = trie[node].get(unit[j])
-                if node is None:
-                    break
-                if at[node] is not None:
-                    here.append((j + 1, (at[node][0],), at[node][1]))
-                    single |= j == i
-            if not single:
-                raw = unit[i].encode()
-                here.append((i + 1, tuple(self.byte[b] for b in raw), self.rare ** len(raw)))
-            out.append(here)
-        return out
-
     def decode(self, ids) -> str:
         """The text of pieces: space marks become spaces, and the dummy prefix goes."""
         return b"".join(self.text[i] for i in ids).decode().replace("▁", " ")[1:]
 
 
 class Lattices:
-    """Normalised lattices of distinct units, side by side in arrays: states, and edges with conditional probabilities."""
+    """Normalised lattices of distinct units, side by side: states, and edges with conditional probabilities.
+
+    What can follow a position, and how likely, depends only on the rest of the unit, so a state is a rest, and units
+    with equal endings share their states. Long units are kept whole, in logarithms.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {}  # unit -> its first state
-        self.first: list[int] = []  # state -> its first edge
-        self.cum: list[float] = []
-        self.log: list[float] = []
-        self.to: list[int] = []  # edge -> state, -1 at the unit's end
-        self.sequences: dict[tuple[int, ...], int] = {}
-        self.ids: list[int] = []  # edge -> sequence number
-        self.frozen = False
+        self.states: dict[str, int] = {}  # rest of a unit -> state; all its own rests are there too
+        self.whole: dict[str, int] = {}  # long unit -> its first state
+        self.beta = array("d")  # state -> weight of all ways on from it
+        self.first = array("q")  # state -> its first edge
+        self.mass = array("d")  # edge -> weight of the ways over it
+        self.to = array("q")  # edge -> state, -1 at the unit's end
+        self.ids = array("q")  # edge -> piece, or the number of a character's bytes after all pieces
+        self.sequences: dict[bytes, int] = {}
+        self.a_first = np.zeros(0, dtype=np.int64)
+        self.a_mass, self.a_to, self.a_ids = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.first)
 
     def state_of(self, unit: str) -> int:
-        found = self.units.get(unit)
+        found = self.states.get(unit)
         return found if found is not None else self._add(unit)
 
+    def _bytes(self, c: str) -> tuple[int, float]:
+        """The number and the weight of a character's bytes, for one that is no piece."""
+        raw = c.encode()
+        return len(self.vocabulary.text) + self.sequences.setdefault(raw, len(self.sequences)), self.vocabulary.rare ** len(raw)
+
+    def _pieces(self, unit: str, i: int) -> list[tuple[int, int, float]]:
+        """(end, piece, weight) of the pieces from position ``i``."""
+        node, here = self.vocabulary.trie, []
+        for j in range(i, len(unit)):
+            entry = node.get(unit[j])
+            if entry is None:
+                break
+            node, piece, weight = entry
+            if piece >= 0:
+                here.append((j + 1, piece, weight))
+        if not here or here[0][0] > i + 1:
+            here.append((i + 1, *self._bytes(unit[i])))
+        return here
+
     def _add(self, unit: str) -> int:
-        edges = self.vocabulary.edges(unit)
-        n = len(edges)
-        base = len(self.first)
-        short = n <= 24
-        # backward sums; in logarithms where products could underflow
-        beta = [0.0] * n + [1.0 if short else 0.0]
-        first, cum, log, to, ids, sequences = self.first, self.cum, self.log, self.to, self.ids, self.sequences
+        n = len(unit)
+        if n > _LONG:
+            return self._add_whole(unit)
+        states, betas, first, mass, to, ids = self.states, self.beta, self.first, self.mass, self.to, self.ids
+        known = 1
+        while known < n and unit[known:] not in states:
+            known += 1
+        at, beta = [-1] * (n + 1), [1.0] * (n + 1)
+        for i in range(known, n):
+            at[i] = states[unit[i:]]
+            beta[i] = betas[at[i]]
+        trie = self.vocabulary.trie
+        for i in range(known - 1, -1, -1):
+            start, total, node = len(mass), 0.0, trie
+            for j in range(i, n):
+                entry = node.get(unit[j])
+                if entry is None:
+                    break
+                node, piece, weight = entry
+                if piece >= 0:
+                    weight *= beta[j + 1]
+                    total += weight
+                    mass.append(weight)
+                    to.append(at[j + 1])
+                    ids.append(piece)
+            if unit[i] not in trie or trie[unit[i]][1] < 0:
+                piece, weight = self._bytes(unit[i])
+                weight *= beta[i + 1]
+                total += weight
+                mass.append(weight)
+                to.append(at[i + 1])
+                ids.append(piece)
+            if total < 1e-250:  # products of many rare bytes
+                del mass[start:], to[start:], ids[start:]
+                return self._add_whole(unit)
+            at[i], beta[i] = len(first), total
+            states[unit[i:]] = len(first)
+            betas.append(total)
+            first.append(start)
+        return at[0]
+
+    def _add_whole(self, unit: str) -> int:
+        found = self.whole.get(unit)
+        if found is not None:
+            return found
+        n, base = len(unit), len(self.first)
+        pieces = [self._pieces(unit, i) for i in range(n)]
+        beta = [0.0] * (n + 1)
         shares: list[list[float]] = [[]] * n
         for i in range(n - 1, -1, -1):
-            if short:
-                mass = [w * beta[j] for j, _, w in edges[i]]
-                beta[i] = total = sum(mass)
-                shares[i] = [m / total for m in mass]
-            else:
-                mass = [math.log(w) + beta[j] for j, _, w in edges[i]]
-                top = max(mass)
-                beta[i] = top + math.log(sum(math.exp(m - top) for m in mass))
-                shares[i] = [1.0] if len(mass) == 1 else [math.exp(m - beta[i]) for m in mass]
+            log = [math.log(w) + beta[j] for j, _, w in pieces[i]]
+            top = max(log)
+            beta[i] = top + math.log(sum(math.exp(x - top) for x in log))
+            shares[i] = [1.0] if len(log) == 1 else [math.exp(x - beta[i]) for x in log]
         for i in range(n):
-            first.append(len(cum))
-            run = 0.0
-            ranked = zip(shares[i], edges[i]) if len(edges[i]) == 1 else sorted(zip(shares[i], edges[i]), reverse=True)
-            for share, (j, seq, _) in ranked:
-                run += share
-                cum.append(run)
-                log.append(math.log(share) if share > 0 else -750.0)
-                to.append(base + j if j < n else -1)
-                ids.append(sequences.setdefault(seq, len(sequences)))
-            cum[-1] = 2.0  # the last edge takes what rounding leaves
-        self.units[unit] = base
-        self.frozen = False
+            self.beta.append(1.0)
+            self.first.append(len(self.mass))
+            for share, (j, sequence, _) in zip(shares[i], pieces[i]):
+                self.mass.append(share)
+                self.to.append(base + j if j < n else -1)
+                self.ids.append(sequence)
+        if n < 4 * _LONG:
+            self.whole[unit] = base
         return base
 
     def freeze(self) -> None:
-        if not self.frozen:
-            self.a_first = np.array(self.first, dtype=np.int64)
-            self.a_cum, self.a_log = np.array(self.cum), np.array(self.log)
-            self.a_to, self.a_ids = np.array(self.to, dtype=np.int64), np.array(self.ids, dtype=np.int64)
-            listed = list(self.sequences)
-            self.s_len = np.array([len(x) for x in listed], dtype=np.int64)
-            self.s_start = np.cumsum(self.s_len) - self.s_len
-            self.s_flat = np.array([y for x in listed for y in x], dtype=np.int64)
-            self.frozen = True
+        """Brings the arrays up to what was added; a state's last cumulative share takes what rounding leaves."""
+        if len(self.a_mass) == len(self.mass):
+            return
+        new = [np.array(x) for x in (self.first, self.mass, self.to, self.ids, self.beta)]
+        self.a_first, mass, self.a_to, self.a_ids, beta = new
+        self.a_end = np.append(self.a_first[1:], len(mass))
+        degree = self.a_end - self.a_first
+        self.a_mass = mass / np.repeat(beta, degree)
+        with np.errstate(divide="ignore"):
+            self.a_log = np.maximum(np.log(self.a_mass), -750.0)
+        run = np.cumsum(self.a_mass)
+        self.a_cum = run - np.repeat(np.concatenate([[0.0], run])[self.a_first], degree)
+        self.a_cum[self.a_end - 1] = 2.0
+        pieces = len(self.vocabulary.text)
+        spelled = [[self.vocabulary.byte[b] for b in raw] for raw in self.sequences]
+        self.s_len = np.array([1] * pieces + [len(x) for x in spelled], dtype=np.int64)
+        self.s_start = np.cumsum(self.s_len) - self.s_len
+        self.s_flat = np.array([*range(pieces), *(y for x in spelled for y in x)], dtype=np.int64)
 
     def outgoing(self, state: int) -> range:
-        end = self.first[state + 1] if state + 1 < len(self.first) else len(self.cum)
-        return range(self.first[state], end)
+        return range(int(self.a_first[state]), int(self.a_end[state]))
+
+    def log_of(self, path: tuple[int, ...]) -> float:
+        return float(sum(self.a_log[e] for e in path))
 
 
 def _mix(x):
@@ -246,7 +297,7 @@ class _Node:
         m = int(np.searchsorted(-rel, _NEGLIGIBLE, side="right"))
         share = np.exp(rel[:m]) * -np.expm1(leaf.log[start : start + m])
         if m:
-            out = -math.expm1(leaf.log[start]) if len(barred) == 1 else 1 - sum(math.exp(sum(lattices.log[e] for e in path)) for path in barred)
+            out = -math.expm1(leaf.log[start]) if len(barred) == 1 else 1 - sum(math.exp(lattices.log_of(path)) for path in barred)
             share[0] = out if out > 1e-12 else 0.0
             for v in skip:
                 if start <= v < start + m:
@@ -259,13 +310,13 @@ class _Node:
 def _other_path(lattices: Lattices, state: int, barred: tuple, key: tuple) -> tuple[int, ...]:
     """A path through one unit drawn from those that aren't barred."""
     path: list[int] = []
-    live = [(list(p), math.exp(sum(lattices.log[e] for e in p))) for p in barred]
+    live = [(list(p), math.exp(lattices.log_of(p))) for p in barred]
     step = 0
     while state >= 0:
         out = lattices.outgoing(state)
         weights = []
         for e in out:
-            w = math.exp(lattices.log[e]) - sum(mass for p, mass in live if p[step] == e)
+            w = float(lattices.a_mass[e]) - sum(mass for p, mass in live if p[step] == e)
             weights.append(w if w > 1e-15 else 0.0)
         total = sum(weights)
         u = _uniform(*key, step) * total
@@ -277,9 +328,9 @@ def _other_path(lattices: Lattices, state: int, barred: tuple, key: tuple) -> tu
                 if u < 0:
                     break
         path.append(chosen)
-        state = lattices.to[chosen]
+        state = int(lattices.a_to[chosen])
         # what is barred below, given the way taken
-        p_edge = math.exp(lattices.log[chosen])
+        p_edge = float(lattices.a_mass[chosen])
         live = [(p, mass / p_edge) for p, mass in live if p[step] == chosen and len(p) > step + 1]
         step += 1
     return tuple(path)
@@ -292,10 +343,10 @@ def _below(log_mass: float, bound: float, u: float) -> float:
 
 def sample_texts(lattices: Lattices, keys: list[int], texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` samples in falling order: (ids, log_prob, gumbel, inclusion)."""
-    if len(lattices.units) > _UNITS:
+    if len(lattices) > _STATES:
         lattices.clear()
     state_of = lattices.state_of
-    states = [np.array([state_of(u.replace(" ", "▁")) for u in _UNIT.findall(" " + t)], dtype=np.int64) for t in texts]
+    states = [np.array([state_of(u) for u in _UNIT.findall("▁" + t.replace(" ", "▁"))], dtype=np.int64) for t in texts]
     lattices.freeze()
     rows = [_mix1((_mix1(seed & _WORD) * _G + key) & _WORD) for key in keys]
 
@@ -345,7 +396,7 @@ def sample_texts(lattices: Lattices, keys: list[int], texts: list[str], k: int,
             leaf = _Leaf(
                 np.concatenate([base.edges[: base.start[v]], np.array(path, dtype=np.int64), edges]),
                 np.concatenate([np.diff(base.start)[:v], [len(path)], counts]),
-                np.concatenate([base.log[:v], [sum(lattices.log[e] for e in path)], log]),
+                np.concatenate([base.log[:v], [lattices.log_of(path)], log]),
             )
             found[d].append((leaf, g))
             push(d, _Node(lattices, base, node.start, node.barred, node.skip | {v}), g, j, 1)
