@@ -1,0 +1,248 @@
+"""Chunking, text functions, HTML blocks and boundaries over documents, pages and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import text as tx
+from lectern.functions import values as vl
+from lectern.operators import chunking, scope, selection
+from lectern.plans.registry import CHUNKS, query
+from lectern.sources import blocks as bl
+from lectern.sources.tables import TOKEN, chunk_id, line_chunks, table, token_count, values
+
+_SMOOTH = """
+    d AS (SELECT label AS doc_id, vec_id AS unit, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM embeddings),
+    r AS (SELECT doc_id, unit, CASE WHEN u IS NOT NULL THEN round_even(greatest(0.0, least(2.0, 1 - list_reduce(list_transform(range(1, 65), lambda i: v[i] * u[i]), lambda x, y: x + y))) * 1000000, 0)::BIGINT END AS distance FROM d),
+    n AS (SELECT *, lag(distance) OVER w AS a, lead(distance) OVER w AS b FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY unit)),
+    s AS (SELECT doc_id, unit, distance, CASE WHEN distance IS NOT NULL THEN (2 * (2 * distance + coalesce(a, 0) + coalesce(b, 0)) + 2 + (a IS NOT NULL)::INT + (b IS NOT NULL)::INT) // (2 * (2 + (a IS NOT NULL)::INT + (b IS NOT NULL)::INT)) END AS smooth FROM n)"""
+
+
+def _smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label, by id, stand for the units of a document."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("unit"), "embedding")
+    return chunking.smoothed(chunking.adjacent_distances(rows)).select("doc_id", "unit", "distance", "smooth")
+
+
+@query(f"WITH {_SMOOTH} SELECT doc_id, unit, distance, smooth FROM s")
+def smoothed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of neighbouring units in integers, smoothed."""
+    return _smoothed(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_SMOOTH}, l AS (SELECT doc_id, list_sort(list(smooth)) AS v FROM s WHERE smooth IS NOT NULL GROUP BY 1),
+    m AS (SELECT doc_id, v, (2 * (v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) + 2) // 4 AS middle FROM l),
+    a AS (SELECT *, list_sort(list_transform(v, lambda x: abs(x - middle))) AS w FROM m)
+    SELECT doc_id, len(v)::INTEGER AS n, middle, (2 * (w[(len(v) - 1) // 2 + 1] + w[len(v) // 2 + 1]) + 2) // 4 AS mad, middle + (2 * (w[(len(v) - 1) // 2 + 1] + w[len(v) // 2 + 1]) + 2) // 4 AS threshold FROM a"""
+)
+def mad_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6, AG16."""
+    return chunking.thresholds(_smoothed(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{TOKEN.replace(chr(92) + 's', chr(92) + 's')}'))::BIGINT AS tokens FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared token counter over whole documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH c AS ({CHUNKS}) SELECT doc_id * 1000000 + ordinal AS chunk_id, sha256('v1:' || doc_id || ':' || ordinal || ':' || sha256(content)) AS chunk_key FROM c")
+def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys derived from profile, document, ordinal and content hash."""
+    c = line_chunks(table(spark, sf_dir, "documents"))
+    return c.select(chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), vl.sha("v1", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"), F.sha2("content", 256)).alias("chunk_key"))
+
+
+@query(f"WITH c AS ({CHUNKS}) SELECT doc_id, sha256('units' || chr(10) || string_agg(sha256(content) || chr(10), '' ORDER BY sha256(content))) AS plan_hash FROM c GROUP BY 1")
+def plan_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash over a document's units."""
+    c = line_chunks(table(spark, sf_dir, "documents"))
+    return c.groupBy("doc_id").agg(vl.list_hash("units", F.collect_list(F.sha2("content", 256))).alias("plan_hash"))
+
+
+@query(
+    f"""WITH c AS ({CHUNKS}), r AS (SELECT doc_id, ordinal, CASE WHEN lag(ordinal) OVER w IS NULL THEN NULL WHEN lag(ordinal // 12) OVER w <> ordinal // 12 THEN 'surface'
+        WHEN contains(content, '|') OR lag(contains(content, '|')) OVER w THEN 'table' WHEN length(content) < 20 THEN 'section' END AS reason FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))
+    SELECT * FROM r"""
+)
+def boundary_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: lines as blocks: twelve a surface, pipes make tables, short ones headings."""
+    kind = F.when(F.instr("content", "|") > 0, "table").when(F.length("content") < 20, "heading").otherwise("text")
+    c = line_chunks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", F.expr("ordinal div 12").alias("surface"), kind.alias("kind"), F.lit("s").alias("section"))
+    return chunking.boundary_reasons(c).select("doc_id", "ordinal", "reason")
+
+
+@query(
+    f"""WITH c AS ({CHUNKS}), k AS (SELECT doc_id, ordinal, content, CASE WHEN length(content) < 40 THEN (CASE WHEN length(content) < 15 THEN 1 ELSE 2 END) END AS depth FROM c),
+    o AS (SELECT *, max(CASE WHEN depth = 1 THEN ordinal END) OVER w AS o1, max(CASE WHEN depth = 2 THEN ordinal END) OVER w AS o2 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))
+    SELECT o.doc_id, o.ordinal, concat_ws(' > ', a.content, CASE WHEN o2 > coalesce(o1, -1) THEN b.content END) AS section FROM o LEFT JOIN c a ON a.doc_id = o.doc_id AND a.ordinal = o1 LEFT JOIN c b ON b.doc_id = o.doc_id AND b.ordinal = o2"""
+)
+def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines as headings of two depths; each line's headings above."""
+    depth = F.when(F.length("content") < 15, 1).when(F.length("content") < 40, 2)
+    c = line_chunks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", F.col("content").alias("text"), depth.alias("depth"), F.when(depth.isNotNull(), "heading").otherwise("text").alias("kind"))
+    return chunking.section_paths(c, deepest=2).select("doc_id", "ordinal", "section")
+
+
+@query(
+    """SELECT item_id, doc_id, (strpos(d.text, b.text) - 1)::INTEGER AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INTEGER AS end_ FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0"""
+)
+def exact_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as quotes, found by their first five words and then checked exactly."""
+    def head(c):
+        return F.regexp_extract(c, r"^\s*((?:\S+\s+){4}\S+)", 1)
+
+    asks = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.regexp_replace(head(F.col("text")), r"\s+", " ").alias("head"))
+    # windows of five words meet the quotes' heads by an equi-join; only heads that exist are kept. A quote may start in
+    # the middle of a word, so the head leaves out the first word
+    key = F.array_join(F.slice(F.split("head", " "), 2, 4), " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
+    grams = docs.where(F.size("w") >= 4).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
+    met = grams.join(F.broadcast(asks.select("item_id", "quote", key.alias("key")).limit(10_000)), "key")  # a bounded query set
+    hit = met.withColumn("at", tx.span_of(F.col("quote"), F.col("text"))).where("at is not null").dropDuplicates(["item_id", "doc_id"])
+    return hit.select("item_id", "doc_id", F.col("at.start").alias("start"), F.col("at.end").alias("end_"))
+
+
+@query(
+    """SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS flat, len(list_filter(string_split_regex(text, '\\n[ \\t]*\\n+'), lambda x: trim(x, ' ') <> ''))::INTEGER AS records FROM benchmark"""
+)
+def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space collapsed, and records between blank lines."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.btrim(F.regexp_replace("text", r"\s+", " ")).alias("flat"), F.size(tx.records(F.col("text"))).alias("records"))
+
+
+@query("""SELECT * FROM (VALUES (1, ['figure:2a', 'figure:3'], 'What is it”'), (2, [], 'Why'''), (3, ['figure:1.2'], 'Was ist')) t(id, labels, question)""")
+def labels_and_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure labels and normalised questions of literal rows."""
+    rows = values(spark, [(1, "See Fig. 3 and Figure 2A; fig 3.", " 1) “What  is it”。"), (2, "2023 and 7", "- 'Why';"), (3, "图 1.2 和", "(3) Was ist.")], "id int, a string, b string")
+    return rows.select("id", tx.figure_labels(F.col("a")).alias("labels"), tx.question(F.col("b")).alias("question"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'a_b'), (2, NULL), (3, 'x')) t(id, q)""")
+def or_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An OR query, which is null when empty."""
+    rows = values(spark, [(1, ["a_b"]), (2, []), (3, ["x", "x"])], "id int, l array<string>")
+    return rows.select("id", F.regexp_replace(tx.or_query(F.col("l")), "'", "").alias("q"))
+
+
+@query("""SELECT * FROM (VALUES (1, '{"b":"2"}', true, '{"a":"1","b":"3"}', false), (2, '{}', false, '{"b":"3"}', false)) t(id, without_a, has_b, merged, contains_b3)""")
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S33, S34, AG6: keys dropped, objects merged, containment."""
+    rows = values(spark, [(1, '{"a":"1","b":"2"}'), (2, "{}")], "id int, j string")
+    j = F.col("j")
+    return rows.select("id", vl.without_key(j, "a").alias("without_a"), vl.has_key(j, "b").alias("has_b"), vl.merged(j, F.lit('{"b":"3"}')).alias("merged"), vl.contains(j, F.lit('{"b":"3"}')).alias("contains_b3"))
+
+
+@query("""SELECT * FROM (VALUES ('1 + 2 * 3', '7', NULL), ('1 / 4', '0.25', NULL), ('(1.10 - 0.1) * -2', '-2', NULL), ('1 / 0', NULL, 'division_by_zero'), ('2 ** 3', NULL, 'unsupported'), ('1 +', NULL, 'invalid'), ('', NULL, 'empty')) t(expression, value, reject)""")
+def decimal_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact decimal arithmetic and its reject reasons."""
+    rows = values(spark, [("1 + 2 * 3",), ("1 / 4",), ("(1.10 - 0.1) * -2",), ("1 / 0",), ("2 ** 3",), ("1 +",), ("",)], "expression string")
+    return rows.select("expression", vl.calculated(F.col("expression")).alias("c")).select("expression", "c.value", "c.reject")
+
+
+@query("""SELECT n, least(30 * pow(2, n - 1), 3600)::BIGINT AS delay, (2 * n + 7) // 14 AS ratio FROM range(1, 12) t(n)""")
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S23, S21."""
+    n = spark.range(1, 12).withColumnRenamed("id", "n")
+    return n.select("n", vl.backoff_seconds(F.col("n"), 30, 3600).alias("delay"), vl.half_up_ratio(F.col("n"), F.lit(7)).alias("ratio"))
+
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC9, C19: typed blocks of every page."""
+    return bl.blocks(table(spark, sf_dir, "pages"))
+
+
+@query()
+def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of every document."""
+    return chunking.units(table(spark, sf_dir, "documents"))
+
+
+@query()
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of every document chunked; a hash of its text stands for a unit's distance."""
+    u = chunking.units(table(spark, sf_dir, "documents"))
+    rows = u.withColumn("smooth", F.pmod(F.xxhash64("text"), F.lit(chunking.QUANTUM))).withColumn("hard", F.lit(False))
+    return chunking.semantic_chunks(rows)
+
+
+@query()
+def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every page folded into chunks under their headings."""
+    b = bl.blocks(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
+    b = b.withColumn("kind", F.when(F.col("kind") == "heading", "heading").otherwise("text"))
+    return chunking.structural_chunks(chunking.section_paths(b))
+
+
+@query()
+def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents' lines with pipes as tables, in parts with a repeated header."""
+    c = line_chunks(table(spark, sf_dir, "documents")).where(F.instr("content", "|") > 0).select("doc_id", "ordinal", tx.compact_row(F.col("content")).alias("row"))
+    t = c.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "row"))), lambda x: x["row"]), "\n").alias("text"))
+    return chunking.structural_chunks(t.select("doc_id", F.lit(0).alias("ordinal"), F.lit("table").alias("kind"), F.lit("").alias("section"), "text"))
+
+
+@query(
+    f"""WITH c AS ({CHUNKS}) SELECT doc_id, min(ordinal // 10)::BIGINT AS first_page, max(ordinal // 10)::BIGINT AS last_page, CASE WHEN count(*) = 1 THEN min(ordinal) END AS bbox FROM c GROUP BY 1"""
+)
+def source_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of a document's chunks; a box only of single ones."""
+    c = line_chunks(table(spark, sf_dir, "documents")).select("doc_id", F.expr("ordinal div 10").alias("page"), F.col("ordinal").alias("bbox"))
+    return chunking.located(c, "doc_id")
+
+
+@query(
+    f"""WITH c AS ({CHUNKS}), b AS (SELECT doc_id, ordinal * 2 AS position, 'c' || ordinal AS key, 0 AS o FROM c UNION ALL SELECT doc_id, ordinal * 3, 'a' || ordinal, 1 FROM c WHERE ordinal < 3)
+    SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY position, o, key) - 1 AS ordinal, CASE o WHEN 0 THEN 'chunk:' ELSE 'figure:' END || key AS group_key FROM b"""
+)
+def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and assets in reading order."""
+    c = line_chunks(table(spark, sf_dir, "documents"))
+    one = c.select("doc_id", (F.col("ordinal") * 2).alias("position"), F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("key"))
+    two = c.where("ordinal < 3").select("doc_id", (F.col("ordinal") * 3).alias("position"), F.concat(F.lit("a"), F.col("ordinal").cast("string")).alias("key"))
+    return chunking.evidence_units(one, two).select("doc_id", "key", F.col("ordinal").cast("long").alias("ordinal"), "group_key")
+
+
+@query(
+    f"""WITH c AS ({CHUNKS}), a AS (SELECT doc_id, ordinal, ordinal // 20 AS page, contains(content, '|') AS t FROM c)
+    SELECT x.doc_id AS doc_id, x.ordinal AS anchor, y.ordinal AS ordinal FROM a x JOIN a y ON x.doc_id = y.doc_id AND abs(x.ordinal - y.ordinal) = 1 WHERE y.t AND abs(x.page - y.page) <= 1 AND x.ordinal // 7 = y.ordinal // 7"""
+)
+def table_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF9, J7, R11: tables beside a chunk, under the same heading and at most a page away."""
+    kind = F.when(F.instr("content", "|") > 0, "table").otherwise("text")
+    c = line_chunks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", kind.alias("kind"), F.expr("ordinal div 20").alias("page"), F.array(F.expr("ordinal div 7").cast("string")).alias("path"), F.lit("pdf").alias("surface"))
+    near = scope.neighbours(c.select("doc_id", "ordinal"), c)
+    anchor = c.select("doc_id", F.col("ordinal").alias("anchor"), *[F.col(x).alias(f"a_{x}") for x in ("kind", "page", "path", "surface")])
+    both = near.join(anchor, ["doc_id", "anchor"])
+    fits = scope.table_neighbour(*[F.col(x) for x in ("a_kind", "kind", "a_path", "path", "a_page", "page", "a_surface", "surface")])
+    return both.where(fits).select("doc_id", "anchor", "ordinal")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'same_group' WHEN p_brand = 'Brand#11' OR p_type LIKE '%STEEL%' THEN 'named' WHEN p_retailprice > 1500 THEN 'near' END AS relation FROM part"""
+)
+def relation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that holds."""
+    p = table(spark, sf_dir, "part")
+    rules = [("same_group", F.col("p_size") < 10), ("named", (F.col("p_brand") == "Brand#11") | F.col("p_type").like("%STEEL%")), ("near", F.col("p_retailprice") > 1500)]
+    return p.select("p_partkey", scope.first_matching_rule(p, rules).alias("relation"))
+
+
+@query()
+def composite_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's labelled sections, cut to 40 and 20 tokens."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.composite([("Text", F.col("text"), 40), ("Source", F.col("source"), 20)]).alias("text"))
+
+
+@query()
+def fair_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of each source's documents taken in turn under 96,000 characters a language."""
+    d = table(spark, sf_dir, "documents")
+    lang = F.pmod(F.crc32("lang"), F.lit(1000))
+    units = d.select(lang.alias("query_id"), F.pmod(F.crc32("source"), F.lit(100_000)).alias("group_id"), F.col("doc_id").alias("unit"), F.length("text").cast("long").alias("chars"))
+    return selection.fair_shares(units)
