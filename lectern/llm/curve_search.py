@@ -89,6 +89,34 @@ class Curves:
         return hilbert_keys(np.clip(grid, 0, (1 << BITS) - 1).astype(np.int64), BITS)
 
 
+class _Best:
+    """The ``k`` best of each query so far; what is held grows with the queries met, not with the candidates."""
+
+    def __init__(self, k: int):
+        self.k, self.size, self.due = k, 0, 1 << 18
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, found, score))
+        self.size += len(query)
+        if self.size > self.due:
+            self.parts = [self.reduced()]
+            self.size = len(self.parts[0][0])
+            self.due = max(self.due, 2 * self.size)
+
+    def reduced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        query, found, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        new = np.ones(len(query), dtype=bool)  # orderings may have met the same vector
+        new[1:] = (query[1:] != query[:-1]) | (found[1:] != found[:-1]) | (score[1:] != score[:-1])
+        query, found, score = query[new], found[new], score[new]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        return query[keep], found[keep], score[keep]
+
+
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
     flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten()
     return np.asarray(flat, dtype=np.float64).reshape(-1, length)
@@ -206,8 +234,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     )
 
     def near(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a block's vectors come first; its queries follow in batches
+        # a block's vectors come first; its queries follow in batches. A task has many blocks of a query's window, and
+        # returns the best of all of them
         block_of, base, ids, owners = None, [], [], []
+        best = _Best(k)
         for b in groups:
             where = b["ordering"].to_numpy().astype(np.int64) << 40 | b["block"].to_numpy()
             asks = np.asarray(b["query_id"].is_valid())
@@ -247,10 +277,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                     row, col = row[keep], col[keep]
                     # component by component in order, so that equal vectors score equally to the last bit
                     exact = np.cumsum(asked_[row] * stored_[owner[col]], axis=1)[:, -1] if len(row) else np.zeros(0)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(id_[col]), pa.array(exact)], ["query_id", "vec_id", "score"])
+                    best.add(q[row], id_[col], exact)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.reduced()], ["query_id", "vec_id", "score"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartitionByRange(4 * parts, "ordering", "block").sortWithinPartitions("ordering", "block", F.col("query_id").isNotNull())
+    dealt = both.repartitionByRange(2 * parts, "ordering", "block").sortWithinPartitions("ordering", "block", F.col("query_id").isNotNull())
     found = dealt.mapInArrow(near, "query_id long, vec_id long, score double")
     scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
