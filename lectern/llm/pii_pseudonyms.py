@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import fresh
+
 ROUNDS = 10
 #: For tests and examples; production sets its own in the session's ``lectern.pii.key``.
 EXAMPLE_KEY = "example key, replace it"
@@ -176,23 +178,23 @@ def _judged(key: str, invert: bool) -> str:
 def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text", invert: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``pii_kinds``, the kinds replaced in order (in place of a column of that name)."""
     key = key or docs.sparkSession.conf.get("lectern.pii.key", None) or EXAMPLE_KEY
-    names = [c for c in docs.columns if c != "pii_kinds"]
-    inner = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("body_"))
-    done = inner.withColumn("pii_", F.expr(pseudonym_sql(key, invert)))
+    names = [c for c in docs.columns if c.lower() != "pii_kinds"]
+    name = fresh(docs, "pii")
+    done = docs.select(*[F.col(f"`{c}`") for c in names], F.expr(pseudonym_sql(key, invert, f"`{text}`")).alias(name))
     return done.select(
-        *[F.col("pii_.text").alias(text) if c == text else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.col("pii_.kinds"), F.expr("cast(array() as array<string>)")).alias("pii_kinds"),
+        *[F.col(f"{name}.text").alias(text) if c == text else F.col(f"`{c}`") for c in names],
+        F.coalesce(F.col(f"{name}.kinds"), F.expr("cast(array() as array<string>)")).alias("pii_kinds"),
     )
 
 
-def pseudonym_sql(key: str, invert: bool = False) -> str:
-    """SQL over a column ``body_``: a struct of the text with pseudonyms and of the kinds replaced, in order."""
+def pseudonym_sql(key: str, invert: bool = False, text: str = "text") -> str:
+    """SQL over a text column: a struct of the text with pseudonyms and of the kinds replaced, in order."""
     pattern = _quoted(_PATTERN)
     pieces = f"split(x.b, {pattern}, -1)"
     values = "transform(x.m, (m, i) -> coalesce(j[i].value, m))"
     whole = f"array_join(zip_with({pieces}, {values}, (a, b) -> concat(a, coalesce(b, ''))), '')"
-    return f"""if(body_ is null, null,
-      get(transform(array(named_struct('m', regexp_extract_all(body_, {pattern}, 0), 'b', body_)), x ->
+    return f"""if({text} is null, null,
+      get(transform(array(named_struct('m', regexp_extract_all({text}, {pattern}, 0), 'b', {text})), x ->
         if(size(x.m) = 0, named_struct('text', x.b, 'kinds', cast(array() as array<string>)),
           get(transform(array(transform(x.m, m -> {_judged(key, invert)})), j -> named_struct(
             'text', {whole}, 'kinds', transform(filter(j, y -> y is not null), y -> y.kind))), 0))), 0))"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
@@ -80,8 +80,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii_pseudonyms.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii_kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii_pseudonyms.KINDS]
-    return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), *counts)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
+    return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), *map(count, pii_pseudonyms.KINDS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
