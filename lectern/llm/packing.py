@@ -21,6 +21,7 @@ packed repeatedly; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import persisted
+from lectern.llm.shared import persisted, small_batches
 
 CAPACITY = 1024
 END = 2
@@ -49,9 +50,6 @@ def encoder(vocabulary: str):
         import base64
         import os
 
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(vocabulary)
         ranks_file = os.path.splitext(vocabulary)[0] + ".tiktoken"
         fast = None
         if os.path.exists(ranks_file):
@@ -61,6 +59,13 @@ def encoder(vocabulary: str):
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            del ranks
+
+        @functools.cache
+        def slow():
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(vocabulary)
 
         def encode(text: str) -> np.ndarray:
             if fast is not None and _SPECIAL not in text:
@@ -68,7 +73,7 @@ def encoder(vocabulary: str):
                     return fast.encode_to_numpy(text, disallowed_special=())
                 except Exception:  # the pattern library gives up on some very long runs
                     pass
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(slow().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
         _encoders[vocabulary] = encode
     return _encoders[vocabulary]
@@ -159,6 +164,7 @@ def supersteps(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Packs ``docs`` (doc_id, text): a row a piece with sequence_id and offset, gapless within each sequence."""
+    small_batches(docs.sparkSession)
     cutup = persisted(pieces(docs, vocabulary, capacity, end, with_ids), "pieces")
     per_task = cutup.groupBy("task", "length").agg(F.count("*").alias("n"))
     bases = per_task.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n"))

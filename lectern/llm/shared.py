@@ -36,6 +36,18 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Rows of an Arrow batch for operators that pass whole texts to Python: their memory grows with it.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Has whole texts reach Python in smaller batches, unless the session sets a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables that ``persisted`` wrote and that nothing reads any more."""
     for table in tables:
@@ -89,9 +101,12 @@ def in_bitmap(ids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def columns_only(df: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns; extra ones, whatever they are called, never meet the names used inside an operator."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def chunks(values: list, size: int) -> Iterator[list]:

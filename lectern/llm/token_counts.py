@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lectern.llm.shared import small_batches
+
 _BASIC = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")
 #: Words remembered by a worker.
 _CACHE = 1 << 19
@@ -136,4 +138,5 @@ def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
             columns = list(zip(*found)) if found else [()] * 3
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_words long, n_tokens long, n_unknown long")
