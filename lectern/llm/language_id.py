@@ -16,7 +16,6 @@ every row; ties go to the alphabetically first language. Rows are independent, s
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import chunks, held_out
+from lectern.llm.shared import chunks, fresh, held_out, small_batches
 
 UNDETERMINED = "und"
 #: Labelled rows used to fit, at most, for each language: the bound of the training sample.
@@ -38,7 +37,7 @@ CONTEXTS, CONTEXT_COUNT = 6000, 6
 #: Bytes given a symbol of their own; rarer ones share one symbol and pay for telling them apart.
 SYMBOLS = 120
 #: Bytes scored at a time; longer texts go in pieces that carry the context over.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -49,16 +48,6 @@ class PpmModel:
     state: np.ndarray  # (symbols of three bytes) -> state
     cost: np.ndarray  # [state * symbols + symbol, language] -> bits
 
-    def dump(self) -> bytes:
-        buffer = io.BytesIO()
-        np.savez(buffer, languages=np.array(self.languages, dtype=object).astype("U"), symbol=self.symbol, state=self.state, cost=self.cost)
-        return buffer.getvalue()
-
-    @staticmethod
-    def load(raw: bytes) -> PpmModel:
-        with np.load(io.BytesIO(raw)) as x:
-            return PpmModel([str(v) for v in x["languages"]], x["symbol"], x["state"], x["cost"])
-
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Bits of ``data`` under each language."""
         return self.batch_code_lengths([data])[0]
@@ -121,25 +110,27 @@ def _tables(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
     for gram, n in grams.values():
         seen += np.bincount((gram & 255).astype(np.int64), weights=n, minlength=256)
     own = [b for b in np.argsort(-seen, kind="stable") if seen[b] > 0][: SYMBOLS - 1]
-    symbol = np.full(256, len(own), dtype=np.int64)
+    symbol = np.full(256, len(own), dtype=np.int32)
     symbol[own] = np.arange(len(own))
     n = len(own) + 1
     others = max(1, 256 - len(own))
     keys: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     total3 = np.zeros(n**3)
     for lang, (gram, count) in grams.items():
-        part = [symbol[(gram >> s) & 255] for s in (24, 16, 8, 0)]
+        part = [symbol[(gram >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)]
         keys[lang] = (((part[0] * n + part[1]) * n + part[2]) * n + part[3], count.astype(np.float64))
         total3 += np.bincount(keys[lang][0] // n, weights=count, minlength=n**3)
     ranked = np.argsort(-total3, kind="stable")[:CONTEXTS]
     long_contexts = np.sort(ranked[total3[ranked] >= CONTEXT_COUNT])
     # states: 0 the empty context, then one byte, two bytes, and the kept contexts of three
-    state = np.tile(1 + n + np.arange(n * n, dtype=np.int64), n)
+    state = np.tile(1 + n + np.arange(n * n, dtype=np.int32), n)
     state[long_contexts] = 1 + n + n * n + np.arange(len(long_contexts))
     cost = np.empty((len(languages), (1 + n + n * n + len(long_contexts)) * n), dtype=np.float32)
 
     def blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         """Rows of probabilities of a context's next byte, from its counts and the shorter context's probabilities."""
+        if len(counts) > 1024:  # in parts, for the driver's memory
+            return np.concatenate([blend(counts[a : a + 1024], shorter[a : a + 1024]) for a in range(0, len(counts), 1024)])
         total = counts.sum(axis=1, keepdims=True)
         kinds = (counts > 0).sum(axis=1, keepdims=True)
         ruled_out = np.where(counts > 0, shorter, 0).sum(axis=1, keepdims=True)
@@ -173,7 +164,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> PpmM
     draw = F.xxhash64(F.col("doc_id"), F.lit(17))
     languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not languages:
-        return PpmModel([], np.zeros(256, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((0, 1), dtype=np.float32))
+        return PpmModel([], np.zeros(256, dtype=np.int32), np.zeros(1, dtype=np.int32), np.zeros((0, 1), dtype=np.float32))
     # the draw's threshold comes from ids alone; texts are read once it is known
     nth = Window.partitionBy("lang").orderBy("draw")
     edge = (
@@ -186,11 +177,13 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> PpmM
     for r in edge.collect():  # one row a language
         kept = kept | ((F.col("lang") == r["lang"]) & (F.col("draw") <= r["edge"]))
     grams: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    table = _counts(sample.where(kept)).toPandas()  # bounded by the sample
-    for lang, part in table.groupby("lang", sort=True):
-        grams[str(lang)] = (part["gram"].to_numpy(dtype=np.int64), part["n"].to_numpy(dtype=np.int64))
+    table = _counts(sample.where(kept)).toArrow()  # bounded by the sample
+    names = table["lang"].combine_chunks().dictionary_encode()
+    code, gram, count = names.indices.to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy()
+    for k, lang in enumerate(names.dictionary.to_pylist()):
+        grams[lang] = (gram[code == k], count[code == k])
     if not grams:
-        return PpmModel([], np.zeros(256, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((0, 1), dtype=np.float32))
+        return PpmModel([], np.zeros(256, dtype=np.int32), np.zeros(1, dtype=np.int32), np.zeros((0, 1), dtype=np.float32))
     return _tables(grams)
 
 
@@ -209,11 +202,11 @@ def score_texts(model: PpmModel, texts: list[str | None]) -> tuple[list[str], li
 
 def predict(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` added (in place of columns of those names)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.dump())  # bounded by CONTEXTS, SYMBOLS and LANGUAGES
+    spark = small_batches(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)  # bounded by CONTEXTS, SYMBOLS and LANGUAGES
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ready = PpmModel.load(shared.value)
+        ready = shared.value
         for texts in batches:
             names, scores = [], []
             for part in chunks(texts.to_pylist(), 512):
@@ -223,10 +216,10 @@ def predict(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "lang_score"])
 
     judge = F.arrow_udf(score, "lang_pred string, lang_score double")
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], judge(F.col(f"`{text}`")).alias("judged_")).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("judged_.lang_pred"), F.col("judged_.lang_score")
-    )
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    name = fresh(docs, "judged")
+    judged = docs.select(*kept, judge(F.col(f"`{text}`")).alias(name))
+    return judged.select(*kept, F.col(f"{name}.lang_pred"), F.col(f"{name}.lang_score"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
