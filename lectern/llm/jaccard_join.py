@@ -4,15 +4,15 @@ Sets are distinct word shingles, hashed to 64 bits. Two sets link when ``100 * |
 
 * Equal sets collapse to one class; only its representative is joined, so copies cost nothing however many they are.
 * Index: each set enters the inverted lists of its prefix, the (1 - t) n + 1 rarest shingles under one global order:
-  first by the frequency that their words suggest, and last those that a sample shows to be frequent themselves. Any
+  first by the frequency that their words suggest, and last those that are frequent among the rarest shingles of a share of all documents. Any
   order gives the same links; this one keeps lists short. A list is sorted by set size and cut into blocks of sizes that
   a factor t spans: a set meets its own and the neighbouring block, and skips all others (index-level skipping). Entries
   carry their position in their set, which bounds the overlap that a pair can still reach.
 * Answers: the first pass links each entry only to its predecessor and to its blocks' leaders, the entries of smallest
   position, so a list of any length gives a linear number of candidates. Verified links form components. In the second
   pass a set takes over the answer of a highly similar set: pairs inside one component are known to be connected and are
-  skipped; only lists that still hold several components are joined, pair by pair, with their prefix overlaps counted,
-  which bounds what is verified to pairs that can reach the threshold (answer-level skipping).
+  skipped; only lists that still hold several components are joined, pair by pair, where positions
+  leave room for the overlap that a link needs (answer-level skipping).
 * Before texts are fetched to verify a pair, the sets' signatures are compared: counts of their hashes by low bits, about
   four a bucket. The counts' differences are a lower bound of the symmetric difference, so no link is lost.
 
@@ -36,14 +36,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import bitmap_of, components, in_bitmap, persisted
+from lectern.llm.shared import bitmap_of, components, in_bitmap, persisted, small_batches
 
-#: Documents, at most about, whose shingles are counted to find frequent ones, and the count from which one is frequent.
-SAMPLE_DOCS, FREQUENT = 6000, 4
+#: One document in so many has its rarest shingles (twice its prefix) counted; from this count on a shingle is frequent.
+COUNTED, FREQUENT = 4, 4
+#: Documents, at most about, whose words are counted.
+SAMPLE_DOCS = 6000
 #: Frequent shingles and words remembered, at most.
 DICTIONARY, VOCABULARY = 1 << 18, 1 << 16
 #: Word hashes kept by a worker before it starts anew.
-_WORDS = 1 << 19
+_WORDS = 1 << 17
 
 
 class _Hashes(dict):
@@ -116,30 +118,53 @@ def _span(percent: int) -> float:
     return max(-float(np.log(percent / 100)), 1e-6) * 1.000001
 
 
-def _frequent(docs: DataFrame, words: int, sample_docs: int) -> tuple[np.ndarray, ...]:
-    """Of a sample of documents: frequent shingles (sorted hashes, counts) and words (sorted hashes, log2 of shares)."""
+def _vocabulary(docs: DataFrame, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sample of documents: frequent words (sorted hashes, log2 of shares)."""
     total = docs.count()
-    share = min(1.0, sample_docs / max(total, 1))
-    edge = int(share * (1 << 32))
+    edge = int(min(1.0, sample_docs / max(total, 1)) * (1 << 32))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 32)) < edge)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [_shingles(t.encode().lower(), words) for t in batch["text"].to_pylist() if t]
-            for kind, arrays in enumerate(([np.unique(s) for _, s in both], [h for h, _ in both])):
-                if arrays:
-                    h, n = np.unique(np.concatenate(arrays), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(h), kind, dtype=np.int32), "h": _signed(h), "n": n.astype(np.int64)})
-
-    counted = persisted(drawn.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "counted")
-    out: list[np.ndarray] = []
-    for kind, most in ((0, DICTIONARY), (1, VOCABULARY)):
-        table = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "h").limit(most).toPandas()
-        h = table["h"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        out += [h[order], table["n"].to_numpy(dtype=np.int64)[order]]
-    shares = np.log2(out[3] / max(out[3].sum(), 1)) if len(out[3]) else out[3].astype(np.float64)
-    return out[0], out[1], out[2], shares
+            found = [_shingles(t.encode().lower(), 1)[0] for t in batch["text"].to_pylist() if t]
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"h": _signed(h), "n": n.astype(np.int64)})
+
+    table = drawn.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(VOCABULARY).toArrow()
+    h, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(h, kind="stable")
+    return h[order], np.log2(n[order] / max(n.sum(), 1))
+
+
+def _frequent(docs: DataFrame, words: int, percent: int, vocabulary: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles (sorted hashes, counts) among the rarest ones of a fixed share of all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch["text"].to_pylist():
+                if text:
+                    s, rank = _ordered(text, words, (*none, *shared.value))
+                    found.append(s[np.argsort(rank, kind="stable")[: 2 * _prefix_length(len(s), percent)]])
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"h": _signed(h), "n": n.astype(np.int64)})
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(COUNTED)) == 0)
+    table = drawn.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(DICTIONARY).toArrow()
+    h, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(h, kind="stable")
+    return h[order], n[order]
+
+
+def _ordered(text: str, words: int, frequent: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's set, sorted, and the rank of each shingle in the global order."""
+    h, every = _shingles(text.encode().lower(), words)
+    s, first = np.unique(every, return_index=True)
+    return s, _ranks(h, every, first, s, words, frequent) if len(s) else np.zeros(0, dtype=np.int64)
 
 
 def _ranks(h: np.ndarray, shingles: np.ndarray, first: np.ndarray, distinct: np.ndarray, words: int, frequent: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -169,14 +194,12 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray,
                 batch = whole.slice(at, 256)
                 sizes, prints, signatures, prefixes = [], [], [], []
                 for text in batch["text"].to_pylist():
-                    h, every = _shingles(text.encode().lower() if text else b"", words)
-                    s, first = np.unique(every, return_index=True)
+                    s, rank = _ordered(text or "", words, shared.value)
                     sizes.append(len(s))
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     signatures.append(signature(s))
                     prefix = s[:0]
                     if len(s):
-                        rank = _ranks(h, every, first, s, words, shared.value)
                         prefix = s[np.argsort(rank, kind="stable")[: _prefix_length(len(s), percent)]]
                     prefixes.append(_signed(prefix))
                 yield pa.RecordBatch.from_arrays(
@@ -282,8 +305,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 def join_sets(docs: DataFrame, words: int = 3, percent: int = 90, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, and representative, the smallest id of its class."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    frequent = _frequent(docs, words, sample_docs)
+    vocabulary = _vocabulary(docs, sample_docs)
+    frequent = (*_frequent(docs, words, percent, vocabulary), *vocabulary)
     sets = persisted(_sets(docs, words, percent, frequent), "sets")
     classes = sets.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("node"))
     # rows of a representative; copies add nothing to the index
@@ -299,25 +324,22 @@ def join_sets(docs: DataFrame, words: int = 3, percent: int = 90, sample_docs: i
 
     live = swept.where("b is null").select(F.col("a").alias("node"), "t", "n", "pos")
     live = live.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    contested = live.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    live = live.join(contested, "t").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.lit(_span(percent))))
-    live = persisted(live, "live")
-    left = live.select("t", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c")], "block")
-    right = live.select("t", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "c")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    # lists with equal members (a passage's shingles, mostly) are one list; an entry keeps its first position
+    lists = live.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("of"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("lo < hi")
+    lists = persisted(lists.select("t", F.xxhash64("of", "members", "lo", "hi").alias("list")), "lists")
+    live = live.join(lists, "t").groupBy("list", "node", "n", "c").agg(F.min("pos").alias("pos"))
+    live = persisted(live.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.lit(_span(percent)))), "live")
+    left = live.select("list", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c")], "block")
+    right = live.select("list", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "c")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    # the larger set of a pair is at its own block, the smaller one at its own and the next; a pair that links passes at
+    # the list of its first common shingle, whose positions leave room for the overlap that it needs
     need = F.expr(f"-floor((-{percent}L * (n_a + n_b)) / {100 + percent}D)")
-    # the larger set of a pair is at its own block, the smaller one at its own and the next
     met = (
-        left.join(right, ["t", "block"])
+        left.join(right, ["list", "block"])
         .where(F.expr(f"c_a <> c_b and (n_a > n_b or (n_a = n_b and node_a > node_b)) and n_b * 100L >= n_a * {percent}L"))
         .where(F.lit(1) + F.least(F.expr("n_a - pos_a - 1"), F.expr("n_b - pos_b - 1")) >= need)
     )
-    shared_prefix = met.groupBy("node_a", "node_b").agg(
-        F.count("*").alias("common"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
-    )
-    second = (
-        shared_prefix.where(F.col("common") + F.least(F.expr("n_a - pos_a - 1"), F.expr("n_b - pos_b - 1")) >= need)
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    )
+    second = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     second = persisted(_plausible(second, signatures, percent), "second")
     # of those, the ones that the first pass has verified already are done
     more = persisted(_verified(second.join(first, ["a", "b"], "left_anti"), docs, words, percent), "more")
