@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import small_batches
+
 #: Samples a text, and the seed, of the production query.
 SAMPLES, SEED = 4, 2024
 #: States of lattices that a worker keeps; texts and characters walked together.
@@ -75,7 +77,8 @@ class Vocabulary:
                     node = entry[0]
                 entry[1], entry[2] = i, 1 / (i - first + 10)
         self.rare = 1 / (10 * model.get_piece_size())  # the weight of a byte
-        self.lengths = np.array([len(x) for x in self.text], dtype=np.int64)
+        # bytes of a piece in the text, where a space mark is a space
+        self.lengths = np.array([len(x) - 2 * x.count("▁".encode()) for x in self.text], dtype=np.int64)
 
     def decode(self, ids) -> str:
         """The text of pieces: space marks become spaces, and the dummy prefix goes."""
@@ -419,11 +422,16 @@ def sample_texts(lattices: Lattices, keys: list[int], texts: list[str], k: int,
 _ready: dict[str, Lattices] = {}
 
 
-def _samples(batches: Iterator[pa.RecordBatch], model_file: str, k: int, seed: int):
-    """(key, samples) of each row of each batch."""
+def lattices_of(model_file: str) -> Lattices:
+    """A vocabulary's lattices, kept by each worker."""
     if model_file not in _ready:
         _ready[model_file] = Lattices(Vocabulary(model_file))
-    lattices = _ready[model_file]
+    return _ready[model_file]
+
+
+def _samples(batches: Iterator[pa.RecordBatch], model_file: str, k: int, seed: int):
+    """(key, samples) of each row of each batch."""
+    lattices = lattices_of(model_file)
 
     def flush(keys: list, texts: list):
         with_text = [i for i, t in enumerate(texts) if t is not None]
@@ -458,9 +466,7 @@ def sample_pieces(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()] + [pa.list_(pa.int32())] * ids
         names = [c.split()[0] for c in schema.split(", ")]
         for rows in _samples(batches, model_file, k, seed):
-            vocabulary = _ready[model_file].vocabulary
-            lengths = vocabulary.lengths - 2 * np.array([x.count("▁".encode()) for x in vocabulary.text]) if not hasattr(vocabulary, "shown") else vocabulary.shown
-            vocabulary.shown = lengths
+            lengths = lattices_of(model_file).vocabulary.lengths
             columns: list[list] = [[] for _ in names]
             for key, samples in rows:
                 for n, (piece_ids, p, g, inclusion) in enumerate(samples, 1):
@@ -469,6 +475,7 @@ def sample_pieces(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(build, schema)
 
 
@@ -476,9 +483,7 @@ def decode_pieces(rows: DataFrame, model_file: str, ids: str = "ids", out: str =
     """``rows`` with the text that ``ids`` decode to (null ids: null) in place of a column of that name."""
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if model_file not in _ready:
-            _ready[model_file] = Lattices(Vocabulary(model_file))
-        vocabulary = _ready[model_file].vocabulary
+        vocabulary = lattices_of(model_file).vocabulary
         for batch in batches:
             yield pa.array([None if x is None else vocabulary.decode(x) for x in batch.to_pylist()], pa.string())
 
