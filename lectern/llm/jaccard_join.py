@@ -4,7 +4,7 @@ Sets are distinct word shingles, hashed to 64 bits. Two sets link when ``100 * |
 
 * Equal sets collapse to one class; only its representative is joined, so copies cost nothing however many they are.
 * Index: each set enters the inverted lists of its prefix, the (1 - t) n + 1 rarest shingles under one global order:
-  first by the frequency that their words suggest, and last those that are frequent among the rarest shingles of a share of all documents. Any
+  first by the frequency that their words suggest, and last those that are frequent themselves in a share of all documents. Any
   order gives the same links; this one keeps lists short. A list is sorted by set size and cut into blocks of sizes that
   a factor t spans: a set meets its own and the neighbouring block, and skips all others (index-level skipping). Entries
   carry their position in their set, which bounds the overlap that a pair can still reach.
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.shared import bitmap_of, components, in_bitmap, persisted, small_batches
 
-#: One document in so many has its rarest shingles (twice its prefix) counted; from this count on a shingle is frequent.
-COUNTED, FREQUENT = 4, 4
+#: One document in so many has its shingles counted; from this count on a shingle is frequent.
+COUNTED, FREQUENT = 8, 4
 #: Documents, at most about, whose words are counted.
 SAMPLE_DOCS = 6000
 #: Frequent shingles and words remembered, at most.
@@ -137,24 +137,19 @@ def _vocabulary(docs: DataFrame, sample_docs: int) -> tuple[np.ndarray, np.ndarr
     return h[order], np.log2(n[order] / max(n.sum(), 1))
 
 
-def _frequent(docs: DataFrame, words: int, percent: int, vocabulary: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles (sorted hashes, counts) among the rarest ones of a fixed share of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles (sorted hashes, counts) of a fixed share of all documents, so that a shingle's number of
+    documents from which it is known to be frequent does not grow with the table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch["text"].to_pylist():
-                if text:
-                    s, rank = _ordered(text, words, (*none, *shared.value))
-                    found.append(s[np.argsort(rank, kind="stable")[: 2 * _prefix_length(len(s), percent)]])
+            found = [shingle_set(t.encode().lower(), words) for t in batch["text"].to_pylist() if t]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": _signed(h), "n": n.astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"h": _signed(h), "n": n.astype(np.int32)})
 
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(COUNTED)) == 0)
-    table = drawn.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(DICTIONARY).toArrow()
+    table = drawn.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(DICTIONARY).toArrow()
     h, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(h, kind="stable")
     return h[order], n[order]
@@ -308,7 +303,7 @@ def join_sets(docs: DataFrame, words: int = 3, percent: int = 90, sample_docs: i
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     vocabulary = _vocabulary(docs, sample_docs)
-    frequent = (*_frequent(docs, words, percent, vocabulary), *vocabulary)
+    frequent = (*_frequent(docs, words), *vocabulary)
     sets = persisted(_sets(docs, words, percent, frequent), "sets")
     classes = sets.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("node"))
     # rows of a representative; copies add nothing to the index
