@@ -294,35 +294,54 @@ class _Node:
 
     __slots__ = ("barred", "barred_p", "leaf", "log_mass", "share", "skip", "start")
 
-    def __init__(self, lattices: Lattices, leaf: _Leaf, start: int, barred: tuple, skip: frozenset):
+    def __init__(self, lattices: Lattices, states: np.ndarray, leaf: _Leaf, start: int, barred: tuple, skip: frozenset):
         self.leaf, self.start, self.barred, self.skip = leaf, start, barred, skip
         rel = leaf.prefix[start:-1] - leaf.prefix[start]
         m = int(np.searchsorted(-rel, _NEGLIGIBLE, side="right"))
-        share = np.exp(rel[:m]) * -np.expm1(leaf.log[start : start + m])
+        away = -np.expm1(leaf.log[start : start + m])
+        for i in np.flatnonzero(away < 1e-9):  # too near to 1 for a difference
+            away[i] = _outside(lattices, int(states[start + i]), (leaf.unit(start + int(i)),))
         if m:
-            out = -math.expm1(leaf.log[start]) if len(barred) == 1 else 1 - sum(math.exp(lattices.log_of(path)) for path in barred)
-            share[0] = out if out > 1e-12 else 0.0
-            for v in skip:
-                if start <= v < start + m:
-                    share[v - start] = 0.0
+            away[0] = _outside(lattices, int(states[start]), barred)
+        share = np.exp(rel[:m]) * away
+        for v in skip:
+            if start <= v < start + m:
+                share[v - start] = 0.0
         self.share = share
         total = float(share.sum())
         self.log_mass = leaf.prefix[start] + math.log(total) if total > 0 else -math.inf
 
 
+#: Edges of a path from which on the mass outside it is a plain difference; such units have many other paths.
+_DEEP = 300
+
+
+def _outside(lattices: Lattices, state: int, barred) -> float:
+    """The probability of the paths from a state that aren't barred, summed without cancellation."""
+    if max(map(len, barred)) > _DEEP:
+        return max(0.0, 1 - sum(math.exp(lattices.log_of(path)) for path in barred))
+    total = 0.0
+    for e in lattices.outgoing(state):
+        through = [p[1:] for p in barred if p[0] == e]
+        if not through:
+            total += float(lattices.a_mass[e])
+        elif lattices.a_to[e] >= 0:
+            total += float(lattices.a_mass[e]) * _outside(lattices, int(lattices.a_to[e]), through)
+    return total
+
+
 def _other_path(lattices: Lattices, state: int, barred: tuple, key: tuple) -> tuple[int, ...]:
     """A path through one unit drawn from those that aren't barred."""
     path: list[int] = []
-    live = [(list(p), math.exp(lattices.log_of(p))) for p in barred]
-    step = 0
+    live = list(barred)
     while state >= 0:
         out = lattices.outgoing(state)
         weights = []
         for e in out:
-            w = float(lattices.a_mass[e]) - sum(mass for p, mass in live if p[step] == e)
-            weights.append(w if w > 1e-15 else 0.0)
-        total = sum(weights)
-        u = _uniform(*key, step) * total
+            through = [p[1:] for p in live if p[0] == e]
+            to = int(lattices.a_to[e])
+            weights.append(float(lattices.a_mass[e]) * (1.0 if not through else _outside(lattices, to, through) if to >= 0 else 0.0))
+        u = _uniform(*key, len(path)) * sum(weights)
         chosen = out[-1]
         for e, w in zip(out, weights):
             u -= w
@@ -332,10 +351,7 @@ def _other_path(lattices: Lattices, state: int, barred: tuple, key: tuple) -> tu
                     break
         path.append(chosen)
         state = int(lattices.a_to[chosen])
-        # what is barred below, given the way taken
-        p_edge = float(lattices.a_mass[chosen])
-        live = [(p, mass / p_edge) for p, mass in live if p[step] == chosen and len(p) > step + 1]
-        step += 1
+        live = [p[1:] for p in live if p[0] == chosen]
     return tuple(path)
 
 
@@ -377,7 +393,7 @@ def sample_texts(lattices: Lattices, keys: list[int], texts: list[str], k: int,
         leaf = _Leaf(edges, counts, log)
         g = -math.log(-math.log(_uniform(rows[d], 5)))
         found[d].append((leaf, g))
-        push(d, _Node(lattices, leaf, 0, (leaf.unit(0),), frozenset()), g, 0, 0)
+        push(d, _Node(lattices, states[d], leaf, 0, (leaf.unit(0),), frozenset()), g, 0, 0)
     for j in range(1, k):
         popped = []
         for d, heap in enumerate(heaps):
@@ -402,8 +418,8 @@ def sample_texts(lattices: Lattices, keys: list[int], texts: list[str], k: int,
                 np.concatenate([base.log[:v], [lattices.log_of(path)], log]),
             )
             found[d].append((leaf, g))
-            push(d, _Node(lattices, base, node.start, node.barred, node.skip | {v}), g, j, 1)
-            push(d, _Node(lattices, leaf, v, (*barred, path), frozenset()), g, j, 2)
+            push(d, _Node(lattices, states[d], base, node.start, node.barred, node.skip | {v}), g, j, 1)
+            push(d, _Node(lattices, states[d], leaf, v, (*barred, path), frozenset()), g, j, 2)
     out = []
     for d in range(len(texts)):
         after = -heaps[d][0][0] if heaps[d] else -math.inf

@@ -8,8 +8,8 @@ punctuation they are written with, and the holder of the key can invert it.
 ========  =============================================  =============================================================
 kind      validated by                                   permuted over
 ========  =============================================  =============================================================
-card      12 to 19 digits, Luhn check                    all digits but the last; the check digit is computed anew
-phone     North American plan (area, exchange 2-9)       800 areas x 8,000,000 exchange lines; the prefix stays
+card      13 to 19 digits, Luhn check                    all digits but the last; the check digit is computed anew
+phone     10 digits in groups of 3, 3 and 4, also with +1  10^5 x 10^5; the prefix stays
 ssn       area, group and serial in range                898 areas x 989,901 group serials
 ip        four octets up to 255                          2^16 x 2^16
 date      a day of 1900 to 2099 (y-m-d, m/d/y, d.m.y)    17 x 4297 days
@@ -17,7 +17,8 @@ email     name and domain                                the name: letters as le
 secret    key word and value, or cloud key form          the value: hex as hex, else letters and digits as themselves
 ========  =============================================  =============================================================
 
-What does not validate stays as it is, and so does all other text, byte for byte. Defined results: null text stays
+Formats are kept, but a number of an address may get wider or narrower, and of dates written without leading zeros only
+the day is kept linked, not how it is written. What does not validate stays as it is, and so does all other text, byte for byte. Defined results: null text stays
 null with zero counts, empty text stays empty; repeated rows get equal results.
 """
 
@@ -47,7 +48,9 @@ _PATTERN = "|".join(
         r"(?<![0-9A-Za-z/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z/])",
         r"(?<![0-9A-Za-z.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-        r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){11,18}+(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])[0-9]{4}([ \-])[0-9]{4}(?:\1[0-9]{4})\1[0-9]{1,4}(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5}(?![0-9A-Za-z])",
     )
 )
 
@@ -94,10 +97,11 @@ def _card(key: str, invert: bool) -> str:
 
 
 def _phone(key: str, invert: bool) -> str:
+    # all ten digits: numbers with areas that the plan doesn't assign are as telling as others
     t = "substr(d, -10, 10)"
-    pair = _feistel(key, "phone", f"cast(substr({t}, 1, 3) as int) - 200", f"(cast(substr({t}, 4, 3) as int) - 200) * 10000 + cast(substr({t}, 7, 4) as int)", "800", "8000000", invert)
-    new = "concat(substr(d, 1, length(d) - 10), cast(p.l + 200 as string), cast(p.r div 10000 + 200 as string), lpad(cast(p.r % 10000 as string), 4, '0'))"
-    return f"if(d rlike '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$', {_let('p', pair, _let('n', new, _refill('m', 'n')))}, null)"
+    pair = _feistel(key, "phone", f"substr({t}, 1, 5)", f"substr({t}, 6, 5)", "100000", "100000", invert)
+    new = "concat(substr(d, 1, length(d) - 10), lpad(cast(p.l as string), 5, '0'), lpad(cast(p.r as string), 5, '0'))"
+    return f"if(d rlike '^1?[0-9]{{10}}$', {_let('p', pair, _let('n', new, _refill('m', 'n')))}, null)"
 
 
 def _ssn(key: str, invert: bool) -> str:

@@ -56,7 +56,7 @@ def test_code_lengths_against_ppm_by_the_book(spark, monkeypatch):
 
 def test_single_language_equals_the_book(spark, monkeypatch):
     monkeypatch.setattr(language_id, "CONTEXT_COUNT", 1)
-    texts = ["the cat sat on the mat", "a cat and a hat", "that is that"]
+    texts = ["the cat\nsat on the mat", "a cat and a hat", "that is that"]
     model = language_id.fit(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
     for text in (b"the hat", b"cat cat", b"zebra!", b"", "café".encode()):
         assert abs(model.code_lengths(text)[0] - brute_code_length(text, [t.encode() for t in texts])) < 1e-2
