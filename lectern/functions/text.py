@@ -144,7 +144,7 @@ def figure_labels(text: Column) -> Column:
 def question(text: Column) -> Column:
     """White space collapsed; list numbers, quotes around and stops at the end removed."""
     flat = F.btrim(F.regexp_replace(text, r"\s+", " "))
-    bare = F.regexp_replace(flat, r"^(?:[-*•]\s*|\(?[0-9]{1,3}[.)、:：]\s*)", "")
+    bare = F.regexp_replace(flat, r"^(?:[0-9]+[.)、]|[-*•])\s+", "")
     bare = F.btrim(bare, F.lit(" \"'“”‘’"))
     return F.btrim(F.rtrim(bare, F.lit("。.;；")))
 

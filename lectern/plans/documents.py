@@ -114,7 +114,7 @@ def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.btrim(F.regexp_replace("text", r"\s+", " ")).alias("flat"), F.size(tx.records(F.col("text"))).alias("records"))
 
 
-@query("""SELECT * FROM (VALUES (1, ['figure:2a', 'figure:3'], 'What is it”'), (2, [], 'Why'''), (3, ['figure:1.2'], 'Was ist')) t(id, labels, question)""")
+@query("""SELECT * FROM (VALUES (1, ['figure:2a', 'figure:3'], 'What is it”'), (2, [], 'Why'''), (3, ['figure:1.2'], '(3) Was ist')) t(id, labels, question)""")
 def labels_and_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figure labels and normalised questions of literal rows."""
     rows = values(spark, [(1, "See Fig. 3 and Figure 2A; fig 3.", " 1) “What  is it”。"), (2, "2023 and 7", "- 'Why';"), (3, "图 1.2 和", "(3) Was ist.")], "id int, a string, b string")
