@@ -86,7 +86,6 @@ def lattices():
 def segmentations(lattices, text):
     unit = "▁" + text.replace(" ", "▁")
     edges = [lattices._pieces(unit, i) for i in range(len(unit))]
-    lattices.state_of("▁x")
     out = {}
 
     def go(i, ids, w):
