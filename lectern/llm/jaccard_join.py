@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import bitmap_of, components, in_bitmap, persisted, small_batches
+from lectern.llm.shared import bitmap_of, components, in_bitmap, persisted, release, small_batches
 
 #: One document in so many has its shingles counted; from this count on a shingle is frequent.
 COUNTED, FREQUENT = 8, 4
@@ -305,6 +305,8 @@ def join_sets(docs: DataFrame, words: int = 3, percent: int = 90, sample_docs: i
     vocabulary = _vocabulary(docs, sample_docs)
     frequent = (*_frequent(docs, words), *vocabulary)
     sets = persisted(_sets(docs, words, percent, frequent), "sets")
+    del frequent, vocabulary
+    release()
     classes = sets.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("node"))
     # rows of a representative; copies add nothing to the index
     distinct = sets.where("n > 0").join(classes.select("node", F.col("print").alias("print_")), F.expr("doc_id = node and print = print_")).dropDuplicates(["node", "print"])

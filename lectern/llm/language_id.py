@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import chunks, fresh, held_out, small_batches
+from lectern.llm.shared import chunks, fresh, held_out, release, small_batches
 
 UNDETERMINED = "und"
 #: Labelled rows used to fit, at most, for each language: the bound of the training sample.
@@ -184,7 +184,10 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> PpmM
         grams[lang] = (gram[code == k], count[code == k])
     if not grams:
         return PpmModel([], np.zeros(256, dtype=np.int32), np.zeros(1, dtype=np.int32), np.zeros((0, 1), dtype=np.float32))
-    return _tables(grams)
+    model = _tables(grams)
+    del table, names, code, gram, count, grams
+    release()
+    return model
 
 
 def score_texts(model: PpmModel, texts: list[str | None]) -> tuple[list[str], list[float]]:

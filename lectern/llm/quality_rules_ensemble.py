@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import BLANK, fresh, let
+from lectern.llm.shared import BLANK, fresh, let, release
 
 #: Labelled rows used to fit, at most: the bound of the training sample.
 SAMPLE_ROWS = 4000
@@ -215,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ensemble
         .select("doc_id", "y_", statistics(F.col("text")).alias("s")).select("doc_id", "y_", "s.*").limit(2 * rows).toPandas()
     )
     stats = stats.sort_values(["doc_id", *STATISTICS]).drop_duplicates("doc_id")
-    return fit_rows(stats[list(STATISTICS)].to_numpy(dtype=np.float64), stats["y_"].to_numpy(dtype=np.float64))
+    model = fit_rows(stats[list(STATISTICS)].to_numpy(dtype=np.float64), stats["y_"].to_numpy(dtype=np.float64))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Ensemble, text: str = "text", out: str = "quality_score") -> DataFrame:
