@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions import values as vl
-from lectern.functions.vectors import cosine_distance
+from lectern.functions.vectors import dot, norm
 from lectern.operators.scope import best_row
 
 # Admission gates, and candidates of a lane.
@@ -35,8 +35,13 @@ def distances(queries: DataFrame, vectors: DataFrame, exclude_self: bool = True)
     An exact scan, as there is no vector index: the stated queries go to each vector, and only ids and a number leave.
     """
     keep = F.col("query_id") != F.col("chunk_id") if exclude_self else F.lit(True)
-    pairs = vectors.join(bounded_queries(queries), keep)
-    return pairs.select("query_id", "chunk_id", cosine_distance(F.col("query"), F.col("embedding")).alias("distance"))
+    # norms once a vector, not once a pair
+    sized = vectors.select("chunk_id", "embedding", norm(F.col("embedding")).alias("size"))
+    asks = queries.select("query_id", "query", norm(F.col("query")).alias("query_size"))
+    pairs = sized.join(bounded_queries(asks), keep)
+    size = F.col("size") * F.col("query_size")
+    distance = F.round(1.0 - F.when(size > 0, dot(F.col("query"), F.col("embedding")) / size), 9) + F.lit(0.0)
+    return pairs.select("query_id", "chunk_id", distance.alias("distance"))
 
 
 def vector_lane(queries: DataFrame, vectors: DataFrame, k: int, gate: float | None = TEXT_GATE, exclude_self: bool = True) -> DataFrame:
