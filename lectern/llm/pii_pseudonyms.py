@@ -3,7 +3,8 @@
 Values are found by one pattern, validated, and replaced by a keyed permutation of all values of their format, a
 Feistel network: (l, r) -> ((l + F(key, round, r)) mod a, r) and the other way round in turn, on Z_a x Z_b. It is a
 bijection for any a and b, so different values stay different and equal values stay linked across documents, whatever
-punctuation they are written with, and the holder of the key can invert it.
+punctuation they are written with, and the holder of the key can invert it. A grouped card with up to three digits after it, a check
+number say, is tried as one card of up to 19 digits, then as a card of 16 whose neighbour stays.
 
 ========  =============================================  =============================================================
 kind      validated by                                   permuted over
@@ -14,7 +15,8 @@ ssn       area, group and serial in range                898 areas x 989,901 gro
 ip        four octets up to 255                          2^16 x 2^16
 date      a day of 1900 to 2099 (y-m-d, m/d/y, d.m.y)    17 x 4297 days
 email     name and domain                                the name: letters as letters, digits as digits; domain stays
-secret    key word and value, or cloud key form          the value: hex as hex, else letters and digits as themselves
+secret    key word in any case and the whole run of its  the value: small hex as hex, else letters and digits as
+          value, or cloud key form                       themselves
 ========  =============================================  =============================================================
 
 Formats are kept, but a number of an address may get wider or narrower, and of dates written without leading zeros only
@@ -36,12 +38,15 @@ KINDS = ("card", "phone", "ssn", "ip", "date", "email", "secret")
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 x 4,297.
 _DAYS = (17, 4297)
 
+# Digits that end here and don't begin an address, a date, a mail name, a security number or a phone.
+_ALONE = r"(?![0-9A-Za-z]|[./][0-9]|[A-Za-z0-9._%+\-]*+@|-[0-9]{2}-[0-9]{4}|[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z]))"
+
 # Each alternative can start only where a run of its characters starts, and runs are possessive: time is linear.
 _PATTERN = "|".join(
     (
         r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+)+",
         r"\bAKIA[0-9A-Z]{16}\b",
-        r"""\b(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}["']?[A-Za-z0-9+/_\-]{12,200}+""",
+        r"""\b(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}["']?[A-Za-z0-9+/_\-]{12,}+""",
         r"(?<![0-9A-Za-z+(])(?:\+1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
         r"(?<![0-9A-Za-z\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z\-])",
@@ -49,7 +54,7 @@ _PATTERN = "|".join(
         r"(?<![0-9A-Za-z.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
         r"(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])[0-9]{4}([ \-])[0-9]{4}(?:\1[0-9]{4})\1[0-9]{1,4}(?![0-9A-Za-z])",
+        rf"(?<![0-9A-Za-z])[0-9]{{4}}([ \-])[0-9]{{4}}(?:\1[0-9]{{4}})\1(?:[0-9]{{4}}\1[0-9]{{1,3}}{_ALONE}|[0-9]{{1,4}}(?![0-9A-Za-z]))",
         r"(?<![0-9A-Za-z])[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5}(?![0-9A-Za-z])",
     )
 )
@@ -87,13 +92,24 @@ def _luhn(body: str) -> str:
     return f"pmod(10L - aggregate(sequence(0, length({body}) - 1), 0L, (t, j) -> t + ({step}) div 10 + ({step}) % 10) % 10, 10)"
 
 
+def _luhn_valid(digits: str) -> str:
+    return _let("x", digits, f"cast(substr(x, -1, 1) as int) = {_let('e', 'substr(x, 1, length(x) - 1)', _luhn('e'))}")
+
+
+def _card_digits(key: str, d: str, invert: bool) -> str:
+    half = f"((length({d}) - 1) div 2)"
+    pair = _feistel(key, "card", f"substr({d}, 1, {half})", f"substr({d}, {half} + 1, length({d}) - 1 - {half})", f"cast(pow(10, {half}) as bigint)", f"cast(pow(10, length({d}) - 1 - {half}) as bigint)", invert)
+    body = f"concat(lpad(cast(p.l as string), {half}, '0'), lpad(cast(p.r as string), length({d}) - 1 - {half}, '0'))"
+    return _let("p", pair, _let("e", body, f"concat(e, {_luhn('e')})"))
+
+
 def _card(key: str, invert: bool) -> str:
-    half = "((length(d) - 1) div 2)"
-    pair = _feistel(key, "card", f"substr(d, 1, {half})", f"substr(d, {half} + 1, length(d) - 1 - {half})", f"cast(pow(10, {half}) as bigint)", f"cast(pow(10, length(d) - 1 - {half}) as bigint)", invert)
-    body = f"concat(lpad(cast(p.l as string), {half}, '0'), lpad(cast(p.r as string), length(d) - 1 - {half}, '0'))"
-    full = _let("e", body, f"concat(e, {_luhn('e')})")
-    good = f"length(d) between 13 and 19 and cast(substr(d, -1, 1) as int) = {_let('e', 'substr(d, 1, length(d) - 1)', _luhn('e'))}"
-    return f"if({good}, {_let('p', pair, _let('n', full, _refill('m', 'n')))}, null)"
+    whole = _let("n", _card_digits(key, "d", invert), _refill("m", "n"))
+    # a card of 16 before other digits: permuted until all digits together are no card, as they weren't, so it can be inverted
+    walk = f"aggregate(sequence(1, 20), substr(d, 1, 16), (g, w) -> if(w > 1 and not {_luhn_valid('concat(g, substr(d, 17))')}, g, {_card_digits(key, 'g', invert)}))"
+    first = _let("n", f"concat({walk}, substr(d, 17))", _refill("m", "n"))
+    grouped = f"length(d) between 17 and 19 and m rlike '[ -]' and {_luhn_valid('substr(d, 1, 16)')}"
+    return f"case when length(d) between 13 and 19 and {_luhn_valid('d')} then {whole} when {grouped} then {first} end"
 
 
 def _phone(key: str, invert: bool) -> str:
@@ -146,6 +162,8 @@ def _string(key: str, kind: str, value: str, invert: bool) -> str:
     def moved(mine: str, other: str) -> str:
         # what a half is shifted by depends on the other half, the round, the place and the shape
         text = f"array_join(transform({other}, e -> concat(e.x, '.', length(e.z))), ' ')"
+        # of a long half only a hash goes into each place's hash, so that time stays linear
+        text = f"if(size({other}) > 100, sha2({text}, 256), {text})"
         shift = _prf(key, kind, "k", "concat(i, '|', y)")
         return _let("y", text, f"transform({mine}, (e, i) -> named_struct('z', e.z, 'x', cast(pmod(e.x {sign} pmod({shift}, length(e.z)), length(e.z)) as int)))")
 
@@ -160,7 +178,7 @@ def _email(key: str, invert: bool) -> str:
 
 
 def _secret(key: str, invert: bool) -> str:
-    head = "if(m like 'AKIA%', 'AKIA', regexp_extract(m, '^[a-z_]+ *[=:] *[\"\\']?', 0))"
+    head = "if(m like 'AKIA%', 'AKIA', regexp_extract(m, '^[A-Za-z_]+ *[=:] *[\"\\']?', 0))"
     return _let("w", head, f"concat(w, {_string(key, 'secret', 'substr(m, length(w) + 1)', invert)})")
 
 
