@@ -91,17 +91,14 @@ def lexemes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else lexemes_of(t, MAX_DOCUMENT_LEXEMES))
 
 
+lexemes = lexemes.asNondeterministic()  # else a filter on the result, moved below it, runs it twice
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def query_lexemes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else lexemes_of(t, MAX_QUERY_LEXEMES))
 
 
-def ascii_lexemes(text: Column, limit: int = MAX_DOCUMENT_LEXEMES) -> Column:
-    """Lexemes of texts without joined words and ideographs, in Spark expressions alone."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS))), 1, limit)
-
-
 def or_query(values: Column) -> Column:
     """The lexemes of an OR query, quoted and joined; null if there are none or one is unsafe."""
     safe = F.forall(values, lambda v: v.rlike(r"^[\p{L}\p{N}_]+$")) & (F.size(values) <= MAX_QUERY_LEXEMES)

@@ -114,28 +114,37 @@ def dual_quota_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB's distinct lexemes in order of first occurrence.
 _DUCK_LEXEMES = """list_transform(list_filter(list_transform(range(1, len(w) + 1), lambda i: {'w': w[i], 'p': list_position(w, w[i]), 'i': i}), lambda x: x.p = x.i), lambda x: x.w)"""
-_DUCK_WORDS = """list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda t: t NOT IN ('a', 'an', 'and', 'are', 'be', 'by', 'for', 'in', 'is', 'of', 'on', 'or', 'the', 'to'))"""
-
-
-@query(
-    f"""SELECT chunk_id, len(l)::INTEGER AS n, sha256(array_to_string(l[1:4096], ' ')) AS lexical_hash FROM (
-        SELECT doc_id AS chunk_id, {_DUCK_LEXEMES} AS l FROM (SELECT doc_id, {_DUCK_WORDS.format('text')} AS w FROM documents WHERE length(text) < 4000)) WHERE len(l) > 0"""
-)
+#: DuckDB's lexemes of a text with repeats: joined words whole and in parts, bigrams of ideographs, other words.
+_IDEOGRAPHS = r"[\x{{3400}}-\x{{9fff}}\x{{f900}}-\x{{faff}}]+"
+_BIGRAMS = f"flatten(list_transform(regexp_extract_all(t, '{_IDEOGRAPHS}'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END))"
+_FIRST = _BIGRAMS.replace("extract_all(t, '", "extract_all(t, '^")
+_DUCK_WORDS = f"""list_filter(flatten(list_transform(regexp_extract_all(replace(lower(nfc_normalize({{0}})), 'ß', 'ss'), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+(?:[-./:]+[\\p{{{{L}}}}\\p{{{{N}}}}_]+)*'), lambda t:
+    CASE WHEN regexp_matches(t, '[-./:]') THEN list_concat([regexp_replace(t, '[-./:]+', '_', 'g')], string_split_regex(t, '[-./:]+'), {_BIGRAMS})
+    WHEN NOT regexp_matches(t, '{_IDEOGRAPHS}') THEN [t] WHEN regexp_full_match(t, '{_IDEOGRAPHS}') THEN {_BIGRAMS}
+    WHEN regexp_matches(t, '^{_IDEOGRAPHS}') THEN list_concat({_FIRST}, [t], {_BIGRAMS}) ELSE list_concat([t], {_BIGRAMS}) END)),
+    lambda t: t NOT IN ('a', 'an', 'and', 'are', 'be', 'by', 'for', 'in', 'is', 'of', 'on', 'or', 'the', 'to', '与', '和', '在', '是', '的', '了', '或', '及'))"""
+#: DuckDB's (chunk_id, lexeme, n): each document's first 4,096 distinct lexemes, numbered by their first occurrence.
+_DUCK_INDEX = f"""SELECT chunk_id, lexeme, row_number() OVER (PARTITION BY chunk_id ORDER BY min(i)) AS n FROM (
+        SELECT chunk_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS i FROM (SELECT doc_id AS chunk_id, {_DUCK_WORDS.format('text')} AS w FROM documents))
+    GROUP BY chunk_id, lexeme QUALIFY n <= 4096"""
+
+
+@query(f"""SELECT chunk_id, count(*)::INTEGER AS n, sha256(string_agg(lexeme, ' ' ORDER BY n)) AS lexical_hash FROM ({_DUCK_INDEX}) GROUP BY chunk_id""")
 def lexeme_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexemes of documents under 4,000 characters and their hash (the limit keeps the oracle's quadratic form small)."""
-    docs = table(spark, sf_dir, "documents").where("length(text) < 4000").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return lanes.lexeme_index(docs, tx.ascii_lexemes(F.col("content"))).select("chunk_id", F.size("lexemes").alias("n"), "lexical_hash")
+    """Lexemes of all documents and their hash."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return lanes.lexeme_index(docs).select("chunk_id", F.size("lexemes").alias("n"), "lexical_hash")
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.ascii_lexemes(F.col("text"), tx.MAX_QUERY_LEXEMES).alias("lexemes"))
-    return asks, lanes.lexeme_index(docs, tx.ascii_lexemes(F.col("content")))
+    asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.query_lexemes(F.col("text")).alias("lexemes"))
+    return asks, lanes.lexeme_index(docs)
 
 
 _LEXICAL_SQL = f"""
     q AS (SELECT query_id, unnest(l[1:64]) AS lexeme FROM (SELECT item_id AS query_id, {_DUCK_LEXEMES} AS l FROM (SELECT item_id, {_DUCK_WORDS.format('text')} AS w FROM benchmark))),
-    d AS (SELECT DISTINCT doc_id AS chunk_id, unnest({_DUCK_WORDS.format('text')}) AS lexeme FROM documents),
+    d AS ({_DUCK_INDEX}),
     matched AS (SELECT query_id, chunk_id, count(*) AS matched FROM q JOIN d USING (lexeme) GROUP BY 1, 2),
     lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id) AS rank FROM matched) WHERE rank <= 20)"""
 
@@ -155,7 +164,7 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG5, AG6: one hash over each document's chunks and their lexical hashes."""
     chunks = line_chunks(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("target_id"), chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "content")
-    index = lanes.lexeme_index(chunks, tx.ascii_lexemes(F.col("content"))).withColumn("target_id", F.expr("chunk_id div 1000000"))
+    index = lanes.lexeme_index(chunks).withColumn("target_id", F.expr("chunk_id div 1000000"))
     return lanes.manifest(index, "lexical_v1")
 
 
