@@ -158,7 +158,9 @@ def projected_total(rows: DataFrame, targets: dict[str, int], draws: int = PROJE
         for stratum, part in sorted(frame.groupby("stratum")):
             costs = part.sort_values("case_id")["cost"].to_numpy(dtype=float)
             total += costs.mean() * targets.get(stratum, 0)
-            runs += costs[rng.integers(0, len(costs), (draws, len(costs)))].mean(axis=1) * targets.get(stratum, 0)
+            step = max(1, (1 << 22) // len(costs))  # the same draws, of bounded memory
+            means = [costs[rng.integers(0, len(costs), (min(step, draws - k), len(costs)))].mean(axis=1) for k in range(0, draws, step)]
+            runs += np.concatenate(means) * targets.get(stratum, 0)
         low, high = np.quantile(runs, [0.025, 0.975])
         return pd.DataFrame({"total": [total], "low": [low], "high": [high]})
 

@@ -153,14 +153,14 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG17: the mean difference of each quality group, clusters of ten cases drawn whole."""
     r = _ranks(spark, sf_dir)
     d = F.coalesce(1 / F.col("after"), F.lit(0.0)) - F.coalesce(1 / F.col("before"), F.lit(0.0))
-    return evaluation.cluster_bootstrap(r.select(F.col("quality").cast("string").alias("arm"), F.expr("case_id div 10").alias("cluster"), d.alias("difference")), draws=2000)
+    return evaluation.cluster_bootstrap(r.select(F.col("quality").cast("string").alias("arm"), F.expr("case_id div 10").alias("cluster"), d.alias("difference")))
 
 
 @query()
 def projected_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG18: a pilot's token cost carried on to a thousand cases a language."""
     d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("lang").alias("stratum"), F.col("doc_id").alias("case_id"), F.size(tx.terms(F.col("text"))).cast("double").alias("cost"))
-    return evaluation.projected_total(d, {"en": 1000, "de": 1000, "fr": 1000, "es": 1000}, draws=1000)
+    return evaluation.projected_total(d, {"en": 1000, "de": 1000, "fr": 1000, "es": 1000})
 
 
 @query(
@@ -188,7 +188,7 @@ def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT doc_id AS chunk_id, text AS content, left(text, 30) AS quote FROM documents WHERE doc_id % 10 = 0), x AS (
+    """WITH q AS (SELECT doc_id AS chunk_id, text AS content, left(text, 30) AS quote FROM documents), x AS (
         SELECT chunk_id, content, n AS ordinal, 'Q' || (CASE WHEN chunk_id % 3 = 0 THEN 0 ELSE n END) AS question, CASE WHEN chunk_id % 4 = 0 THEN quote || '#' ELSE quote END AS quote FROM q CROSS JOIN range(3) t(n))
     SELECT chunk_id, count(*) AS n, bool_and(trim(question, ' ') <> '' AND length(question) <= 200 AND contains(content, quote)) AND count(DISTINCT lower(question)) = count(*) AND max(ordinal) + 1 = count(*) AND count(DISTINCT ordinal) = count(*) AND count(*) <= 5 AS complete FROM x GROUP BY 1"""
 )
@@ -196,7 +196,7 @@ def question_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG23, C17: three invented questions a chunk, some of them repeated or with fabricated quotes."""
     from lectern.operators import chunking
 
-    c = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     q = c.select("chunk_id", F.left("content", F.lit(30)).alias("quote"), F.explode(F.expr("array(0L, 1L, 2L)")).alias("ordinal"))
     q = q.select("chunk_id", "ordinal", F.concat(F.lit("Q"), F.when(F.col("chunk_id") % 3 == 0, 0).otherwise(F.col("ordinal")).cast("string")).alias("question"), F.when(F.col("chunk_id") % 4 == 0, F.concat("quote", F.lit("#"))).otherwise(F.col("quote")).alias("quote"))
     return chunking.question_checks(q, c)

@@ -101,10 +101,10 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.keyset_page(orders, "o_orderdate", "o_orderkey", after, 50).select("o_orderkey", "o_custkey", "o_orderdate")
 
 
-@query("""SELECT o_orderkey, rtrim(translate(to_base64(encode('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}')), '+/', '-_'), '=') AS cursor FROM orders WHERE o_orderkey % 100 = 1""")
+@query("""SELECT o_orderkey, rtrim(translate(to_base64(encode('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}')), '+/', '-_'), '=') AS cursor FROM orders""")
 def page_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: opaque cursors of every hundredth order."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 100 = 1").select("o_orderkey", vl.cursor("o_orderkey", "o_orderstatus").alias("cursor"))
+    """T5: opaque cursors of all orders."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", vl.cursor("o_orderkey", "o_orderstatus").alias("cursor"))
 
 
 _JOBS = """
