@@ -25,8 +25,8 @@ def rank_metrics(ranks: DataFrame, *group: str) -> DataFrame:
 
 def evidence_found(cases: DataFrame) -> DataFrame:
     """``cases`` (case_id, found, paths: array of arrays) with any_found, complete and fraction: the best over the
-    alternative paths (E2, SO5)."""
-    share = F.transform("paths", lambda p: F.when(F.size(p) > 0, F.size(F.array_intersect(p, F.col("found"))) / F.size(p)).otherwise(1.0))
+    alternative paths, which are sets (E2, SO5)."""
+    share = F.transform("paths", lambda p: F.when(F.size(p) > 0, F.size(F.array_intersect(p, F.col("found"))) / F.size(F.array_distinct(p))).otherwise(1.0))
     rows = cases.withColumn("fraction", F.round(F.coalesce(F.array_max(share), F.lit(0.0)), 9))
     return rows.withColumn("any_found", F.exists("paths", lambda p: F.arrays_overlap(p, F.col("found")))).withColumn("complete", F.exists("paths", lambda p: F.size(F.array_except(p, F.col("found"))) == 0))
 
