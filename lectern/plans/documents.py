@@ -90,18 +90,30 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT item_id, doc_id, (strpos(d.text, b.text) - 1)::INTEGER AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INTEGER AS end_ FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0"""
 )
 def exact_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as quotes, found by their first five words and then checked exactly."""
-    def head(c):
-        return F.regexp_extract(c, r"^\s*((?:\S+\s+){4}\S+)", 1)
-
-    asks = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.regexp_replace(head(F.col("text")), r"\s+", " ").alias("head"))
-    # windows of five words meet the quotes' heads by an equi-join; only heads that exist are kept. A quote may start in
-    # the middle of a word, so the head leaves out the first word
-    key = F.array_join(F.slice(F.split("head", " "), 2, 4), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    grams = docs.where(F.size("w") >= 4).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    met = grams.join(F.broadcast(asks.select("item_id", "quote", key.alias("key")).limit(10_000)), "key")  # a bounded query set
-    hit = met.withColumn("at", tx.span_of(F.col("quote"), F.col("text"))).where("at is not null").dropDuplicates(["item_id", "doc_id"])
+    """Benchmark passages as quotes, found by four whole words and then checked exactly."""
+    asks = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return _quotes_found(asks, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _quotes_found(asks: DataFrame, docs: DataFrame, most: int = 10_000) -> DataFrame:
+    """(item_id, doc_id, start, end_) of all quotes in all texts; up to ``most`` quotes are broadcast, more are shuffled."""
+    # windows of four words meet the quotes' second to fifth words by an equi-join; a quote may start and end in the middle
+    # of a word, so a word counts only with white space on both sides. Quotes without such words are looked for in each text
+    key = F.btrim(F.regexp_replace(F.regexp_extract("quote", r"^\s*\S+\s+((?:\S+\s+){4})", 1), r"\s+", " "))
+    asks = asks.withColumn("key", key)
+    long, short = asks.where("key <> ''"), asks.where("key = ''").drop("key")
+    n = asks.agg(F.count_if(F.col("key") != "").alias("long"), F.count_if(F.col("key") == "").alias("short")).first()
+    words = docs.withColumn("w", F.split("text", r"\s+")).where(F.size("w") >= 4)
+    windows = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " "))))
+    if n["long"] <= most:
+        met = words.select("doc_id", "text", windows.alias("key")).join(F.broadcast(long), "key")
+    else:
+        pairs = words.select("doc_id", windows.alias("key")).join(long.drop("quote"), "key").select("doc_id", "item_id").distinct()
+        met = pairs.join(docs, "doc_id").join(long, "item_id")
+    met = met.select("item_id", "doc_id", "quote", "text")
+    if n["short"]:
+        met = met.unionByName(docs.crossJoin(F.broadcast(short) if n["short"] <= most else short).select("item_id", "doc_id", "quote", "text"))
+    hit = met.withColumn("at", tx.span_of(F.col("quote"), F.col("text"))).where("at is not null")
     return hit.select("item_id", "doc_id", F.col("at.start").alias("start"), F.col("at.end").alias("end_"))
 
 
