@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.llm.shared import BLANK, fresh, let, release
 
 #: Labelled rows used to fit, at most: the bound of the training sample.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 8000
 TREES, DEPTH, LEAST_LEAF, BINS, RATE = 48, 3, 12, 32, 0.3
 #: Score from which a text is predicted to be of quality.
 THRESHOLD = 0.7
@@ -175,12 +175,10 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> Ensemble:
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
     logit = np.full(len(y), np.log(share / (1 - share)))
     paths: list = []
-    for turn in range(TREES):
+    for _ in range(TREES):
         p = 1 / (1 + np.exp(-logit))
-        rows = np.arange(turn % 2, len(y), 2) if len(y) > 1000 else np.arange(len(y))  # halves, for variety
         found: list = []
-        _tree(x[rows], edges, (y - p)[rows], (p * (1 - p))[rows], found)
-        # leaf values come from all rows, also those that the tree was not grown on
+        _tree(x, edges, y - p, p * (1 - p), found)
         deep = [r for r in found if not any(o[: len(r)] == r and len(o) > len(r) for o in found)]
         for r in deep:
             at = _holds(r, x)
