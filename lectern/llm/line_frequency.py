@@ -1,16 +1,17 @@
 """Cross-document line frequency: removes lines that many documents of a host share, and rejects depleted documents.
 
 Spark expressions only. Lines are normalised (lower case, white space collapsed and trimmed, digits as 0) and hashed to
-64 bits. For each host the distinct documents of a line are counted, where documents of equal text count once, so plain
-copies of a document don't condemn its lines. A line above the limit is removed from every document of its host; a
-document that keeps too small a share of its words is rejected.
+64 bits, once a text: each text's hashes and words by line are written to the shared folder and read again by all later
+steps. For each host the distinct documents of a line are counted. A line above the limit is removed from every document
+of its host; a document that keeps too small a share of its words is rejected.
 
-Two exchanges of a few numbers a line do the counting: one to find distinct (host, line, text), one for partial counts,
-so a line that a third of all documents hold is a row a task. The frequent lines are written to the shared folder; being
-of known size there, they are broadcast while they are few and joined by a splittable sort-merge join else.
+Two exchanges of a few numbers a line do the counting: one to find distinct (host, line, document), one for partial
+counts, so a line that a third of all documents hold is a row a task. The frequent lines, being of known size in the
+shared folder, are broadcast while they are few and joined by a splittable sort-merge join else.
 
 Defined results: null text has no words and lines and is rejected, as is empty text; a null host is a host of its own;
-rows that repeat an id are judged by their own text, and repeated rows count once.
+rows that repeat an id are one document for the counts and are judged by their own text each; rows without an id are
+one document for each different text; a text of any length is one row, whose lines are handled as arrays.
 """
 
 from __future__ import annotations
@@ -42,13 +43,15 @@ def normal_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(lowered, r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n"), "\n")
 
 
-def _line_structs(text: Column) -> Column:
-    """(h, w) of each line that isn't blank: its hash and its words."""
-    every = F.transform(normal_lines(text), lambda x: F.btrim(x))
-    return F.transform(
-        F.filter(every, lambda x: x != ""),
-        lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("w")),
-    )
+def _hash(line: Column) -> Column:
+    """The hash of a normalised line; none for a blank one."""
+    trimmed = F.btrim(line)
+    return F.when(trimmed != "", F.xxhash64(trimmed))
+
+
+def line_hashes(text: Column) -> Column:
+    """The hashes of a text's lines, in order."""
+    return F.transform(normal_lines(text), _hash)
 
 
 def _repeated_words(words: Column) -> Column:
@@ -98,39 +101,46 @@ def base_failed(stats: Column) -> Column:
     return (stats["n_words"] < LEAST_WORDS) | (100 * stats["n_repeat_words"] > MOST_REPEATED * stats["n_words"])
 
 
-def frequent_lines(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
-    """(host, h, n_docs) of lines in more than ``most_docs`` distinct documents of a host, from (host, text)."""
-    lines = docs.where("text is not null").select(
-        "host", F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.transform(_line_structs(F.col("text")), lambda x: x["h"]))).alias("h")
-    )
-    return lines.distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most_docs)
+def frequent_lines(lines: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
+    """(host, h, n_docs) of lines in more than ``most_docs`` distinct documents of a host, from (host, doc, hashes)."""
+    each = lines.select("host", "doc", F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null")
+    return each.distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most_docs)
 
 
 def clean(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, least_kept: int = LEAST_KEPT) -> DataFrame:
     """A row a row of ``docs`` (doc_id, text, host): base statistics, base_failed, the words of removed lines, the text
     without them (``text_kept``), and ``kept``."""
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`")), F.lit(""))).alias("host"))
-    frequent = persisted(frequent_lines(rows, most_docs).select("host", "h"), "frequent-lines")
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`")), F.lit(""))).alias("host"), F.xxhash64("text").alias("of"))
+    # a document is its id; without one, its text
+    doc = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("id"), F.col("doc_id"))).otherwise(F.col("of"))
+    lines = persisted(rows.where("text is not null").select("doc_id", "host", "of", doc.alias("doc"), line_hashes(F.col("text")).alias("hashes")), "line-hashes")
+    frequent = persisted(frequent_lines(lines, most_docs).select("host", "h"), "frequent-lines")
     removed = (
-        rows.where("text is not null").select("doc_id", "host", F.xxhash64("text").alias("of"), F.explode(_line_structs(F.col("text"))).alias("line"))
-        .select("doc_id", "of", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-        .join(frequent.withColumn("hit", F.lit(True)), ["host", "h"], "left")
-        .groupBy("doc_id", "host", "of")
-        # of a row that is there n times both sums are n-fold: only their ratio is used
-        .agg(F.sum("w").alias("all_w"), F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0)).alias("gone_w"), F.collect_set(F.when(F.col("hit"), F.col("h"))).alias("gone"))
-        .where("gone_w > 0")
-        .select(F.col("doc_id").alias("id_"), F.col("host").alias("host_"), F.col("of").alias("of_"), "all_w", "gone_w", "gone")
+        lines.select("doc_id", "host", "of", F.explode(F.array_distinct("hashes")).alias("h")).join(frequent, ["host", "h"])
+        .groupBy("doc_id", "host", "of").agg(F.collect_set("h").alias("gone"))  # lines of one text
+        .select(F.col("doc_id").alias("id_"), F.col("host").alias("host_"), F.col("of").alias("of_"), "gone")
     )
-    stats = rows.select("doc_id", "host", "text", F.xxhash64("text").alias("of"), base_statistics(F.col("text")).alias("s"))
+    stats = rows.select("doc_id", "host", "text", "of", base_statistics(F.col("text")).alias("s"))
     both = stats.join(removed, F.expr("doc_id <=> id_ and host <=> host_ and of <=> of_"), "left")
-    text_kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(
-            F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(F.btrim(F.get(normal_lines(x), F.lit(0)))))), "\n"
-        )
-    )
+
+    def cleaned(normal: Column) -> Column:
+        """Words in all lines and in removed ones, and the text of the others."""
+        gone = F.transform(normal, lambda x: F.coalesce(F.array_contains(F.col("gone"), _hash(x)), F.lit(False)))
+
+        def summed(hit: Column) -> Column:
+            words = F.transform(normal, lambda x: F.when(F.btrim(x) == "", 0).otherwise(F.length(F.btrim(x)) - F.length(F.replace(F.btrim(x), F.lit(" "), F.lit(""))) + 1).cast("long"))
+            total = lambda per: F.aggregate(per, F.lit(0).cast("long"), lambda a, x: a + x)
+            kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.get(hit, i))
+            return let(words, lambda w: F.struct(total(w).alias("all_w"), total(F.zip_with(w, hit, lambda n, h: F.when(h, n).otherwise(0))).alias("gone_w"), F.array_join(kept, "\n").alias("text")))
+
+        return let(gone, summed)
+
+    # only texts with a line to remove are normalised again
+    both = both.withColumn("left_", F.when(F.col("gone").isNotNull(), let(normal_lines(F.col("text")), cleaned)))
     failed = base_failed(F.col("s"))
     return both.select(
         "doc_id", "s.*", failed.alias("base_failed"),
-        F.coalesce(F.expr("s.n_words * gone_w div all_w"), F.lit(0)).alias("removed_words"),
-        (~failed & F.coalesce(F.expr(f"100 * (all_w - gone_w) >= {least_kept} * all_w"), F.lit(True))).alias("kept"), text_kept.alias("text_kept"),
+        F.coalesce(F.expr("s.n_words * left_.gone_w div left_.all_w"), F.lit(0)).alias("removed_words"),
+        (~failed & F.coalesce(F.expr(f"100 * (left_.all_w - left_.gone_w) >= {least_kept} * left_.all_w"), F.lit(True))).alias("kept"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("left_.text")).alias("text_kept"),
     )

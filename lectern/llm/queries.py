@@ -35,7 +35,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_frequency.clean(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", F.md5("text_kept").alias("kept_md5"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,26 +116,28 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, sum(step) AS n_repeat_words
             FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM twice) GROUP BY doc_id
         ), lines AS (
-            SELECT doc_id, source, text, trim(unnest(string_split(
-                regexp_replace(translate(lower(t), '123456789', '000000000'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') AS line
-            FROM d WHERE text IS NOT NULL
+            SELECT doc_id, source, unnest(raw) AS raw, unnest(normal) AS line, unnest(range(len(raw))) AS i FROM (
+                SELECT doc_id, source, string_split(t, chr(10)) AS raw, list_transform(string_split(
+                    regexp_replace(translate(lower(t), '123456789', '000000000'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')) AS normal
+                FROM d WHERE text IS NOT NULL)
         ), full_lines AS (
-            SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS w FROM lines WHERE line <> ''
+            SELECT *, CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, ' ', '')) + 1 END AS w FROM lines
         ), frequent AS (
-            SELECT source, line FROM (SELECT DISTINCT source, line, text FROM full_lines) GROUP BY source, line HAVING count(*) > {line_frequency.MOST_DOCS}
+            SELECT source, line FROM (SELECT DISTINCT source, line, doc_id FROM full_lines WHERE line <> '') GROUP BY source, line HAVING count(*) > {line_frequency.MOST_DOCS}
         ), removed AS (
-            SELECT l.doc_id, sum(l.w) AS all_w, coalesce(sum(l.w) FILTER (f.line IS NOT NULL), 0) AS gone_w
+            SELECT l.doc_id, sum(l.w) AS all_w, coalesce(sum(l.w) FILTER (f.line IS NOT NULL), 0) AS gone_w,
+                md5(coalesce(string_agg(l.raw, chr(10) ORDER BY l.i) FILTER (f.line IS NULL), '')) AS kept_md5
             FROM full_lines l LEFT JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY l.doc_id
         ), joined AS (
             SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, all_w, gone_w
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, all_w, gone_w, kept_md5
             FROM base b LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             n_words < {line_frequency.LEAST_WORDS} OR 100 * n_repeat_words > {line_frequency.MOST_REPEATED} * n_words AS base_failed,
             NOT (n_words < {line_frequency.LEAST_WORDS} OR 100 * n_repeat_words > {line_frequency.MOST_REPEATED} * n_words)
                 AND coalesce(100 * (all_w - gone_w) >= {line_frequency.LEAST_KEPT} * all_w, true) AS kept,
-            coalesce((n_words * gone_w) // nullif(all_w, 0), 0)::BIGINT AS removed_words
+            coalesce((n_words * gone_w) // nullif(all_w, 0), 0)::BIGINT AS removed_words, kept_md5
         FROM joined
     """,
     "op6_curve_search": """

@@ -43,16 +43,17 @@ def test_line_frequency_against_brute_force(spark):
         rows.append((i, text, rng.choice(["x", "y", None]), 1, "clash", "clash"))
     rows += [(60, None, "x", 1, "", ""), (61, "", "x", 1, "", ""), (62, " \t\n\x0b ", None, 1, "", ""), (None, rows[0][1], "x", 1, "", "")]
     rows += [rows[3], rows[3]]  # repeated rows
-    rows += [(100 + i, rows[5][1], rows[5][2], 1, "", "") for i in range(30)]  # plain copies count once
+    rows += [(100 + i, rows[5][1], rows[5][2], 1, "", "") for i in range(30)]  # copies are documents of their own
+    rows += [(150, "one line of some words here\n" * 3000 + shared[0], "x", 1, "", "")]
     loop = "one two three four five six seven eight nine"
     rows += [(200, f"{loop} {loop} {loop}", "z", 1, "", ""), (201, "w " * 30, "z", 1, "", "")]
     got = {}
     for r in line_frequency.clean(docs_of(spark, rows), most_docs=8).collect():
         got.setdefault(r.doc_id, []).append(r)
     texts = {}
-    for _, text, host, *_ in rows:
+    for doc_id, text, host, *_ in rows:
         for line in {normal(x) for x in (text or "").split("\n")} - {""}:
-            texts.setdefault((host, line), set()).add(text)
+            texts.setdefault((host, line), set()).add((doc_id, doc_id is None and text))
     frequent = {k for k, v in texts.items() if len(v) > 8}
     assert frequent
     assert sum(map(len, got.values())) == len(rows)
