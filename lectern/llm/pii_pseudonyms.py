@@ -11,43 +11,63 @@ kind      validated by                                   permuted over
 ========  =============================================  =============================================================
 card      13 to 19 digits, Luhn check                    all digits but the last; the check digit is computed anew
 phone     10 digits in groups of 3, 3 and 4, also with +1  10^5 x 10^5; the prefix stays
-ssn       area, group and serial in range                898 areas x 989,901 group serials
+ssn       area, group and serial in range, also 9xx      998 areas x 989,901 group serials
 ip        four octets up to 255                          2^16 x 2^16
+ip6       eight groups, or fewer around one ``::``       all 32 hex digits, written in full
+iban      check digits, modulo 97                        the account, letters as letters and digits as digits; the
+                                                         country stays, the check digits are computed anew
 date      a day of 1900 to 2099 (y-m-d, m/d/y, d.m.y)    17 x 4297 days
 email     name and domain                                the name: letters as letters, digits as digits; domain stays
 secret    key word in any case and the whole run of its  the value: small hex as hex, else letters and digits as
-          value, or cloud key form                       themselves
+          value, or a cloud or service key form          themselves
 ========  =============================================  =============================================================
 
-Formats are kept, but a number of an address may get wider or narrower, and of dates written without leading zeros only
-the day is kept linked, not how it is written. What does not validate stays as it is, and so does all other text, byte for byte. Defined results: null text stays
+The round function is an HMAC with SHA-256 under a key derived for each kind. Key material reaches the executors as the row
+of a one-row table that a scalar subquery reads, so it stands in no plan, event log or page of the UI. There is no
+default: a key is given, or set as ``lectern.pii.secret`` in the session.
+
+Formats are kept, but a number of an address may get wider or narrower, an ip6 is written in full, and of dates written
+without leading zeros only the day is kept linked, not how it is written. Where kinds could overlap, the one that starts
+first counts, then the first one of the pattern's list. What does not validate stays as it is, and so does all other text, byte for byte. Defined results: null text stays
 null with zero counts, empty text stays empty; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import hmac
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import fresh
 
 ROUNDS = 10
-#: For tests and examples; production sets its own in the session's ``lectern.pii.key``.
-EXAMPLE_KEY = "example key, replace it"
-KINDS = ("card", "phone", "ssn", "ip", "date", "email", "secret")
+#: The setting that holds a session's key; Spark's pages don't show values of such names.
+KEY_SETTING = "lectern.pii.secret"
+KINDS = ("card", "phone", "ssn", "ip", "ip6", "iban", "date", "email", "secret")
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 x 4,297.
 _DAYS = (17, 4297)
 
+# Countries whose accounts have such numbers.
+_COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME "
+    "MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK"
+)
+
 # Digits that end here and don't begin an address, a date, a mail name, a security number or a phone.
 _ALONE = r"(?![0-9A-Za-z]|[./][0-9]|[A-Za-z0-9._%+\-]*+@|-[0-9]{2}-[0-9]{4}|[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z]))"
 
 # Each alternative can start only where a run of its characters starts, and runs are possessive: time is linear.
 _PATTERN = "|".join(
     (
-        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+)+",
+        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
         r"\bAKIA[0-9A-Z]{16}\b",
+        r"(?<![A-Za-z0-9_\-])(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,}+",
         r"""\b(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}["']?[A-Za-z0-9+/_\-]{12,}+""",
         r"(?<![0-9A-Za-z+(])(?:\+1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])",
+        rf"(?<![0-9A-Za-z])(?:{_COUNTRIES.replace(' ', '|')})" + r"[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}::?){2,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
         r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
         r"(?<![0-9A-Za-z\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z\-])",
         r"(?<![0-9A-Za-z/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z/])",
@@ -64,9 +84,23 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def kind_key(key: str, kind: str) -> bytes:
+    """The key of a kind, derived from the main one."""
+    return hmac.new(key.encode(), kind.encode(), hashlib.sha256).digest()
+
+
+def _material(spark: SparkSession, key: str) -> DataFrame:
+    """One row: a struct with the padded inner and outer key of each kind."""
+    block = lambda k, pad: bytearray(x ^ pad for x in k.ljust(64, b"\0"))
+    row = tuple((block(kind_key(key, kind), 0x36), block(kind_key(key, kind), 0x5C)) for kind in KINDS)
+    fields = ", ".join(f"{kind}: struct<i: binary, o: binary>" for kind in KINDS)
+    return spark.createDataFrame([(row,)], f"k struct<{fields}>")
+
+
 def _prf(key: str, kind: str, turn: str, value: str) -> str:
-    """A keyed pseudo-random number of 60 bits."""
-    return f"cast(conv(substr(sha2(concat({_quoted(key + '|' + kind + '|')}, {turn}, '|', {value}), 256), 1, 15), 16, 10) as bigint)"
+    """A keyed pseudo-random number of 60 bits: the first of an HMAC of the turn and the value. ``key``: the material's column."""
+    inner = f"unhex(sha2(concat({key}.{kind}.i, cast(concat({turn}, '|', {value}) as binary)), 256))"
+    return f"cast(conv(substr(sha2(concat({key}.{kind}.o, {inner}), 256), 1, 15), 16, 10) as bigint)"
 
 
 def _feistel(key: str, kind: str, left: str, right: str, a: str, b: str, invert: bool = False) -> str:
@@ -122,9 +156,9 @@ def _phone(key: str, invert: bool) -> str:
 
 def _ssn(key: str, invert: bool) -> str:
     area, group, serial = "cast(substr(d, 1, 3) as int)", "cast(substr(d, 4, 2) as int)", "cast(substr(d, 6, 4) as int)"
-    pair = _feistel(key, "ssn", f"{area} - if({area} > 666, 2, 1)", f"({group} - 1) * 9999 + {serial} - 1", "898", "989901", invert)
+    pair = _feistel(key, "ssn", f"{area} - if({area} > 666, 2, 1)", f"({group} - 1) * 9999 + {serial} - 1", "998", "989901", invert)
     new = "concat(lpad(cast(p.l + if(p.l >= 665, 2, 1) as string), 3, '0'), lpad(cast(p.r div 9999 + 1 as string), 2, '0'), lpad(cast(p.r % 9999 + 1 as string), 4, '0'))"
-    return f"if({area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0, {_let('p', pair, _let('n', new, _refill('m', 'n')))}, null)"
+    return f"if({area} between 1 and 999 and {area} <> 666 and {group} > 0 and {serial} > 0, {_let('p', pair, _let('n', new, _refill('m', 'n')))}, null)"
 
 
 def _ip(key: str, invert: bool) -> str:
@@ -133,6 +167,28 @@ def _ip(key: str, invert: bool) -> str:
     return _let("o", r"transform(split(m, '[.]'), x -> cast(x as int))", f"if(exists(o, x -> x > 255), null, {_let('p', pair, new)})")
 
 
+def _ip6(key: str, invert: bool) -> str:
+    # the groups around a double colon, filled up with zeros to eight
+    groups = lambda part: f"filter(split({part}, ':'), x -> x <> '')"
+    filled = "concat(g[0], array_repeat('0', 8 - size(g[0]) - size(g[1])), g[1])"
+    digits = f"array_join(transform({filled}, x -> lpad(lower(x), 4, '0')), '')"
+    both = f"named_struct('a', {groups('split(m, \'::\')[0]')}, 'b', if(m like '%::%', {groups('split(m, \'::\')[1]')}, cast(array() as array<string>)))"
+    fits = "m not rlike '::.*::' and if(m like '%::%', size(g[0]) + size(g[1]) between 3 and 7, size(g[0]) = 8)"
+    new = _let("n", _string(key, "ip6", digits, invert, hexa="true"), "array_join(transform(sequence(0, 7), j -> substr(n, 4 * j + 1, 4)), ':')")
+    return _let("q0", both, _let("g", "array(q0.a, q0.b)", f"if({fits}, {new}, null)"))
+
+
+def _remainder97(value: str) -> str:
+    return f"aggregate(split({value}, ''), 0L, (t, c) -> (t * if(c rlike '[A-Z]', 100, 10) + if(c rlike '[A-Z]', ascii(c) - 55, cast(c as int))) % 97)"
+
+
+def _iban(key: str, invert: bool) -> str:
+    check = lambda account: f"lpad(cast(98 - {_remainder97(f'concat({account}, substr(p, 1, 2), \'00\')')} as string), 2, '0')"
+    new = _let("n", _string(key, "iban", "substr(p, 5)", invert, hexa="false"), f"concat(substr(p, 1, 2), {check('n')}, n)")
+    spaced = "if(m like '% %', btrim(regexp_replace(w, '(.{4})', '$1 ')), w)"
+    return _let("p", "replace(m, ' ', '')", f"if(length(p) between 15 and 34 and substr(p, 3, 2) = {check('substr(p, 5)')}, {_let('w', new, spaced)}, null)")
+
+
 def _date(key: str, invert: bool) -> str:
     a, b = _DAYS
     days = "datediff(t, date'1900-01-01')"
@@ -149,14 +205,13 @@ def _date(key: str, invert: bool) -> str:
     )
 
 
-def _string(key: str, kind: str, value: str, invert: bool) -> str:
+def _string(key: str, kind: str, value: str, invert: bool, hexa: str = "v rlike '^[0-9a-f]+$' and v rlike '[0-9]'") -> str:
     """A permutation of all strings of the same shape: the halves' characters shift by keyed hashes of the other half in turn.
 
     A hex string stays hex; else digits stay digits, and small and capital letters stay so; other characters stay.
     """
     sign, order = ("-", f"sequence({ROUNDS - 1}, 0)") if invert else ("+", f"sequence(0, {ROUNDS - 1})")
-    hexa = "'0123456789abcdef'"
-    alphabet = f"case when h then {hexa} when c rlike '[0-9]' then '0123456789' when c rlike '[a-z]' then 'abcdefghijklmnopqrstuvwxyz' when c rlike '[A-Z]' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else c end"
+    alphabet = f"case when h then '0123456789abcdef' when c rlike '[0-9]' then '0123456789' when c rlike '[a-z]' then 'abcdefghijklmnopqrstuvwxyz' when c rlike '[A-Z]' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else c end"
     code = f"transform(split(v, ''), c -> {_let('z', alphabet, 'named_struct(\"z\", z, \"x\", instr(z, c) - 1)')})"
 
     def moved(mine: str, other: str) -> str:
@@ -170,7 +225,7 @@ def _string(key: str, kind: str, value: str, invert: bool) -> str:
     step = f"if(k % 2 = 0, named_struct('l', {moved('s.l', 's.r')}, 'r', s.r), named_struct('l', s.l, 'r', {moved('s.r', 's.l')}))"
     start = "named_struct('l', slice(q, 1, size(q) div 2), 'r', slice(q, size(q) div 2 + 1, size(q)))"
     done = f"aggregate({order}, {start}, (s, k) -> {step}, s -> array_join(transform(concat(s.l, s.r), e -> substr(e.z, e.x + 1, 1)), ''))"
-    return _let("v", value, _let("h", "v rlike '^[0-9a-f]+$' and v rlike '[0-9]'", _let("q", code, done)))
+    return _let("v", value, _let("h", hexa, _let("q", code, done)))
 
 
 def _email(key: str, invert: bool) -> str:
@@ -178,7 +233,7 @@ def _email(key: str, invert: bool) -> str:
 
 
 def _secret(key: str, invert: bool) -> str:
-    head = "if(m like 'AKIA%', 'AKIA', regexp_extract(m, '^[A-Za-z_]+ *[=:] *[\"\\']?', 0))"
+    head = "case when m like 'AKIA%' then 'AKIA' when m rlike '^(sk|pk|rk|ghp|gho|xoxb|xoxp)[-_]' then regexp_extract(m, '^[a-z]+[-_]', 0) else regexp_extract(m, '^[A-Za-z_]+ *[=:] *[\"\\']?', 0) end"
     return _let("w", head, f"concat(w, {_string(key, 'secret', 'substr(m, length(w) + 1)', invert)})")
 
 
@@ -186,6 +241,8 @@ def _judged(key: str, invert: bool) -> str:
     """SQL of a struct (kind, value) for a match ``m``: both null if it doesn't validate."""
     found = (
         ("email", r"m like '%@%'", _email(key, invert)),
+        ("ip6", r"m rlike '^[0-9A-Fa-f]{1,4}:' and m rlike '^[0-9A-Fa-f:]+$'", _ip6(key, invert)),
+        ("iban", r"m rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$' and m not like 'AKIA%'", _iban(key, invert)),
         ("secret", r"m rlike '^[A-Za-z]'", _secret(key, invert)),
         ("ip", r"m rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$'", _ip(key, invert)),
         ("ssn", r"m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", _ssn(key, invert)),
@@ -197,20 +254,30 @@ def _judged(key: str, invert: bool) -> str:
     return _let("d", "regexp_replace(m, '[^0-9]', '')", f"case {cases} end")
 
 
-def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text", invert: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``, and ``pii_kinds``, the kinds replaced in order (in place of a column of that name)."""
-    key = key or docs.sparkSession.conf.get("lectern.pii.key", None) or EXAMPLE_KEY
-    names = [c for c in docs.columns if c.lower() != "pii_kinds"]
-    name = fresh(docs, "pii")
-    done = docs.select(*[F.col(f"`{c}`") for c in names], F.expr(pseudonym_sql(key, invert, f"`{text}`")).alias(name))
+def session_key(spark: SparkSession) -> str | None:
+    return spark.conf.get(KEY_SETTING, None)
+
+
+def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text", invert: bool = False, kinds: str = "pii_kinds") -> DataFrame:
+    """``docs`` with pseudonyms in ``text``, and ``kinds``, the kinds replaced in order (in place of a column of that name).
+
+    Without ``key`` the session's is taken; it is an error if there is none."""
+    key = key or session_key(docs.sparkSession)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: give one, or set {KEY_SETTING}")
+    names = [c for c in docs.columns if c.lower() != kinds.lower()]
+    name, material = fresh(docs, "pii"), fresh(docs, "pii_key")
+    kept = [F.col(f"`{c}`") for c in names]
+    keyed = docs.select(*kept, _material(docs.sparkSession, key).scalar().alias(material))
+    done = keyed.select(*kept, F.expr(pseudonym_sql(f"`{material}`", invert, f"`{text}`")).alias(name))
     return done.select(
         *[F.col(f"{name}.text").alias(text) if c == text else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.col(f"{name}.kinds"), F.expr("cast(array() as array<string>)")).alias("pii_kinds"),
+        F.coalesce(F.col(f"{name}.kinds"), F.expr("cast(array() as array<string>)")).alias(kinds),
     )
 
 
 def pseudonym_sql(key: str, invert: bool = False, text: str = "text") -> str:
-    """SQL over a text column: a struct of the text with pseudonyms and of the kinds replaced, in order."""
+    """SQL over a text column and the column of key material: a struct of the text with pseudonyms and of the kinds replaced, in order."""
     pattern = _quoted(_PATTERN)
     pieces = f"split(x.b, {pattern}, -1)"
     values = "transform(x.m, (m, i) -> coalesce(j[i].value, m))"
