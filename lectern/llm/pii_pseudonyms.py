@@ -63,11 +63,11 @@ _PATTERN = "|".join(
     (
         r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
         r"\bAKIA[0-9A-Z]{16}\b",
-        r"(?<![A-Za-z0-9_\-])(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,}+",
+        r"(?=[a-z]{2,4}[-_])(?<![A-Za-z0-9_\-])(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,}+",
         r"""\b(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}["']?[A-Za-z0-9+/_\-]{12,}+""",
         r"(?<![0-9A-Za-z+(])(?:\+1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])",
-        rf"(?<![0-9A-Za-z])(?:{_COUNTRIES.replace(' ', '|')})" + r"[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}::?){2,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
+        rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![0-9A-Za-z])(?:{_COUNTRIES.replace(' ', '|')})" + r"[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+        r"(?=[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:])(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}::?){2,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
         r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
         r"(?<![0-9A-Za-z\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z\-])",
         r"(?<![0-9A-Za-z/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z/])",
@@ -97,10 +97,15 @@ def _material(spark: SparkSession, key: str) -> DataFrame:
     return spark.createDataFrame([(row,)], f"k struct<{fields}>")
 
 
-def _prf(key: str, kind: str, turn: str, value: str) -> str:
-    """A keyed pseudo-random number of 60 bits: the first of an HMAC of the turn and the value. ``key``: the material's column."""
+def _hmac(key: str, kind: str, turn: str, value: str) -> str:
+    """64 hex digits: an HMAC of the turn and the value. ``key``: the material's column."""
     inner = f"unhex(sha2(concat({key}.{kind}.i, cast(concat({turn}, '|', {value}) as binary)), 256))"
-    return f"cast(conv(substr(sha2(concat({key}.{kind}.o, {inner}), 256), 1, 15), 16, 10) as bigint)"
+    return f"sha2(concat({key}.{kind}.o, {inner}), 256)"
+
+
+def _prf(key: str, kind: str, turn: str, value: str) -> str:
+    """A keyed pseudo-random number of 60 bits."""
+    return f"cast(conv(substr({_hmac(key, kind, turn, value)}, 1, 15), 16, 10) as bigint)"
 
 
 def _feistel(key: str, kind: str, left: str, right: str, a: str, b: str, invert: bool = False) -> str:
@@ -219,8 +224,11 @@ def _string(key: str, kind: str, value: str, invert: bool, hexa: str = "v rlike
         text = f"array_join(transform({other}, e -> concat(e.x, '.', length(e.z))), ' ')"
         # of a long half only a hash goes into each place's hash, so that time stays linear
         text = f"if(size({other}) > 100, sha2({text}, 256), {text})"
-        shift = _prf(key, kind, "k", "concat(i, '|', y)")
-        return _let("y", text, f"transform({mine}, (e, i) -> named_struct('z', e.z, 'x', cast(pmod(e.x {sign} pmod({shift}, length(e.z)), length(e.z)) as int)))")
+        # one hash for each eight places, 32 bits a place
+        hashes = f"transform(sequence(0, size({mine}) div 8), b -> {_hmac(key, kind, 'k', 'concat(b, \'|\', y)')})"
+        shift = "cast(conv(substr(hs[i div 8], 8 * (i % 8) + 1, 8), 16, 10) as bigint)"
+        shifted = f"transform({mine}, (e, i) -> named_struct('z', e.z, 'x', cast(pmod(e.x {sign} {shift}, length(e.z)) as int)))"
+        return _let("y", text, _let("hs", hashes, shifted))
 
     step = f"if(k % 2 = 0, named_struct('l', {moved('s.l', 's.r')}, 'r', s.r), named_struct('l', s.l, 'r', {moved('s.r', 's.l')}))"
     start = "named_struct('l', slice(q, 1, size(q) div 2), 'r', slice(q, size(q) div 2 + 1, size(q)))"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can see; a local one only where the cluster names none."""
+    """The folder that the driver and all executors can see, which ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local folder serves on one machine; on a cluster executors would not see it, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -126,7 +131,7 @@ def chunks(values: list, size: int) -> Iterator[list]:
         yield values[i : i + size]
 
 
-def components(edges: DataFrame, label: str = "cc", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of an undirected graph by alternating stars: (node, component = smallest node reachable).
 
     ``edges`` has long columns ``a`` and ``b``. Each round every node links its larger neighbours, then its
@@ -141,9 +146,7 @@ def components(edges: DataFrame, label: str = "cc", limit: int = 60) -> DataFram
 
     now = persisted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen = signature(now)
-    for _ in range(limit):
-        if not seen["n"]:
-            break
+    while seen["n"]:
         sym = both(now)
         least = sym.groupBy("a").agg(F.min("b").alias("m"))
         large = (
@@ -163,8 +166,6 @@ def components(edges: DataFrame, label: str = "cc", limit: int = 60) -> DataFram
         if tuple(found) == tuple(seen):
             break
         seen = found
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

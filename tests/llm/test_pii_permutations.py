@@ -12,9 +12,13 @@ from lectern.llm import pii_pseudonyms as pii
 KEY = "a key of this test"
 
 
-def f(kind, turn, value):
+def mac(kind, turn, value):
     derived = hmac.new(KEY.encode(), kind.encode(), hashlib.sha256).digest()
-    return int(hmac.new(derived, f"{turn}|{value}".encode(), hashlib.sha256).hexdigest()[:15], 16)
+    return hmac.new(derived, f"{turn}|{value}".encode(), hashlib.sha256).hexdigest()
+
+
+def f(kind, turn, value):
+    return int(mac(kind, turn, value)[:15], 16)
 
 
 def network(kind, left, right, a, b):
@@ -41,7 +45,7 @@ def strings(kind, value, hexa=None):
         mine, other = half[k % 2], half[1 - k % 2]
         text = " ".join(f"{x}.{len(z)}" for z, x in other)
         text = hashlib.sha256(text.encode()).hexdigest() if len(other) > 100 else text
-        half[k % 2] = [[z, (x + f(kind, k, f"{i}|{text}") % len(z)) % len(z)] for i, (z, x) in enumerate(mine)]
+        half[k % 2] = [[z, (x + int(mac(kind, k, f"{i // 8}|{text}")[8 * (i % 8) : 8 * (i % 8) + 8], 16)) % len(z)] for i, (z, x) in enumerate(mine)]
     return "".join(z[x] for z, x in half[0] + half[1])
 
 
