@@ -17,7 +17,7 @@ Noise comes from a hash of (seed, row key, sample, unit, step): results do not d
 ``gumbel`` is a sample's perturbed log-probability; ``inclusion`` is its probability of being among the k largest, given
 the (k+1)-th value: 1 - exp(-exp(log_prob - that value)).
 
-Defined results: null text has no samples; empty text has the space mark's segmentations (the dummy prefix); a text with
+Defined results: rows without a key share a key of their own; null text has no samples; empty text has the space mark's segmentations (the dummy prefix); a text with
 fewer than k segmentations gives all of them, with inclusion 1; rows of equal key and text get equal samples.
 """
 
@@ -27,7 +27,6 @@ import heapq
 import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +76,23 @@ class Vocabulary:
                     node = entry[0]
                 entry[1], entry[2] = i, 1 / (i - first + 10)
         self.rare = 1 / (10 * model.get_piece_size())  # the weight of a byte
+        # the trie as sorted arrays: (node, character) -> node, for many walkers at once
+        self.code: dict[str, int] = {}
+        edges, self.node_piece, self.node_weight = [], [-1], [0.0]
+        level = [(0, self.trie)]
+        while level:
+            below = []
+            for node, further in level:
+                for c, (children, piece, weight) in further.items():
+                    edges.append((node, self.code.setdefault(c, len(self.code) + 1), len(self.node_piece)))
+                    below.append((len(self.node_piece), children))
+                    self.node_piece.append(piece)
+                    self.node_weight.append(weight)
+            level = below
+        self.node_piece, self.node_weight = np.array(self.node_piece, dtype=np.int64), np.array(self.node_weight)
+        self.characters = len(self.code) + 1
+        walk = np.array(sorted((node * self.characters + c, child) for node, c, child in edges), dtype=np.int64)
+        self.walk_key, self.walk_child = walk[:, 0].copy(), walk[:, 1].copy()
         # bytes of a piece in the text, where a space mark is a space
         self.lengths = np.array([len(x) - 2 * x.count("▁".encode()) for x in self.text], dtype=np.int64)
 
@@ -85,11 +101,32 @@ class Vocabulary:
         return b"".join(self.text[i] for i in ids).decode().replace("▁", " ")[1:]
 
 
+class _Grown:
+    """An array that grows at its end, in amortised constant time a value."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.empty(1 << 12, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.empty(2 * (self.n + len(values)), dtype=self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Lattices:
     """Normalised lattices of distinct units, side by side: states, and edges with conditional probabilities.
 
     What can follow a position, and how likely, depends only on the rest of the unit, so a state is a rest, and units
-    with equal endings share their states. Long units are kept whole, in logarithms.
+    with equal endings share their states. A state knows its first character and the state of what follows it, so pieces
+    are found for all new states at once: a walker a state goes down the trie and along the states. Long units are kept
+    whole, in logarithms.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -99,21 +136,16 @@ class Lattices:
     def clear(self) -> None:
         self.states: dict[str, int] = {}  # rest of a unit -> state; all its own rests are there too
         self.whole: dict[str, int] = {}  # long unit -> its first state
-        self.beta = array("d")  # state -> weight of all ways on from it
-        self.first = array("q")  # state -> its first edge
-        self.mass = array("d")  # edge -> weight of the ways over it
-        self.to = array("q")  # edge -> state, -1 at the unit's end
-        self.ids = array("q")  # edge -> piece, or the number of a character's bytes after all pieces
         self.sequences: dict[bytes, int] = {}
-        self.a_first = np.zeros(0, dtype=np.int64)
-        self.a_mass, self.a_to, self.a_ids = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        # of a state: first character, state of the rest after it (-1: none), weight of all ways on, its edges' range
+        self._char, self._tail, self._beta, self._first, self._end = (_Grown(k) for k in ("i8", "i8", "f8", "i8", "i8"))
+        # of an edge: probability, its logarithm, the sum up to it, state (-1: the unit's end), piece or the number of a
+        # character's bytes after all pieces
+        self._mass, self._log, self._cum, self._to, self._ids = (_Grown(k) for k in ("f8", "f8", "f8", "i8", "i8"))
+        self.freeze()
 
     def __len__(self) -> int:
-        return len(self.first)
-
-    def state_of(self, unit: str) -> int:
-        found = self.states.get(unit)
-        return found if found is not None else self._add(unit)
+        return self._first.n
 
     def _bytes(self, c: str) -> tuple[int, float]:
         """The number and the weight of a character's bytes, for one that is no piece."""
@@ -134,53 +166,98 @@ class Lattices:
             here.append((i + 1, *self._bytes(unit[i])))
         return here
 
-    def _add(self, unit: str) -> int:
-        n = len(unit)
-        if n > _LONG:
-            return self._add_whole(unit)
-        states, betas, first, mass, to, ids = self.states, self.beta, self.first, self.mass, self.to, self.ids
-        known = 1
-        while known < n and unit[known:] not in states:
-            known += 1
-        at, beta = [-1] * (n + 1), [1.0] * (n + 1)
-        for i in range(known, n):
-            at[i] = states[unit[i:]]
-            beta[i] = betas[at[i]]
-        trie = self.vocabulary.trie
-        for i in range(known - 1, -1, -1):
-            start, total, node = len(mass), 0.0, trie
-            for j in range(i, n):
-                entry = node.get(unit[j])
-                if entry is None:
-                    break
-                node, piece, weight = entry
-                if piece >= 0:
-                    weight *= beta[j + 1]
-                    total += weight
-                    mass.append(weight)
-                    to.append(at[j + 1])
-                    ids.append(piece)
-            if unit[i] not in trie or trie[unit[i]][1] < 0:
-                piece, weight = self._bytes(unit[i])
-                weight *= beta[i + 1]
-                total += weight
-                mass.append(weight)
-                to.append(at[i + 1])
-                ids.append(piece)
-            if total < 1e-250:  # products of many rare bytes
-                del mass[start:], to[start:], ids[start:]
-                return self._add_whole(unit)
-            at[i], beta[i] = len(first), total
-            states[unit[i:]] = len(first)
-            betas.append(total)
-            first.append(start)
-        return at[0]
+    def states_of(self, units: list[str]) -> np.ndarray:
+        """The first state of each unit; what is missing is added."""
+        found = list(map(self.states.get, units))
+        missing = dict.fromkeys(u for u, state in zip(units, found) if state is None)
+        if missing:
+            self._add([u for u in missing if len(u) <= _LONG and u not in self.whole])
+            for u in missing:
+                if u in self.states:
+                    missing[u] = self.states[u]
+                else:
+                    missing[u] = self.whole[u] if u in self.whole else self._add_whole(u)
+            found = [missing[u] if state is None else state for u, state in zip(units, found)]
+        return np.array(found, dtype=np.int64)
+
+    def _put(self, degree: np.ndarray, mass: np.ndarray, to: np.ndarray, ids: np.ndarray) -> None:
+        """Adds the edges of new states, state by state, with normalised masses."""
+        end = self._to.n + np.cumsum(degree)
+        first = end - degree
+        cum = mass.copy()
+        for k in range(1, int(degree.max(initial=0))):  # sums within a state only: equal for any batch
+            at = first[degree > k] - self._to.n + k
+            cum[at] += cum[at - 1]
+        cum[end - 1 - self._to.n] = 2.0  # the last one takes what rounding leaves
+        with np.errstate(divide="ignore"):
+            self._log.add(np.maximum(np.log(mass), -750.0))
+        for grown, values in ((self._first, first), (self._end, end), (self._mass, mass), (self._cum, cum), (self._to, to), (self._ids, ids)):
+            grown.add(values)
+
+    def _add(self, units: list[str]) -> None:
+        """Adds the states of units that aren't there; those whose weights are too small for a product are left out."""
+        states, v = self.states, self.vocabulary
+        base = len(self)
+        rests: list[str] = []
+        tails: list[int] = []
+        for u in units:
+            known, n = 0, len(u)
+            while known < n and u[known:] not in states:
+                known += 1
+            after = states[u[known:]] if known < n else -1
+            for i in range(known - 1, -1, -1):
+                tails.append(after)
+                rests.append(u[i:])
+                after = states[u[i:]] = base + len(tails) - 1
+        m = len(rests)
+        if not m:
+            return
+        self._char.add(np.fromiter((v.code.get(r[0], 0) for r in rests), dtype=np.int64, count=m))
+        self._tail.add(np.array(tails, dtype=np.int64))
+        char, tail = self._char.now, self._tail.now
+        # a walker a state: down the trie by its characters, a step for all at a time
+        state, node, at = np.arange(m), np.zeros(m, dtype=np.int64), base + np.arange(m)
+        single = np.zeros(m, dtype=bool)
+        edges: list[tuple[np.ndarray, ...]] = []
+        while len(state):
+            key = node * v.characters + char[at]
+            place = np.minimum(np.searchsorted(v.walk_key, key), len(v.walk_key) - 1)
+            ok = v.walk_key[place] == key
+            state, node, at = state[ok], v.walk_child[place[ok]], tail[at[ok]]
+            piece = v.node_piece[node]
+            hit = piece >= 0
+            if not edges:
+                single[state[hit]] = True
+            edges.append((state[hit], at[hit], piece[hit], v.node_weight[node[hit]]))
+            on = at >= 0
+            state, node, at = state[on], node[on], at[on]
+        spelled = np.flatnonzero(~single)  # characters that are no piece
+        spelling = [self._bytes(rests[k][0]) for k in spelled]
+        edges.append((spelled, tail[base + spelled], np.array([x for x, _ in spelling], dtype=np.int64), np.array([w for _, w in spelling])))
+        state, to, ids, weight = (np.concatenate(x) for x in zip(*edges))
+        order = np.argsort(state, kind="stable")
+        state, to, ids, weight = state[order], to[order], ids[order], weight[order]
+        # backward sums by the length of the rest, shortest first
+        self._beta.add(np.ones(m))
+        beta, own = self._beta.now, np.array(tails, dtype=np.int64) - base
+        lengths = np.fromiter(map(len, rests), dtype=np.int64, count=m)
+        lost = np.zeros(m, dtype=bool)
+        by_length, state_order = np.argsort(lengths[state], kind="stable"), np.argsort(lengths, kind="stable")
+        cuts = np.searchsorted(lengths[state][by_length], np.arange(_LONG + 2))
+        state_cuts = np.searchsorted(lengths[state_order], np.arange(_LONG + 2))
+        for n in range(1, _LONG + 1):
+            e, s = by_length[cuts[n] : cuts[n + 1]], state_order[state_cuts[n] : state_cuts[n + 1]]
+            if len(s):
+                weight[e] *= np.where(to[e] >= 0, beta[to[e]], 1.0)
+                total = np.bincount(state[e], weights=weight[e], minlength=m)[s]
+                lost[s] = (total < 1e-250) | ((own[s] >= 0) & lost[np.maximum(own[s], 0)])  # products of many rare bytes
+                beta[base + s] = np.where(lost[s], 1.0, total)
+        self._put(np.bincount(state, minlength=m), weight / beta[base + state], to, ids)
+        for k in np.flatnonzero(lost):
+            del states[rests[k]]
 
     def _add_whole(self, unit: str) -> int:
-        found = self.whole.get(unit)
-        if found is not None:
-            return found
-        n, base = len(unit), len(self.first)
+        n, base = len(unit), len(self)
         pieces = [self._pieces(unit, i) for i in range(n)]
         beta = [0.0] * (n + 1)
         shares: list[list[float]] = [[]] * n
@@ -189,31 +266,20 @@ class Lattices:
             top = max(log)
             beta[i] = top + math.log(sum(math.exp(x - top) for x in log))
             shares[i] = [1.0] if len(log) == 1 else [math.exp(x - beta[i]) for x in log]
-        for i in range(n):
-            self.beta.append(1.0)
-            self.first.append(len(self.mass))
-            for share, (j, sequence, _) in zip(shares[i], pieces[i]):
-                self.mass.append(share)
-                self.to.append(base + j if j < n else -1)
-                self.ids.append(sequence)
+        flat = [(share, base + j if j < n else -1, sequence) for i in range(n) for share, (j, sequence, _) in zip(shares[i], pieces[i])]
+        mass, to, ids = zip(*flat)
+        for grown, value in ((self._char, 0), (self._tail, -1), (self._beta, 1.0)):
+            grown.add(np.full(n, value))
+        self._put(np.array([len(x) for x in pieces]), np.array(mass), np.array(to, dtype=np.int64), np.array(ids, dtype=np.int64))
         if n < 4 * _LONG:
             self.whole[unit] = base
         return base
 
     def freeze(self) -> None:
-        """Brings the arrays up to what was added; a state's last cumulative share takes what rounding leaves."""
-        if len(self.a_mass) == len(self.mass):
-            return
-        new = [np.array(x) for x in (self.first, self.mass, self.to, self.ids, self.beta)]
-        self.a_first, mass, self.a_to, self.a_ids, beta = new
-        self.a_end = np.append(self.a_first[1:], len(mass))
-        degree = self.a_end - self.a_first
-        self.a_mass = mass / np.repeat(beta, degree)
-        with np.errstate(divide="ignore"):
-            self.a_log = np.maximum(np.log(self.a_mass), -750.0)
-        run = np.cumsum(self.a_mass)
-        self.a_cum = run - np.repeat(np.concatenate([[0.0], run])[self.a_first], degree)
-        self.a_cum[self.a_end - 1] = 2.0
+        """Brings the arrays up to what was added."""
+        self.a_first, self.a_end, self.a_mass, self.a_log, self.a_cum, self.a_to, self.a_ids = (
+            x.now for x in (self._first, self._end, self._mass, self._log, self._cum, self._to, self._ids)
+        )
         pieces = len(self.vocabulary.text)
         spelled = [[self.vocabulary.byte[b] for b in raw] for raw in self.sequences]
         self.s_len = np.array([1] * pieces + [len(x) for x in spelled], dtype=np.int64)
@@ -364,10 +430,12 @@ def sample_texts(lattices: Lattices, keys: list[int], texts: list[str], k: int,
     """For each text up to ``k`` samples in falling order: (ids, log_prob, gumbel, inclusion)."""
     if len(lattices) > _STATES:
         lattices.clear()
-    state_of = lattices.state_of
-    states = [np.array([state_of(u) for u in _UNIT.findall("▁" + t.replace(" ", "▁"))], dtype=np.int64) for t in texts]
+    units = [_UNIT.findall("▁" + t.replace(" ", "▁")) for t in texts]
+    every = lattices.states_of([u for of_text in units for u in of_text])
+    states = np.split(every, np.cumsum([len(of_text) for of_text in units])[:-1]) if texts else []
+    del units
     lattices.freeze()
-    rows = [_mix1((_mix1(seed & _WORD) * _G + key) & _WORD) for key in keys]
+    rows = [_mix1((_mix1((seed + (key >> 64)) & _WORD) * _G + (key & _WORD)) & _WORD) for key in keys]
 
     def walk(wanted: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Draws units from a start on: for (text, sample, start)."""
@@ -470,7 +538,8 @@ def _samples(batches: Iterator[pa.RecordBatch], model_file: str, k: int, seed: i
 
 
 def hash_key(key) -> int:
-    return 0 if key is None else (key + 1) & _WORD
+    """What noise is drawn from: a key's 64 bits, and one more for rows without a key."""
+    return 1 << 64 if key is None else (key + 1) & _WORD
 
 
 def sample_pieces(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED, ids: bool = True) -> DataFrame:
@@ -503,5 +572,5 @@ def decode_pieces(rows: DataFrame, model_file: str, ids: str = "ids", out: str =
         for batch in batches:
             yield pa.array([None if x is None else vocabulary.decode(x) for x in batch.to_pylist()], pa.string())
 
-    kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() != out.lower()]
     return rows.select(*kept, F.arrow_udf(decode, "string")(F.col(f"`{ids}`")).alias(out))

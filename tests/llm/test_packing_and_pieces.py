@@ -149,3 +149,19 @@ def test_sample_pieces_query_form(spark):
         assert r.log_prob <= 0 and 0 <= r.inclusion <= 1
     assert sum(r.doc_id == -5 for r in decoded) == 2 * len({tuple(r.ids) for r in decoded if r.doc_id == -5})
     assert gumbel_pieces.sample_pieces(rows.limit(0), PIECES).count() == 0
+
+
+def test_units_of_many_rare_characters_and_rows_without_a_key(lattices):
+    text = "\U0001f600\U0001f601\U0001f602" * 7 + " ok \U0001f600\U0001f601\U0001f602"
+    [samples] = gumbel_pieces.sample_texts(lattices, [3], [text], 2, 1)
+    assert all(lattices.vocabulary.decode(s[0].tolist()) == text for s in samples)
+    [alone] = gumbel_pieces.sample_texts(gumbel_pieces.Lattices(lattices.vocabulary), [3], [text], 2, 1)
+    assert [(s[0].tolist(), s[1:]) for s in alone] == [(s[0].tolist(), s[1:]) for s in samples]
+    keys = [gumbel_pieces.hash_key(k) for k in (None, -1, 0, 2**63 - 1)]
+    drawn = gumbel_pieces.sample_texts(lattices, keys, ["a longer text of some words"] * 4, 1, 1)
+    assert len({s[0][2] for s in drawn}) == 4
+
+
+def test_decoded_text_takes_the_place_of_a_clashing_column(spark):
+    rows = spark.createDataFrame([([31, 32], 7)], "ids array<int>, TEXT int")
+    assert gumbel_pieces.decode_pieces(rows, PIECES).columns == ["ids", "text"]
