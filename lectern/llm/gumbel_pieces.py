@@ -137,6 +137,7 @@ class Lattices:
         self.states: dict[str, int] = {}  # rest of a unit -> state; all its own rests are there too
         self.whole: dict[str, int] = {}  # long unit -> its first state
         self.sequences: dict[bytes, int] = {}
+        self.outside: dict[tuple[int, tuple[int, ...]], float] = {}  # (state, path) -> the probability of all others
         # of a state: first character, state of the rest after it (-1: none), weight of all ways on, its edges' range
         self._char, self._tail, self._beta, self._first, self._end = (_Grown(k) for k in ("i8", "i8", "f8", "i8", "i8"))
         # of an edge: probability, its logarithm, the sum up to it, state (-1: the unit's end), piece or the number of a
@@ -168,16 +169,15 @@ class Lattices:
 
     def states_of(self, units: list[str]) -> np.ndarray:
         """The first state of each unit; what is missing is added."""
-        found = list(map(self.states.get, units))
-        missing = dict.fromkeys(u for u, state in zip(units, found) if state is None)
+        states, whole = self.states, self.whole
+        missing = [u for u in dict.fromkeys(units) if u not in states and u not in whole]
+        long: dict[str, int] = {}
         if missing:
-            self._add([u for u in missing if len(u) <= _LONG and u not in self.whole])
-            for u in missing:
-                if u in self.states:
-                    missing[u] = self.states[u]
-                else:
-                    missing[u] = self.whole[u] if u in self.whole else self._add_whole(u)
-            found = [missing[u] if state is None else state for u, state in zip(units, found)]
+            self._add([u for u in missing if len(u) <= _LONG])
+            long = {u: self._add_whole(u) for u in missing if u not in states}
+        found = list(map(states.get, units))
+        if None in found:
+            found = [(long[u] if u in long else whole[u]) if state is None else state for u, state in zip(units, found)]
         return np.array(found, dtype=np.int64)
 
     def _put(self, degree: np.ndarray, mass: np.ndarray, to: np.ndarray, ids: np.ndarray) -> None:
@@ -200,15 +200,19 @@ class Lattices:
         base = len(self)
         rests: list[str] = []
         tails: list[int] = []
-        for u in units:
-            known, n = 0, len(u)
-            while known < n and u[known:] not in states:
-                known += 1
-            after = states[u[known:]] if known < n else -1
-            for i in range(known - 1, -1, -1):
+        get, end = states.get, base
+        for rest in units:
+            fresh = []
+            while rest and (after := get(rest)) is None:
+                fresh.append(rest)
+                rest = rest[1:]
+            if not rest:
+                after = -1
+            for rest in reversed(fresh):
                 tails.append(after)
-                rests.append(u[i:])
-                after = states[u[i:]] = base + len(tails) - 1
+                states[rest] = after = end
+                end += 1
+            rests += reversed(fresh)
         m = len(rests)
         if not m:
             return
@@ -343,12 +347,13 @@ def _walk(lattices: Lattices, states: np.ndarray, keys: np.ndarray) -> tuple[np.
 class _Leaf:
     """A path: its edges, where each unit's edges start, and log-probabilities of units and of prefixes."""
 
-    __slots__ = ("edges", "log", "prefix", "start")
+    __slots__ = ("edges", "falling", "log", "prefix", "start")
 
     def __init__(self, edges: np.ndarray, counts: np.ndarray, log: np.ndarray):
         self.edges, self.log = edges, log
         self.start = np.concatenate([[0], np.cumsum(counts)])
         self.prefix = np.concatenate([[0.0], np.cumsum(log)])
+        self.falling = -self.prefix
 
     def unit(self, v: int) -> tuple[int, ...]:
         return tuple(self.edges[self.start[v] : self.start[v + 1]].tolist())
@@ -362,14 +367,14 @@ class _Node:
 
     def __init__(self, lattices: Lattices, states: np.ndarray, leaf: _Leaf, start: int, barred: tuple, skip: frozenset):
         self.leaf, self.start, self.barred, self.skip = leaf, start, barred, skip
-        rel = leaf.prefix[start:-1] - leaf.prefix[start]
-        m = int(np.searchsorted(-rel, _NEGLIGIBLE, side="right"))
+        m = int(np.searchsorted(leaf.falling[start:-1], leaf.falling[start] + _NEGLIGIBLE, side="right"))
+        rel = leaf.prefix[start : start + m] - leaf.prefix[start]
         away = -np.expm1(leaf.log[start : start + m])
         for i in np.flatnonzero(away < 1e-9):  # too near to 1 for a difference
-            away[i] = _outside(lattices, int(states[start + i]), (leaf.unit(start + int(i)),))
+            away[i] = _outside_one(lattices, int(states[start + i]), leaf.unit(start + int(i)))
         if m:
-            away[0] = _outside(lattices, int(states[start]), barred)
-        share = np.exp(rel[:m]) * away
+            away[0] = _outside(lattices, int(states[start]), barred) if len(barred) > 1 else _outside_one(lattices, int(states[start]), barred[0])
+        share = np.exp(rel) * away
         for v in skip:
             if start <= v < start + m:
                 share[v - start] = 0.0
@@ -396,6 +401,14 @@ def _outside(lattices: Lattices, state: int, barred) -> float:
     return total
 
 
+def _outside_one(lattices: Lattices, state: int, path: tuple[int, ...]) -> float:
+    """``_outside`` of one path, which frequent units ask for again and again."""
+    found = lattices.outside.get((state, path))
+    if found is None:
+        found = lattices.outside[state, path] = _outside(lattices, state, (path,))
+    return found
+
+
 def _other_path(lattices: Lattices, state: int, barred: tuple, key: tuple) -> tuple[int, ...]:
     """A path through one unit drawn from those that aren't barred."""
     path: list[int] = []
