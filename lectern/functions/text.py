@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,44 +46,43 @@ def canonical(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.replace("\r\n", "\n").replace("\r", "\n")).strip())
 
 
-_JOINED = re.compile(r"(?<!\w)\w+(?:[-./:]+\w+)+(?!\w)")
+# What joins words to one, and ideographs.
+_JOIN = re.compile(r"[-./:]+")
 _IDEOGRAPHS = re.compile("[㐀-鿿豈-﫿]+")
-_PLAIN = re.compile(r"\w+")
+_WORD = re.compile(rf"\w+(?:{_JOIN.pattern}\w+)*|{_IDEOGRAPHS.pattern}")
 _STOP = frozenset(STOPWORDS)
 
 
+def _emitted(word: str) -> Iterator[str]:
+    """The lexemes of one word, in order: a joined one whole and in parts, or itself if it isn't ideographs throughout, and
+    the bigrams of its ideographs where they stand."""
+    runs = [(m.start(), m[0]) for m in _IDEOGRAPHS.finditer(word)]
+    own = [p for p in _JOIN.split(word) if p]
+    if len(own) > 1:
+        yield "_".join(own)
+        yield from own
+    elif not runs or runs[0] != (0, word):
+        if runs and runs[0][0] == 0:  # ideographs at the same place come first
+            yield from _bigrams(runs.pop(0)[1])
+        yield word
+    for _, run in runs:
+        yield from _bigrams(run)
+
+
+def _bigrams(run: str) -> list[str]:
+    return [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+
+
 def lexemes_of(text: str, limit: int) -> list[str]:
-    """Distinct lexemes of a text in order of first occurrence.
-
-    Words joined by hyphens, dots, slashes or colons give the whole, joined by underscores, and then their parts; runs
-    of ideographs give their bigrams; other words give themselves.
-    """
-    folded = unicodedata.normalize("NFC", text).casefold()
-    spans: dict[int, tuple[int, list[str]]] = {}
-    found: list[tuple[int, int, list[str]]] = []
-    for m in _JOINED.finditer(folded):
-        parts = [p for p in re.split(r"[-./:]+", m[0]) if p]
-        found.append((m.start(), 0, ["_".join(parts), *parts]))
-        spans[m.start()] = (m.end(), parts)
-    for m in _IDEOGRAPHS.finditer(folded):
-        run = m[0]
-        found.append((m.start(), 1, [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]))
-    covered = [(s, e) for s, (e, _) in sorted(spans.items())]
-    k = 0
-    for m in _PLAIN.finditer(folded):
-        while k < len(covered) and covered[k][1] <= m.start():
-            k += 1
-        inside = k < len(covered) and covered[k][0] <= m.start() and m.end() <= covered[k][1]
-        if not inside and not _IDEOGRAPHS.fullmatch(m[0]):
-            found.append((m.start(), 2, [m[0]]))
-    out: dict[str, None] = {}
-    for _, _, values in sorted(found):
-        for value in values:
-            if value and value not in _STOP and value not in out:
-                out[value] = None
-                if len(out) == limit:
-                    return list(out)
-    return list(out)
+    """Distinct lexemes of a text in order of first occurrence, at most ``limit``."""
+    words = _WORD.finditer(unicodedata.normalize("NFC", text).casefold())
+    found = (x for m in words for x in _emitted(m[0]) if x not in _STOP)
+    distinct: dict[str, None] = {}
+    for x in found:
+        distinct[x] = None
+        if len(distinct) == limit:
+            break
+    return list(distinct)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -173,19 +173,24 @@ def has_cjk(text: Column) -> Column:
     return text.rlike(CJK)
 
 
+#: Ways to write an entity: a pattern, and what is made of all that it finds in the name.
+_WRITINGS = (
+    (re.compile(r"(?s)^(.+)$"), list),
+    (re.compile(r"([A-Za-z0-9])[A-Za-z0-9]*"), lambda initials: ["".join(initials)] if len(initials) > 1 else []),
+    (re.compile(r"[（(]([^）)]+)[）)]"), list),
+    *((re.compile(rf"(?s)^(.+){ending}$"), list) for ending in ENTITY_SUFFIXES),
+)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def surface_variants(names: pd.Series) -> pd.Series:
-    """How an entity may be written: its surface, acronym, aliases in brackets, and without a legal ending."""
+    """Surfaces of two characters or more of a name, its acronym, aliases in brackets, and itself without a legal ending."""
 
-    def variants(name: str) -> list[str]:
-        words = re.findall(r"[A-Za-z0-9]+", name)
-        out = [_surface(name)]
-        out += ["".join(w[0] for w in words).casefold()] if len(words) > 1 else []
-        out += [_surface(x) for x in re.findall(r"[（(]([^）)]+)[）)]", name)]
-        out += [_surface(name.removesuffix(x)) for x in ENTITY_SUFFIXES if name.endswith(x)]
-        return list(dict.fromkeys(x for x in out if len(x) > 1))
+    def of(name: str) -> list[str]:
+        surfaces = (_surface(w) for pattern, made in _WRITINGS for w in made(pattern.findall(name)))
+        return list(dict.fromkeys(x for x in surfaces if len(x) > 1))
 
-    return names.map(lambda n: None if n is None else variants(n))
+    return names.map(of, na_action="ignore")
 
 
 def bounded_section(label: str, text: Column, most_tokens: int) -> Column:

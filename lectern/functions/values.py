@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import decimal
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,54 +68,50 @@ def contains(json: Column, part: Column) -> Column:
     return F.forall(F.map_entries(b), lambda e: F.try_element_at(a, e["key"]).eqNullSafe(e["value"]))
 
 
-# The calculator's bounds.
-MAX_EXPRESSION, MAX_NODES, DIGITS = 512, 64, 80
+# The calculator's bounds, and what a number looks like (underscores aside).
+MAX_EXPRESSION, MAX_NODES, MAX_LITERAL, MAX_RESULT, DIGITS, EXPONENT = 512, 64, 64, 256, 80, 10_000
+_NUMBER = re.compile(r"(?:\d+(?:\.\d*)?|\.\d+)")
 
 
 def calculate(text: str) -> tuple[str | None, str | None]:
-    """(value, reject reason) of + - * / over decimals, in exact arithmetic of 80 digits."""
+    """(value, reject reason) of + - * / over plain decimals, in exact arithmetic of 80 digits."""
     if not text or not text.strip():
-        return None, "empty"
+        return None, "expression_empty"
     if len(text) > MAX_EXPRESSION:
-        return None, "too_long"
+        return None, "expression_too_long"
     try:
-        tree = ast.parse(text.strip(), mode="eval")
-    except (SyntaxError, ValueError, RecursionError):
-        return None, "invalid"
-    if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
+        tree = ast.parse(text, mode="eval")
+    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
+        return None, "syntax"
+    nodes = list(ast.walk(tree))
+    if len(nodes) > MAX_NODES:
         return None, "too_complex"
-    context = decimal.Context(prec=DIGITS)
+    context = decimal.Context(prec=DIGITS, Emax=EXPONENT, Emin=-EXPONENT)
+    operations = {ast.Add: context.add, ast.Sub: context.subtract, ast.Mult: context.multiply, ast.Div: context.divide, ast.UAdd: context.plus, ast.USub: context.minus}
+    numbers: dict[ast.AST, decimal.Decimal] = {}
+    for node in nodes:
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            written = ast.get_source_segment(text, node) or ""
+            if len(written) > MAX_LITERAL or not _NUMBER.fullmatch(written.replace("_", "")):
+                return None, "syntax"
+            numbers[node] = decimal.Decimal(written.replace("_", ""))
+        elif not isinstance(node, (ast.Expression, ast.BinOp, ast.UnaryOp, *operations)):
+            return None, "unsupported_ast"
 
     def value(node) -> decimal.Decimal:
-        match node:
-            case ast.Expression():
-                return value(node.body)
-            case ast.Constant() if isinstance(node.value, int | float) and not isinstance(node.value, bool):
-                return context.create_decimal(ast.get_source_segment(text.strip(), node).replace("_", ""))
-            case ast.UnaryOp(op=ast.USub()):
-                return context.minus(value(node.operand))
-            case ast.UnaryOp(op=ast.UAdd()):
-                return value(node.operand)
-            case ast.BinOp(op=ast.Add()):
-                return context.add(value(node.left), value(node.right))
-            case ast.BinOp(op=ast.Sub()):
-                return context.subtract(value(node.left), value(node.right))
-            case ast.BinOp(op=ast.Mult()):
-                return context.multiply(value(node.left), value(node.right))
-            case ast.BinOp(op=ast.Div()):
-                return context.divide(value(node.left), value(node.right))
-        raise ValueError("unsupported")
+        if node in numbers:
+            return numbers[node]
+        parts = [node.operand] if isinstance(node, ast.UnaryOp) else [node.left, node.right]
+        return operations[type(node.op)](*map(value, parts))
 
     try:
-        result = value(tree)
+        result = value(tree.body)
     except decimal.DivisionByZero:
         return None, "division_by_zero"
-    except decimal.InvalidOperation:
-        return None, "division_by_zero" if "/" in text else "invalid"
-    except (ValueError, decimal.DecimalException):
-        return None, "unsupported"
-    shown = format(result.normalize(context), "f") if result else "0"
-    return shown, None
+    except decimal.DecimalException:
+        return None, "numeric_limit"
+    shown = format(result.normalize(context), "f")
+    return (shown, None) if result.is_finite() and len(shown) <= MAX_RESULT else (None, "numeric_limit")
 
 
 @F.pandas_udf(T.StructType().add("value", T.StringType()).add("reject", T.StringType()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.sources.tables import token_count
@@ -33,10 +33,19 @@ def evidence_refs(seen: DataFrame) -> DataFrame:
     return first.select("run_id", "chunk_id", F.concat(F.lit("ev_"), n.cast("string")).alias("ref"))
 
 
+# How an answer names evidence.
+_OPEN, _CLOSE, _BETWEEN = r"[\[［【(（]", r"[\]］】)）]", r"\s*[,，;；、]\s*"
+_GROUP = rf"(?i){_OPEN}\s*ev_[0-9]+(?:{_BETWEEN}ev_[0-9]+)*\s*{_CLOSE}"
+
+
+def _refs(group: Column) -> Column:
+    return F.transform(F.regexp_extract_all(group, F.lit("(?i)ev_[0-9]+"), F.lit(0)), F.lower)
+
+
 def citations(answers: DataFrame, known: DataFrame) -> DataFrame:
     """(answer_id, ref, number): references an answer uses, numbered by first use; unknown ones are left out."""
-    groups = F.regexp_extract_all("text", F.lit(r"\[((?:ev_[0-9]+)(?:\s*[,，]\s*ev_[0-9]+)*)\]"), F.lit(1))
-    refs = answers.select("answer_id", F.posexplode(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*[,，]\s*")))).alias("at", "ref"))
+    groups = F.regexp_extract_all("text", F.lit(_GROUP), F.lit(0))
+    refs = answers.select("answer_id", F.posexplode(F.flatten(F.transform(groups, _refs))).alias("at", "ref"))
     used = refs.join(known.select("answer_id", "ref"), ["answer_id", "ref"], "left_semi").groupBy("answer_id", "ref").agg(F.min("at").alias("at"))
     return used.select("answer_id", "ref", F.row_number().over(Window.partitionBy("answer_id").orderBy("at")).alias("number"))
 
@@ -44,12 +53,11 @@ def citations(answers: DataFrame, known: DataFrame) -> DataFrame:
 def rendered(answers: DataFrame, numbered: DataFrame) -> DataFrame:
     """(answer_id, text): citation groups as ``[1][2]``; groups without a known reference vanish."""
     maps = numbered.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", "number"))).alias("numbers"))
-    group = r"\[(?:ev_[0-9]+)(?:\s*[,，]\s*ev_[0-9]+)*\]"
     rows = answers.join(maps, "answer_id", "left").withColumn("numbers", F.coalesce("numbers", F.expr("cast(map() as map<string,int>)")))
-    parts, groups = F.split("text", group, -1), F.regexp_extract_all("text", F.lit(group), F.lit(0))
+    parts, groups = F.split("text", _GROUP, -1), F.regexp_extract_all("text", F.lit(_GROUP), F.lit(0))
 
     def shown(g):
-        found = F.transform(F.regexp_extract_all(g, F.lit("ev_[0-9]+"), F.lit(0)), lambda r: F.try_element_at(F.col("numbers"), r))
+        found = F.transform(_refs(g), lambda r: F.try_element_at(F.col("numbers"), r))
         return F.array_join(F.transform(F.array_distinct(F.filter(found, lambda n: n.isNotNull())), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
 
     body = F.array_join(F.zip_with(parts, F.transform(groups, shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

@@ -79,18 +79,29 @@ def chain_question(query: Column) -> Column:
 def ranked_paths(found: DataFrame, k: int = MAX_PATHS) -> DataFrame:
     """The ``k`` paths shown for a query (G4): one for each seed first, then other first edges, then the rest.
 
-    ``found`` also has ``seed`` (the entry was grounded), ``seed_place`` and ``chain`` (long paths first).
+    ``found`` also has ``seed`` (the entry was grounded), ``seed_place``, ``chain`` (long paths first) and ``explicit`` (the
+    question names a chain itself). A seed's place goes to its first path by the full key for explicit chains, else to its
+    cheapest direct fact. Entries that aren't grounded have places only where the query has no grounded one.
     """
+    query = Window.partitionBy("query_id")
     depth = F.when(F.col("chain"), -F.col("hops")).otherwise(F.col("hops"))
     keyed = found.withColumn("k", F.struct(F.when(F.col("seed"), 0).otherwise(1).alias("a"), depth.alias("b"), F.array_max("ranks").alias("c"), F.aggregate("ranks", F.lit(0).cast("long"), lambda s, x: s + x).alias("d"), F.col("reversals").alias("e"), F.col("path_id").alias("f")))
-    direct = F.struct(F.col("hops"), F.col("k.c"), F.col("k.d"), F.col("path_id"))
-    per_seed = F.row_number().over(Window.partitionBy("query_id", "entry").orderBy(F.when(F.col("chain"), F.col("k.b")).otherwise(0), direct))
-    rows = keyed.withColumn("reserved", per_seed == 1)
-    first_edge = F.element_at("edges", 1)
-    nth = F.row_number().over(Window.partitionBy("query_id", first_edge, "reserved").orderBy("k"))
+    cheapest = F.struct(F.col("hops"), F.col("k.c"), F.col("k.d"), F.col("path_id"))
+    entry = Window.partitionBy("query_id", "entry")
+    first = F.row_number().over(entry.orderBy(F.when(F.col("explicit"), F.col("k")), F.when(~F.col("explicit"), cheapest))) == 1
+    rows = keyed.withColumns({"grounded_": F.max("seed").over(query), "first_": first, "entry_k_": F.min("k").over(entry)})
+    places = F.when(F.col("grounded_"), F.struct(F.col("seed_place").cast("long").alias("p"), F.lit(None).cast(keyed.schema["k"].dataType).alias("k"))).otherwise(
+        F.struct(F.lit(0).cast("long").alias("p"), F.col("entry_k_").alias("k"))
+    )
+    rows = rows.withColumn("place_", places)
+    nth_entry = F.dense_rank().over(query.orderBy(F.when(F.col("seed") | ~F.col("grounded_"), 0).otherwise(1), "place_"))
+    rows = rows.withColumn("nth_", nth_entry)
+    bounded = ~F.col("grounded_") | (F.col("seed") & (F.col("nth_") <= MAX_SEEDS))
+    rows = rows.withColumn("reserved", F.col("first_") & bounded)
+    nth = F.row_number().over(Window.partitionBy("query_id", F.element_at("edges", 1), "reserved").orderBy("k"))
     rows = rows.withColumn("tier", F.when(F.col("reserved"), 0).when(nth == 1, 1).otherwise(2))
-    order = Window.partitionBy("query_id").orderBy("tier", F.when(F.col("tier") == 0, F.col("seed_place")), "k")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("k", "reserved")
+    order = query.orderBy("tier", F.when(F.col("tier") == 0, F.col("place_")), "k")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("k", "reserved", "grounded_", "first_", "entry_k_", "place_", "nth_")
 
 
 def hydrated(found: DataFrame, supports: DataFrame, most: int = MAX_PATHS) -> DataFrame:
@@ -124,5 +135,3 @@ def build_gates(edges: DataFrame, types: DataFrame, aliases: DataFrame, episodes
     ends = edges.select(F.col("source").alias("entity")).unionByName(edges.select(F.col("target").alias("entity"))).distinct()
     rows = rows.unionByName(aliases.select("entity").join(ends, "entity", "left_anti").agg(F.lit("alias_unconnected"), F.count("*")).toDF("gate", "violations"))
     return rows.unionByName(episodes.agg(F.lit("episode_count"), F.abs(F.count("*") - F.lit(expected_episodes))).toDF("gate", "violations"))
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,24 +15,23 @@ from lectern.operators.scope import best_row
 # Admission gates, and candidates of a lane.
 TEXT_GATE, CROSS_GATE = 0.35, 0.25
 CANDIDATES_PER_HIT, MAX_CANDIDATES, COMPLETION_POOL = 4, 40, 100
-#: Queries sent to every task, at most; larger batches have to be split by the caller.
-MAX_QUERIES = 10_000
+#: Queries sent to every task at once, about; larger batches go in several blocks.
+BLOCK_QUERIES = 10_000
 
 
 def candidate_count(k: int) -> int:
     return max(k, min(CANDIDATES_PER_HIT * k, MAX_CANDIDATES))
 
 
-def bounded_queries(queries: DataFrame) -> DataFrame:
-    """A batch of queries as a broadcast side, after its size is checked."""
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"a batch holds at most {MAX_QUERIES} queries")
-    return F.broadcast(queries)
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """A batch of queries as broadcast sides of a bounded size, dealt by a hash after its size is checked."""
+    blocks = -(-queries.count() // BLOCK_QUERIES) or 1
+    dealt = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks))
+    return [F.broadcast(queries.where(dealt == b) if blocks > 1 else queries) for b in range(blocks)]
 
 
 def distances(queries: DataFrame, vectors: DataFrame, exclude_self: bool = True) -> DataFrame:
-    """(query_id, chunk_id, distance) of a bounded batch (query_id, query) against all vectors (chunk_id, embedding).
+    """(query_id, chunk_id, distance) of a batch (query_id, query) against all vectors (chunk_id, embedding).
 
     An exact scan, as there is no vector index: the stated queries go to each vector, and only ids and a number leave.
     """
@@ -38,7 +39,7 @@ def distances(queries: DataFrame, vectors: DataFrame, exclude_self: bool = True)
     # norms once a vector, not once a pair
     sized = vectors.select("chunk_id", "embedding", norm(F.col("embedding")).alias("size"))
     asks = queries.select("query_id", "query", norm(F.col("query")).alias("query_size"))
-    pairs = sized.join(bounded_queries(asks), keep)
+    pairs = functools.reduce(DataFrame.unionByName, [sized.join(block, keep) for block in query_blocks(asks)])
     size = F.col("size") * F.col("query_size")
     distance = F.round(1.0 - F.when(size > 0, dot(F.col("query"), F.col("embedding")) / size), 9) + F.lit(0.0)
     return pairs.select("query_id", "chunk_id", distance.alias("distance"))

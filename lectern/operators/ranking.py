@@ -24,21 +24,24 @@ def weighted_rrf(hits: DataFrame, weights: dict[str, int], k: int, rrf_k: int =
     """Weighted reciprocal rank fusion (F1, AG8, AG9, W4, SO2).
 
     ``hits``: query_id, lane, rank, chunk_id, group_key, text, modality, distance, representation. In each lane a group
-    counts once, by its first hit; the group's shown hit is the best over all. Scores are sums of exact decimals, so
-    ties are real ties, broken by the best lane rank, modality and id. ``weights`` are in millionths.
+    counts once, by its first hit; the group's shown hit is the best of these. Groups are in order of sums of decimals
+    (28 places), so ties are real ties, broken by the best lane rank, modality and id; scores are shown with 12 places.
+    ``weights`` are in millionths.
     """
     micros = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     first = best_row(hits, ["query_id", "lane", "group_key"], "rank", "chunk_id")
-    part = (micros[F.col("lane")].cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)") / (F.col("rank") + rrf_k).cast("decimal(10,0)")).cast("decimal(38,18)")
+    weight = (micros[F.col("lane")].cast("decimal(20,0)") * F.lit(0.000001).cast("decimal(7,6)")).cast("decimal(29,27)")
+    part = (weight / (F.col("rank") + rrf_k).cast("decimal(10,0)")).cast("decimal(38,28)")
     ranks = [F.min(F.when(F.col("lane") == lane, F.col("rank"))).alias(f"{lane}_rank") for lane in weights]
-    scored = first.groupBy("query_id", "group_key").agg(F.bround(F.sum(part), 12).cast("double").alias("score"), F.min("rank").alias("best_rank"), *ranks)
+    scored = first.groupBy("query_id", "group_key").agg(F.sum(part).alias("exact_"), F.min("rank").alias("best_rank"), *ranks)
     shown = best_row(
-        hits.withColumn("m_", modality_order(F.col("modality"))), ["query_id", "group_key"], F.desc(F.length(F.coalesce("text", F.lit(""))) > 0), "m_", "distance", "chunk_id"
+        first.withColumn("m_", modality_order(F.col("modality"))), ["query_id", "group_key"], F.desc(F.length(F.coalesce("text", F.lit(""))) > 0), "m_", "distance", "chunk_id"
     ).select("query_id", "group_key", "chunk_id", F.col("m_").alias("modality_order"))
     kinds = hits.groupBy("query_id", "group_key").agg(F.sort_array(F.collect_set("representation")).alias("representations"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "best_rank", "modality_order", "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("exact_"), "best_rank", "modality_order", "chunk_id")
     both = scored.join(shown, ["query_id", "group_key"]).join(kinds, ["query_id", "group_key"])
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.withColumn("score", F.bround("exact_", 12).cast("double")).drop("exact_")
 
 
 def plain_rrf(hits: DataFrame, rrf_k: int = RRF_K, places: int = 12) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# diversity's weight and its hard limit, chunks of paths, characters of a reply.
+# diversity's weight and its hard limit, chunks of paths, characters of a reply and of a chunk's overhead.
 MMR_LAMBDA, MAX_SIMILARITY = 0.75, 0.45
-PATH_SOFT, PATH_HARD, FAIR_CHARS = 12, 16, 96_000
+PATH_SOFT, PATH_HARD, FAIR_CHARS, FAIR_OVERHEAD = 12, 16, 96_000, 256
 
 
 def _similarity(a: frozenset, b: frozenset) -> float:
@@ -59,20 +59,21 @@ def packed(items: DataFrame, most_items: int, most_tokens: int) -> DataFrame:
 
 
 def packed_paths(paths: DataFrame, soft: int = PATH_SOFT, hard: int = PATH_HARD) -> DataFrame:
-    """(query_id, path_id, chunk_id, place): whole paths in order of rank until the soft target is reached; a path that
-    would pass the hard limit is skipped; shared chunks count once (T14). ``paths``: query_id, path_id, rank, chunks."""
+    """(query_id, path_id, chunk_id, place): whole paths in order of rank while they fit the hard limit; a path that
+    would pass it is skipped, and ends the choice once the soft target is reached; shared chunks count once (T14).
+    ``paths``: query_id, path_id, rank, chunks."""
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        out, have = [], set()
+        places: dict = {}
+        out = []
         for r in frame.sort_values(["rank", "path_id"]).itertuples():
-            if len(have) >= soft:
+            new = [c for c in dict.fromkeys(r.chunks) if c not in places]
+            if len(places) + len(new) <= hard:
+                for c in new:
+                    places[c] = len(places) + 1
+                    out.append((r.path_id, c, places[c]))
+            elif len(places) >= soft:
                 break
-            fresh = [c for c in dict.fromkeys(r.chunks) if c not in have]
-            if len(have) + len(fresh) > hard:
-                continue
-            for c in fresh:
-                have.add(c)
-                out.append((r.path_id, c, len(have)))
         rows = pd.DataFrame(out, columns=["path_id", "chunk_id", "place"])
         rows.insert(0, "query_id", frame["query_id"].iloc[0])
         return rows
@@ -80,30 +81,32 @@ def packed_paths(paths: DataFrame, soft: int = PATH_SOFT, hard: int = PATH_HARD)
     return paths.select("query_id", "path_id", "rank", "chunks").groupBy("query_id").applyInPandas(choose, "query_id long, path_id string, chunk_id long, place int")
 
 
-def fair_shares(units: DataFrame, allowance: int = FAIR_CHARS) -> DataFrame:
+def fair_shares(chunks: DataFrame, allowance: int = FAIR_CHARS) -> DataFrame:
     """(query_id, group_id, unit): whole units taken from the groups in turn while they fit the allowance.
 
-    A group whose next unit doesn't fit is done; the others go on.
+    ``chunks``: query_id, group_id, unit, chunk_id, chars, sent, a row a chunk of a unit. A chunk costs its characters and
+    an overhead, or nothing if it was sent before or is in a unit already taken. A unit that doesn't fit is left out, and
+    its group goes on with the next one.
     """
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        queues = {g: list(rows.sort_values("unit").itertuples()) for g, rows in frame.groupby("group_id", sort=True)}
-        out, used = [], 0
-        while queues:
-            for g in list(queues):
-                unit = queues[g].pop(0)
-                if used + unit.chars > allowance:
-                    del queues[g]
-                    continue
-                used += unit.chars
-                out.append((g, unit.unit))
-                if not queues[g]:
-                    del queues[g]
+        have = set(frame.loc[frame["sent"].astype(bool), "chunk_id"])
+        turns = frame[["group_id", "unit"]].drop_duplicates().sort_values(["group_id", "unit"])
+        turns = turns.assign(turn=turns.groupby("group_id").cumcount()).sort_values(["turn", "group_id"])
+        content = {key: list(zip(rows["chunk_id"], rows["chars"])) for key, rows in frame.groupby(["group_id", "unit"])}
+        out, left = [], allowance
+        for g, u in zip(turns["group_id"], turns["unit"]):
+            cost = sum(chars + FAIR_OVERHEAD for c, chars in content[g, u] if c not in have)
+            if cost <= left:
+                left -= cost
+                have.update(c for c, _ in content[g, u])
+                out.append((g, u))
         rows = pd.DataFrame(out, columns=["group_id", "unit"])
         rows.insert(0, "query_id", frame["query_id"].iloc[0])
         return rows
 
-    return units.select("query_id", "group_id", "unit", "chars").groupBy("query_id").applyInPandas(choose, "query_id long, group_id long, unit long")
+    rows = chunks.select("query_id", "group_id", "unit", "chunk_id", "chars", "sent")
+    return rows.groupBy("query_id").applyInPandas(choose, "query_id long, group_id long, unit long")
 
 
 def visual_candidates(candidates: DataFrame, most: int, least_similarity: float = 0.25) -> DataFrame:

@@ -148,10 +148,11 @@ def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", vl.without_key(j, "a").alias("without_a"), vl.has_key(j, "b").alias("has_b"), vl.merged(j, F.lit('{"b":"3"}')).alias("merged"), vl.contains(j, F.lit('{"b":"3"}')).alias("contains_b3"))
 
 
-@query("""SELECT * FROM (VALUES ('1 + 2 * 3', '7', NULL), ('1 / 4', '0.25', NULL), ('(1.10 - 0.1) * -2', '-2', NULL), ('1 / 0', NULL, 'division_by_zero'), ('2 ** 3', NULL, 'unsupported'), ('1 +', NULL, 'invalid'), ('', NULL, 'empty')) t(expression, value, reject)""")
+@query("""SELECT * FROM (VALUES ('1 + 2 * 3', '7', NULL), ('1 / 4', '0.25', NULL), ('(1.10 - 0.1) * -2', '-2', NULL), ('1 / 0', NULL, 'division_by_zero'), ('2 ** 3', NULL, 'unsupported_ast'), ('1 +', NULL, 'syntax'), ('', NULL, 'expression_empty'),
+    ('0x10 / 2', NULL, 'syntax'), ('1e5', NULL, 'syntax'), ('0 / 0', NULL, 'numeric_limit'), ('.5 + 1_000', '1000.5', NULL), ('True + 1', NULL, 'unsupported_ast')) t(expression, value, reject)""")
 def decimal_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact decimal arithmetic and its reject reasons."""
-    rows = values(spark, [("1 + 2 * 3",), ("1 / 4",), ("(1.10 - 0.1) * -2",), ("1 / 0",), ("2 ** 3",), ("1 +",), ("",)], "expression string")
+    rows = values(spark, [("1 + 2 * 3",), ("1 / 4",), ("(1.10 - 0.1) * -2",), ("1 / 0",), ("2 ** 3",), ("1 +",), ("",), ("0x10 / 2",), ("1e5",), ("0 / 0",), (".5 + 1_000",), ("True + 1",)], "expression string")
     return rows.select("expression", vl.calculated(F.col("expression")).alias("c")).select("expression", "c.value", "c.reject")
 
 
@@ -176,9 +177,13 @@ def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of every document chunked; a hash of its text stands for a unit's distance."""
+    """Units of every document chunked; how few terms neighbours share is their distance, units with pipes
+    are tables, and short ones head sections."""
     u = chunking.units(table(spark, sf_dir, "documents"))
-    rows = u.withColumn("smooth", F.pmod(F.xxhash64("text"), F.lit(chunking.QUANTUM))).withColumn("hard", F.lit(False))
+    kind = F.when(F.instr("text", "|") > 0, "table").when(F.length("text") < 20, "heading").otherwise("text")
+    marked = u.withColumns({"ordinal": F.col("unit"), "surface": F.lit(0), "kind": kind, "section": F.lit("")})
+    rows = chunking.boundary_reasons(marked).withColumn("terms", F.array_distinct(tx.terms(F.col("text"))))
+    rows = chunking.smoothed(chunking.term_distances(rows))
     return chunking.semantic_chunks(rows)
 
 
@@ -186,8 +191,8 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every page folded into chunks under their headings."""
     b = bl.blocks(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
-    b = b.withColumn("kind", F.when(F.col("kind") == "heading", "heading").otherwise("text"))
-    return chunking.structural_chunks(chunking.section_paths(b))
+    kind = F.when(F.col("kind") == "heading", "heading").when(F.col("kind") == "table_row", "table").otherwise("text")
+    return chunking.structural_chunks(chunking.section_paths(b.withColumn("kind", kind)))
 
 
 @query()
@@ -256,5 +261,5 @@ def fair_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of each source's documents taken in turn under 96,000 characters a language."""
     d = table(spark, sf_dir, "documents")
     lang = F.pmod(F.crc32("lang"), F.lit(1000))
-    units = d.select(lang.alias("query_id"), F.pmod(F.crc32("source"), F.lit(100_000)).alias("group_id"), F.col("doc_id").alias("unit"), F.length("text").cast("long").alias("chars"))
-    return selection.fair_shares(units)
+    units = d.select(lang.alias("query_id"), F.pmod(F.crc32("source"), F.lit(100_000)).alias("group_id"), F.col("doc_id").alias("unit"), F.col("doc_id").alias("chunk_id"), F.length("text").cast("long").alias("chars"), F.lit(False).alias("sent"))
+    return selection.fair_shares(units.where("chars is not null"))

@@ -290,10 +290,11 @@ def rrf_two_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_TWO_SQL}, h AS (SELECT *, 'g' || (chunk_id // 2) AS group_key, CASE label % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'image' END AS modality FROM top),
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lane, group_key ORDER BY rank, chunk_id) AS n FROM h) WHERE n = 1),
-    s AS (SELECT query_id, group_key, round_even(sum((CASE lane WHEN 'dense_text' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END) / (60 + rank)), 12) AS score, min(rank) AS best FROM f GROUP BY 1, 2),
-    b AS (SELECT * FROM (SELECT *, label % 3 AS m, row_number() OVER (PARTITION BY query_id, group_key ORDER BY label % 3, distance, chunk_id) AS n FROM h) WHERE n = 1)
+    s AS (SELECT query_id, group_key, sum((CASE lane WHEN 'dense_text' THEN 1000000 ELSE 700000 END)::HUGEINT * 10000000000000000000000000 // (60 + rank))::HUGEINT AS exact,
+        round_even(sum((CASE lane WHEN 'dense_text' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END) / (60 + rank)), 12) AS score, min(rank) AS best FROM f GROUP BY 1, 2),
+    b AS (SELECT * FROM (SELECT * EXCLUDE (n), label % 3 AS m, row_number() OVER (PARTITION BY query_id, group_key ORDER BY label % 3, distance, chunk_id) AS n FROM f) WHERE n = 1)
     SELECT query_id, group_key, chunk_id, score, rank::INTEGER AS rank FROM (
-        SELECT s.query_id, s.group_key, b.chunk_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, best, m, b.chunk_id) AS rank
+        SELECT s.query_id, s.group_key, b.chunk_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY exact DESC, best, m, b.chunk_id) AS rank
         FROM s JOIN b ON s.query_id = b.query_id AND s.group_key = b.group_key) WHERE rank <= 20"""
 )
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:

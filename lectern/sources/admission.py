@@ -26,6 +26,7 @@ MEDIA_TYPES = {
     ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
     ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
 }
+DELIMITERS = ",;\t|:"
 MAX_LINES, MAX_COLUMNS, MAX_CELLS = 200_000, 1_024, 200_000
 
 
@@ -65,20 +66,30 @@ def admitted(found: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StructType().add("delimiter", T.StringType()).add("rows", T.LongType()).add("columns", T.LongType()).add("cells", T.LongType()).add("reject", T.StringType()))
 def csv_shape(texts: pd.Series) -> pd.DataFrame:
-    """The delimiter that the first lines suggest, and the shape under it, against the bounds (SRC5, S31)."""
-    out = []
-    for text in texts:
-        text = text or ""
-        try:
-            dialect = csv.Sniffer().sniff(text[:8192], delimiters=",;\t|")
-        except csv.Error:
-            dialect = csv.excel
-        rows = columns = cells = 0
-        for row in csv.reader(io.StringIO(text), dialect):
+    """The delimiter that the first line suggests, and the shape under it, read strictly, against the bounds (SRC5, S31)."""
+    return pd.DataFrame([_shape(text or "") for text in texts], columns=["delimiter", "rows", "columns", "cells", "reject"])
+
+
+def _shape(text: str) -> tuple:
+    lines = io.StringIO(text, newline="")
+    try:
+        dialect = csv.Sniffer().sniff(lines.readline(), delimiters=DELIMITERS)
+    except csv.Error:
+        dialect = csv.excel
+    if dialect.delimiter not in DELIMITERS:
+        dialect = csv.excel
+    lines.seek(0)
+    rows = columns = cells = 0
+    reject = None
+    try:
+        for row in csv.reader(lines, dialect, strict=True):
             rows, columns, cells = rows + 1, max(columns, len(row)), cells + len(row)
-        reject = "too_many_columns" if columns > MAX_COLUMNS else "too_many_cells" if cells > MAX_CELLS else None
-        out.append((dialect.delimiter, rows, columns, cells, reject))
-    return pd.DataFrame(out, columns=["delimiter", "rows", "columns", "cells", "reject"])
+            reject = "too_many_columns" if columns > MAX_COLUMNS else "too_many_cells" if cells > MAX_CELLS else None
+            if reject:
+                break
+    except (csv.Error, ValueError):  # a field without an end, or longer than the reader allows
+        reject = "csv_structure"
+    return dialect.delimiter, rows, columns, cells, reject
 
 
 def _safe(name: str) -> bool:

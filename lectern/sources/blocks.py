@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 _SKIP = {"script", "style", "nav", "footer", "head", "noscript", "template"}
 _BLOCK = {"p", "div", "article", "section", "main", "ul", "ol", "table", "tr", "br", "blockquote", "header", "aside", "body", "html", "pre"}
+_CONTENT, _VOID = {"body", "main", "article"}, {"br", "img", "hr", "input", "link", "meta", "source", "wbr", "col", "area", "base", "embed", "track"}
 _HEADING = re.compile(r"h([1-6])$")
 
 
@@ -20,10 +21,15 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[str, int, str, str | None]] = []
-        self.skip, self.kind, self.depth, self.held = 0, "text", 0, []
+        self.kind, self.depth, self.held = "text", 0, []
+        self.open: list[str] = []  # elements that are open; one that encloses another's end ends with it
         self.row: list[str] = []
         self.image: str | None = None
 
+    @property
+    def skip(self) -> bool:
+        return any(tag in _SKIP for tag in self.open)
+
     def close_block(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
@@ -31,12 +37,15 @@ class _Blocks(HTMLParser):
         self.held, self.kind, self.depth = [], "text", 0
 
     def handle_starttag(self, tag, attrs):
+        if tag in _CONTENT:  # what holds a page's content ends an unclosed part that is skipped
+            self.open = [t for t in self.open if t not in _SKIP]
         if tag in _SKIP:
             self.close_block()
-            self.skip += 1
-        elif self.skip:
+        if tag not in _VOID:
+            self.open.append(tag)
+        if self.skip:
             return
-        elif m := _HEADING.match(tag):
+        if m := _HEADING.match(tag):
             self.close_block()
             self.kind, self.depth = "heading", int(m[1])
         elif tag == "li":
@@ -53,11 +62,11 @@ class _Blocks(HTMLParser):
             self.row = [] if tag == "tr" else self.row
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
+        skipped = self.skip
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+        if skipped:
             self.held = []
-        elif self.skip:
-            return
         elif tag in ("td", "th"):
             self.row.append(" ".join("".join(self.held).split()))
             self.held, self.kind = [], "text"

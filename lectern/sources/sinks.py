@@ -41,11 +41,29 @@ def removed_counts(tables: dict[str, DataFrame], retired: DataFrame, keys: Seque
     return out
 
 
+_STORED = "sha256 string, content binary, shard string"
+
+
 def store_immutable(found: DataFrame, at: str) -> DataFrame:
-    """Writes (path, content) under the content's hash, once for each hash (SRC12); returns (path, sha256, stored_at)."""
-    hashed = found.withColumn("sha256", F.sha2("content", 256))
-    hashed.dropDuplicates(["sha256"]).select("sha256", "content", F.substring("sha256", 1, 2).alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(at)
-    return hashed.select("path", "sha256", F.concat(F.lit(at.rstrip("/") + "/shard="), F.substring("sha256", 1, 2)).alias("stored_at"))
+    """Adds (path, content) under the content's hash where the store lacks that hash; nothing stored is ever replaced (SRC12).
+
+    Returns (path, sha256, stored_at)."""
+    hashed = found.withColumn("sha256", F.sha2("content", 256)).withColumn("shard", F.substring("sha256", 1, 2))
+    new = hashed.dropDuplicates(["sha256"])
+    if _exists(found.sparkSession, at):
+        new = new.join(found.sparkSession.read.schema(_STORED).parquet(at).select("sha256"), "sha256", "left_anti")
+    new.select("sha256", F.col("content").cast("binary").alias("content"), "shard").write.mode("append").partitionBy("shard").parquet(at)
+    return hashed.select("path", "sha256", F.concat(F.lit(at.rstrip("/") + "/shard="), "shard").alias("stored_at"))
+
+
+def read_immutable(spark: SparkSession, at: str) -> DataFrame:
+    """(sha256, content, intact): what is stored, checked against its hash (SRC12)."""
+    return spark.read.schema(_STORED).parquet(at).select("sha256", "content", (F.sha2("content", 256) == F.col("sha256")).alias("intact"))
+
+
+def _exists(spark: SparkSession, at: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def write_jsonl(df: DataFrame, at: str) -> None:
@@ -58,11 +76,14 @@ def read_jsonl(spark: SparkSession, at: str, schema: str) -> DataFrame:
 
 
 def write_segments(df: DataFrame, at: str, segment: str) -> None:
-    """Writes one folder a segment and skips those that are complete, so a stopped run resumes where it was (SRC11)."""
+    """Writes one folder a segment and skips those that are complete, so a stopped run resumes where it was (SRC11).
+
+    One job writes all missing segments, dealt out by segment and a salt; then a marker a segment makes them count."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for row in df.select(segment).distinct().orderBy(segment).toLocalIterator():
-        path = f"{at}/{segment}={row[0]}"
-        hadoop = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            df.where(F.col(segment) == row[0]).drop(segment).write.mode("overwrite").parquet(path)
+    done = f"{at}/_segments"
+    missing = df
+    if _exists(spark, done):
+        missing = df.join(spark.read.schema("name string").json(done), df[segment].cast("string") == F.col("name"), "left_anti")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(8))
+    missing.repartition(segment, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(segment).parquet(at)
+    missing.select(F.col(segment).cast("string").alias("name")).distinct().write.mode("append").json(done)

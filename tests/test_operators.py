@@ -1,6 +1,7 @@
 """Operators on small literal rows: branches that the driver's tables don't reach."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -82,12 +83,20 @@ def test_packing_skips_what_does_not_fit(spark):
     assert [r.item for r in selection.packed(items, 3, 100).orderBy("place").collect()] == [0, 2, 3]
     paths = spark.createDataFrame([(1, "a", 1, list(range(10))), (1, "b", 2, list(range(5, 15))), (1, "c", 3, [1, 2, 30]), (1, "d", 4, [40])], "query_id long, path_id string, rank int, chunks array<long>")
     rows = selection.packed_paths(paths).collect()
-    assert {r.path_id for r in rows} == {"a", "b"} and len(rows) == 15
+    assert [(r.path_id, r.chunk_id) for r in sorted(rows, key=lambda r: r.place)][10:] == [("b", 10), ("b", 11), ("b", 12), ("b", 13), ("b", 14), ("c", 30)]
+    # a path that would pass the limit is skipped below the soft target, and ends the choice from there on
+    paths = spark.createDataFrame([(1, "a", 1, list(range(8))), (1, "b", 2, list(range(20, 30))), (1, "c", 3, list(range(30, 36))), (1, "d", 4, [50, 51, 52]), (1, "e", 5, [60])], "query_id long, path_id string, rank int, chunks array<long>")
+    assert {r.path_id for r in selection.packed_paths(paths).collect()} == {"a", "c"}
 
 
 def test_fair_shares_and_visual_candidates(spark):
-    units = spark.createDataFrame([(1, g, u, 40) for g in (1, 2) for u in range(3)], "query_id long, group_id long, unit long, chars long")
-    assert [(r.group_id, r.unit) for r in selection.fair_shares(units, 130).collect()] == [(1, 0), (2, 0), (1, 1)]
+    schema = "query_id long, group_id long, unit long, chunk_id long, chars long, sent boolean"
+    units = [(1, g, u, 10 * g + u, 44, False) for g in (1, 2) for u in range(3)]
+    taken = lambda rows, allowance: [(r.group_id, r.unit) for r in selection.fair_shares(spark.createDataFrame(rows, schema), allowance).collect()]
+    assert taken(units, 900) == [(1, 0), (2, 0), (1, 1)]
+    # a unit that doesn't fit is left out and its group goes on; what was sent, or is taken already, costs nothing
+    units = [(1, 1, 0, 1, 1000, False), (1, 1, 1, 2, 44, False), (1, 1, 2, 3, 900, True), (1, 2, 0, 4, 44, False), (1, 2, 1, 2, 44, False), (1, 2, 1, 4, 44, False)]
+    assert taken(units, 600) == [(2, 0), (1, 1), (2, 1), (1, 2)]
     rows = [(1, 1, "c1", "g1", 9, 0.9, True, True), (1, 2, "c1", "g2", 8, 0.9, True, True), (1, 3, "c3", "g3", 7, 0.1, True, True), (1, 4, "c4", "g4", 6, 0.9, False, True), (1, 5, "c5", "g5", 5, 0.9, True, False), (1, 6, "c6", "g6", 4, 0.9, True, True), (1, 7, "c7", "g7", 3, 0.9, True, True)]
     found = selection.visual_candidates(spark.createDataFrame(rows, "query_id long, asset_id long, checksum string, group_key string, priority long, similarity double, parent_admitted boolean, relation_strong boolean"), 2)
     assert {r.asset_id: r.decision for r in found.collect()} == {1: "selected", 2: "duplicate", 3: "low_similarity", 4: "parent_not_admitted", 5: "weak_relation", 6: "selected", 7: "budget"}
@@ -117,7 +126,49 @@ def test_structural_and_semantic_chunks(spark):
     assert windows[1].split()[0] == "700" and windows[-1].split()[-1] == "1999"
     folded = chunking.fold_blocks([("heading", "A", "A"), ("text", "A", "hello"), ("table", "A", "| x |"), ("heading", "B", "B")])
     assert folded == [("A", "A\nhello"), ("A", "| x |"), ("A", "B")]
-    assert chunking.merge_small([[0], [1], [2]], [100, 500, 100]) == [[0, 1, 2]] or chunking.merge_small([[0], [1], [2]], [100, 500, 100]) == [[0, 1], [2]]
+
+
+def test_only_cuts_between_sections_are_merged():
+    cuts = [(0, "table"), (1, "section"), (2, "section")]
+    assert chunking.merge_sections([100, 100, 500, 100], cuts) == [(0, "table")]
+    assert chunking.merge_sections([100, 500, 100], [(0, "table"), (1, "block")]) == [(0, "table"), (1, "block")]
+    # the next one first, the one before if that doesn't fit, and again after a merge
+    assert chunking.merge_sections([300, 100, 750], [(0, "section"), (1, "section")]) == [(1, "section")]
+    assert chunking.merge_sections([100, 100, 100, 700], [(0, "section"), (1, "section"), (2, "section")]) == [(2, "section")]
+    # merging comes after the choice: a region that was cut keeps its semantic cuts
+    sizes, reasons = [300, 300, 100], [None, None, "section"]
+    assert chunking.span_cuts(sizes, [9, 0, 0], reasons) == []
+    assert chunking.span_cuts([400, 500, 100], [900000, 0, 0], reasons) == [(0, "semantic")]
+    assert chunking.span_cuts([400, 500, 100], [900000, 0, 0], [None, None, "table"]) == [(0, "semantic"), (1, "table")]
+
+
+def brute_boundaries(sizes, scores):
+    """All ways to cut, by the rules of the choice; ties settled step by step as a table over ends would."""
+    n = len(sizes)
+    limit = chunking._threshold([x for x in scores[: n - 1] if x is not None])
+    best = {0: (0, 0, ())}
+    for end in range(1, n + 1):
+        options = []
+        for start in range(end):
+            size = sum(sizes[start:end])
+            if start in best and chunking.CHUNK_MIN <= size <= chunking.CHUNK_MAX:
+                gain = max(0, scores[end - 1] - limit) if end < n and scores[end - 1] is not None else 0
+                miss = abs(size - chunking.CHUNK_TARGET)
+                reward, chunks, cuts = best[start]
+                options.append((-(reward + gain - chunking._half_up(miss * chunking.SIZE_WEIGHT, chunking.CHUNK_TARGET)), miss, chunks + 1, cuts + ((end - 1,) if end < n else ())))
+        if options:
+            o = min(options)
+            best[end] = (-o[0], o[2], o[3])
+    return list(best[n][2]) if n in best else None
+
+
+def test_boundaries_against_all_ways():
+    rng = random.Random(8)
+    for _ in range(200):
+        sizes = [rng.choice([40, 80, 110, 160]) for _ in range(rng.randint(6, 24))]
+        scores = [rng.choice([None, 0, 100_000, 400_000, 900_000]) for _ in sizes]
+        if sum(sizes) > chunking.CHUNK_MAX and (expected := brute_boundaries(sizes, scores)) is not None:
+            assert chunking.choose_boundaries(sizes, scores) == expected
 
 
 def test_common_prefix(spark):
@@ -210,29 +261,106 @@ def test_citations(spark):
     known = spark.createDataFrame([(1, "ev_1"), (1, "ev_2")], "answer_id int, ref string")
     numbered = conversation.citations(answers, known)
     assert conversation.rendered(answers, numbered).first().text == "x [1][2] y "
-
-
-def test_streams(spark, tmp_path):
-    import datetime
-
-    base = datetime.datetime(2024, 1, 1)
-    at = lambda s: base + datetime.timedelta(seconds=s)
-    schema = "job_id long, ts timestamp, attempt long, status string"
-    batches = [
-        [(1, at(0), 1, "running"), (2, at(0), 1, "running"), (2, at(5), 1, "completed"), (2, at(6), 2, "running")],
-        [(3, at(400), 1, "queued")],
-        [(3, at(800), 1, "running"), (1, at(801), 0, "completed")],
-    ]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b{i}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = jobs.job_states(stream).writeStream.format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    found = {}
-    for r in spark.table("states").collect():
-        found.setdefault(r.job_id, []).append(r.status)
-    assert found[1] == ["running", "retry_wait"]
-    assert found[2] == ["running", "completed"]
-    unique = jobs.unique_requests(stream.withColumnRenamed("job_id", "key")).writeStream.format("memory").queryName("unique").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    unique.awaitTermination(120)
-    assert spark.table("unique").count() >= 3
+    # brackets, separators and cases that an answer may use
+    answers = spark.createDataFrame([(1, "a（ev_2；EV_1）b【 ev_1 】c [ev_2、ev_9] (Ev_1, ev_2) (even) ［ev_9］.")], "answer_id int, text string")
+    numbered = conversation.citations(answers, known)
+    assert {r.ref: r.number for r in numbered.collect()} == {"ev_2": 1, "ev_1": 2}
+    assert conversation.rendered(answers, numbered).first().text == "a[1][2]b[2]c [1] [2][1] (even) ."
+
+
+def test_fusion_shows_the_best_first_hit_of_a_lane(spark):
+    hits = [
+        (1, "dense_text", 1, 10, "g", "t", "text", 0.5, "r"), (1, "dense_text", 2, 11, "g", "t", "text", 0.1, "q"),  # a later hit never represents
+        (1, "lexical", 1, 12, "g", "t", "image", 0.2, "r"), (1, "dense_text", 3, 13, "h", "", "text", 0.1, "r"), (1, "lexical", 2, 14, "h", "t", "table", 0.9, "r"),
+    ]
+    df = spark.createDataFrame(hits, "query_id long, lane string, rank int, chunk_id long, group_key string, text string, modality string, distance double, representation string")
+    out = {r.group_key: r for r in ranking.weighted_rrf(df, {"dense_text": 1_000_000, "lexical": 700_000}, 5).collect()}
+    assert (out["g"].chunk_id, out["g"].representations, out["g"].rank) == (10, ["q", "r"], 1)
+    assert out["h"].chunk_id == 14 and out["g"].score == round(1 / 61 + 0.7 / 61, 12)
+    # scores that differ beyond the 12 places shown are no tie: 1/(60+r) sums for ranks far out
+    many = [(1, lane, rank, c, f"g{c}", "t", "text", 0.1, "r") for c, (lane, rank) in enumerate([("dense_text", 2_000_000), ("dense_text", 2_000_001)])]
+    order = ranking.weighted_rrf(spark.createDataFrame(many[::-1], df.schema), {"dense_text": 1_000_000, "lexical": 700_000}, 5).orderBy("rank").collect()
+    assert [r.group_key for r in order] == ["g0", "g1"] and order[0].score == order[1].score
+
+
+def test_seeds_keep_a_path_each(spark):
+    def rows(chain, explicit, seed):
+        found = [("a", 1, ["1"], [5], 0), ("a", 1, ["1", "2"], [5, 6], 0), ("b", 2, ["3"], [9], 0), ("b", 2, ["3", "4", "5"], [9, 1, 1], 1)]
+        return spark.createDataFrame([(1, e, place, edges, ranks, rev, len(edges), f"{e}{len(edges)}", seed, chain, explicit) for e, place, edges, ranks, rev in found],
+            "query_id long, entry string, seed_place int, edges array<string>, ranks array<long>, reversals int, hops int, path_id string, seed boolean, chain boolean, explicit boolean")
+
+    reserved = lambda *flags: [r.path_id for r in graph.ranked_paths(rows(*flags)).where("tier = 0").orderBy("rank").collect()]
+    assert reserved(True, True, True) == ["a2", "b3"]  # an explicit chain: the first by the full key, long ones first
+    assert reserved(True, False, True) == ["a1", "b1"]  # an inferred one: the cheapest direct fact
+    assert reserved(True, True, False) == ["b3", "a2"]  # nothing grounded: entries by their first path
+    assert reserved(False, False, True) == ["a1", "b1"]
+
+
+def test_entities_written_in_other_ways(spark):
+    names = ["Open Data Platform (ODP)", "某某基金会", "Müller", "X", None, "蓝天服务有限公司"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(tx.surface_variants("n").alias("v"))
+    assert [r.v for r in df.collect()] == [["opendataplatformodp", "odpo", "odp"], ["某某基金会", "某某"], ["müller", "ml"], [], None, ["蓝天服务有限公司", "蓝天服务", "蓝天服务有限"]]
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("0x10/2", "syntax"), ("1e99999", "syntax"), ("9" * 65, "syntax"), ("1/0", "division_by_zero"), ("0/0", "numeric_limit"), ("+".join(["1"] * 40), "too_complex"),
+    ("a+1", "unsupported_ast"), ("True", "unsupported_ast"), ("1 if 1 else 2", "unsupported_ast"), ("1" + " " * 600, "expression_too_long"), (" ", "expression_empty"),
+    ("1" * 64 + "*" + "1" * 64, None), ("*".join(["9" * 60] * 6), "numeric_limit"),
+])
+def test_calculator_bounds(text, expected):
+    assert vl.calculate(text)[1] == expected
+
+
+def test_csv_that_cannot_be_read(spark):
+    texts = ["a,b\n1,2\n", "a;b\n1;2\n3;4", "x:y\n1:2", "plain", "", 'a,"b\n' + "x" * 200_000, "," * 1100]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", admission.csv_shape("t").alias("s")).select("i", "s.*").orderBy("i").collect()
+    assert [r.reject for r in got] == [None] * 5 + ["csv_structure", "too_many_columns"]
+    assert [(r.delimiter, r.rows, r.columns) for r in got[:4]] == [(",", 2, 2), (";", 3, 2), (":", 2, 2), (",", 1, 1)]
+
+
+def test_immutable_store_keeps_what_it_holds(spark, tmp_path):
+    at = tmp_path.as_uri() + "/store"
+    one = spark.createDataFrame([("a", b"x"), ("b", b"y"), ("c", b"x")], "path string, content binary")
+    sinks.store_immutable(one, at).collect()
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    sinks.store_immutable(spark.createDataFrame([("d", b"x"), ("e", b"z")], "path string, content binary"), at).collect()
+    assert {f: f.stat().st_mtime_ns for f in files} == files
+    stored = sinks.read_immutable(spark, at).collect()
+    assert sorted(bytes(r.content) for r in stored) == [b"x", b"y", b"z"] and all(r.intact for r in stored)
+
+
+def test_segments_resume(spark, tmp_path):
+    at = tmp_path.as_uri() + "/segments"
+    sinks.write_segments(spark.range(10).selectExpr("id", "id % 2 as part"), at, "part")
+    sinks.write_segments(spark.range(100).selectExpr("id", "id % 3 as part"), at, "part")  # only part 2 is missing
+    got = spark.read.parquet(*[f"{at}/part={p}" for p in range(3)]).count()
+    assert got == 10 + 33
+
+
+def test_unclosed_parts_end_where_content_begins():
+    parse = blocks.html_rows
+    html = "<html><head><title>t</title><body><nav><a>menu</a><main><p>kept</p></main><footer>foot</body></html><p>after</p>"
+    assert [r[2] for r in parse(html)] == ["kept", "after"]
+    assert [r[2] for r in parse("<div><nav><ul><li>x</div><p>text</p>")] == ["text"]
+
+
+def test_batches_of_any_size_are_answered(spark, monkeypatch):
+    rows = [(i, [float(i % 7) + 1, float(i % 5)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asks = vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = sorted(map(tuple, lanes.distances(asks, vectors).collect()))
+    monkeypatch.setattr(lanes, "BLOCK_QUERIES", 7)
+    assert sorted(map(tuple, lanes.distances(asks, vectors).collect())) == whole and len(whole) == 60 * 59
+
+
+def test_progress_that_is_too_large_is_named(spark, tmp_path):
+    schema = "run_id long, seq long, payload string"
+    spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "x" * 5000), (3, 1, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = jobs.rate_limited(stream, (tmp_path / "out").as_uri(), str(tmp_path / "cp")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r.run_id: (r.payload, r.seq, r.oversized) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: ("b", 2, False), 2: (None, 1, True), 3: (None, 1, False)}
