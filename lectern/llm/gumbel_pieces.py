@@ -170,14 +170,14 @@ class Lattices:
     def states_of(self, units: list[str]) -> np.ndarray:
         """The first state of each unit; what is missing is added."""
         states, whole = self.states, self.whole
-        missing = [u for u in dict.fromkeys(units) if u not in states and u not in whole]
-        long: dict[str, int] = {}
-        if missing:
-            self._add([u for u in missing if len(u) <= _LONG])
-            long = {u: self._add_whole(u) for u in missing if u not in states}
         found = list(map(states.get, units))
-        if None in found:
-            found = [(long[u] if u in long else whole[u]) if state is None else state for u, state in zip(units, found)]
+        gaps = [i for i, state in enumerate(found) if state is None]
+        if gaps:
+            missing = dict.fromkeys(units[i] for i in gaps)
+            self._add([u for u in missing if len(u) <= _LONG and u not in whole])
+            first = {u: states[u] if u in states else whole[u] if u in whole else self._add_whole(u) for u in missing}
+            for i in gaps:
+                found[i] = first[units[i]]
         return np.array(found, dtype=np.int64)
 
     def _put(self, degree: np.ndarray, mass: np.ndarray, to: np.ndarray, ids: np.ndarray) -> None:
@@ -223,6 +223,7 @@ class Lattices:
         state, node, at = np.arange(m), np.zeros(m, dtype=np.int64), base + np.arange(m)
         single = np.zeros(m, dtype=bool)
         edges: list[tuple[np.ndarray, ...]] = []
+        first = True
         while len(state):
             key = node * v.characters + char[at]
             place = np.minimum(np.searchsorted(v.walk_key, key), len(v.walk_key) - 1)
@@ -230,21 +231,23 @@ class Lattices:
             state, node, at = state[ok], v.walk_child[place[ok]], tail[at[ok]]
             piece = v.node_piece[node]
             hit = piece >= 0
-            if not edges:
+            if first:
                 single[state[hit]] = True
+                first = False
             edges.append((state[hit], at[hit], piece[hit], v.node_weight[node[hit]]))
             on = at >= 0
             state, node, at = state[on], node[on], at[on]
         spelled = np.flatnonzero(~single)  # characters that are no piece
         spelling = [self._bytes(rests[k][0]) for k in spelled]
-        edges.append((spelled, tail[base + spelled], np.array([x for x, _ in spelling], dtype=np.int64), np.array([w for _, w in spelling])))
-        state, to, ids, weight = (np.concatenate(x) for x in zip(*edges))
+        edges.insert(0, (spelled, tail[base + spelled], np.array([x for x, _ in spelling], dtype=np.int64), np.array([w for _, w in spelling])))
+        # long pieces first: they are the likeliest, so a draw mostly stops at a state's first edge
+        state, to, ids, weight = (np.concatenate(x) for x in zip(*reversed(edges)))
         order = np.argsort(state, kind="stable")
         state, to, ids, weight = state[order], to[order], ids[order], weight[order]
         # backward sums by the length of the rest, shortest first
         self._beta.add(np.ones(m))
         beta, own = self._beta.now, np.array(tails, dtype=np.int64) - base
-        lengths = np.fromiter(map(len, rests), dtype=np.int64, count=m)
+        lengths = np.fromiter(map(len, rests), dtype=np.int8, count=m)
         lost = np.zeros(m, dtype=bool)
         by_length, state_order = np.argsort(lengths[state], kind="stable"), np.argsort(lengths, kind="stable")
         cuts = np.searchsorted(lengths[state][by_length], np.arange(_LONG + 2))
@@ -322,6 +325,7 @@ def _walk(lattices: Lattices, states: np.ndarray, keys: np.ndarray) -> tuple[np.
     """Draws a path through each unit: (edges in order, edges a unit, log-probability a unit)."""
     at, state = np.arange(len(states)), states
     units, edges = [], []
+    counts = np.zeros(len(states), dtype=np.int64)
     step = 0
     with np.errstate(over="ignore"):
         while len(at):
@@ -335,13 +339,15 @@ def _walk(lattices: Lattices, states: np.ndarray, keys: np.ndarray) -> tuple[np.
             edges.append(e)
             state = lattices.a_to[e]
             going = state >= 0
-            at, state = at[going], state[going]
             step += 1
-    unit = np.concatenate(units) if units else np.zeros(0, dtype=np.int64)
-    edge = np.concatenate(edges) if edges else np.zeros(0, dtype=np.int64)
-    order = np.argsort(unit, kind="stable")
-    unit, edge = unit[order], edge[order]
-    return edge, np.bincount(unit, minlength=len(states)), np.bincount(unit, weights=lattices.a_log[edge], minlength=len(states))
+            counts[at[~going]] = step
+            at, state = at[going], state[going]
+    start = np.cumsum(counts) - counts
+    edge, log = np.empty(int(counts.sum()), dtype=np.int64), np.zeros(len(states))
+    for step, (unit, drawn) in enumerate(zip(units, edges)):
+        edge[start[unit] + step] = drawn
+        log[unit] += lattices.a_log[drawn]
+    return edge, counts, log
 
 
 class _Leaf:
