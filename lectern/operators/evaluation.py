@@ -150,21 +150,29 @@ def cluster_bootstrap(rows: DataFrame, draws: int = DRAWS, seed: int = SEED) ->
 
 
 def projected_total(rows: DataFrame, targets: dict[str, int], draws: int = PROJECTION_DRAWS, seed: int = SEED) -> DataFrame:
-    """(total, low, high): a pilot's cost carried on to ``targets`` cases a stratum, with a 95 % interval (AG18)."""
+    """(total, low, high): a pilot's cost carried on to ``targets`` cases a stratum, with a 95 % interval (AG18).
+
+    A resample's mean depends only on how often each distinct cost is drawn, so Spark counts the cases by stratum and
+    cost, and the draws are multinomial over those counts: the one task holds distinct costs, not cases. Cases without a
+    cost are left out; no case at all gives no row.
+    """
+    counts = rows.where("cost IS NOT NULL").groupBy("stratum", F.col("cost").cast("double").alias("cost")).agg(F.count("*").alias("n"))
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
         total, runs = 0.0, np.zeros(draws)
         for stratum, part in sorted(frame.groupby("stratum")):
-            costs = part.sort_values("case_id")["cost"].to_numpy(dtype=float)
-            total += costs.mean() * targets.get(stratum, 0)
-            step = max(1, (1 << 22) // len(costs))  # the same draws, of bounded memory
-            means = [costs[rng.integers(0, len(costs), (min(step, draws - k), len(costs)))].mean(axis=1) for k in range(0, draws, step)]
-            runs += np.concatenate(means) * targets.get(stratum, 0)
+            part = part.sort_values("cost")
+            cost, n = part["cost"].to_numpy(dtype=float), part["n"].to_numpy()
+            cases, target = int(n.sum()), targets.get(stratum, 0)
+            total += float(cost @ n) / cases * target
+            step = max(1, (1 << 22) // len(cost))  # draws at a time, of bounded memory
+            means = [rng.multinomial(cases, n / cases, min(step, draws - k)) @ cost / cases for k in range(0, draws, step)]
+            runs += np.concatenate(means) * target
         low, high = np.quantile(runs, [0.025, 0.975])
         return pd.DataFrame({"total": [total], "low": [low], "high": [high]})
 
-    return rows.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(draw, "total double, low double, high double")
+    return counts.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(draw, "total double, low double, high double")
 
 
 def pooled_vectors(windows: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -47,13 +47,12 @@ def first_chunk_intro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS ({CHUNKS}) SELECT a.doc_id, a.ordinal AS anchor, b.ordinal, b.content FROM c a JOIN c b ON a.doc_id = b.doc_id AND abs(a.ordinal - b.ordinal) = 1
-    WHERE a.ordinal % 10 = 0"""
+    f"""WITH c AS ({CHUNKS}) SELECT a.doc_id, a.ordinal AS anchor, b.ordinal, b.content FROM c a JOIN c b ON a.doc_id = b.doc_id AND abs(a.ordinal - b.ordinal) = 1"""
 )
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks beside every tenth chunk, by an equi-join."""
+    """Chunks beside each chunk, by an equi-join."""
     chunks = line_chunks(table(spark, sf_dir, "documents"))
-    return scope.neighbours(chunks.where("ordinal % 10 = 0").select("doc_id", "ordinal"), chunks).select("doc_id", "anchor", "ordinal", "content")
+    return scope.neighbours(chunks.select("doc_id", "ordinal"), chunks).select("doc_id", "anchor", "ordinal", "content")
 
 
 @query(
@@ -400,11 +399,11 @@ def relation_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.relation_endpoints(rows, chunks, values(spark, [(7,), (32,), (96,)], "picked_id long")).select("parent_id", "visual_id", "asset_id", "parent_content", "visual_content")
 
 
-@query("""WITH s AS (SELECT DISTINCT o_custkey AS kb_id, o_orderstatus AS revision_id FROM orders WHERE o_orderkey % 10 = 0) SELECT o_orderkey FROM orders JOIN s ON kb_id = o_custkey AND revision_id = o_orderstatus""")
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS kb_id, o_orderstatus AS revision_id FROM orders WHERE o_orderpriority = '1-URGENT') SELECT o_orderkey FROM orders JOIN s ON kb_id = o_custkey AND revision_id = o_orderstatus""")
 def frozen_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF13: rows of frozen (base, revision) snapshots."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("kb_id"), F.col("o_orderstatus").alias("revision_id"))
-    return scope.in_scopes(rows, rows.where("o_orderkey % 10 = 0")).select("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_custkey").alias("kb_id"), F.col("o_orderstatus").alias("revision_id"))
+    return scope.in_scopes(rows, rows.where("o_orderpriority = '1-URGENT'")).select("o_orderkey")
 
 
 @query("""SELECT p_partkey AS asset_id, least(w, h) < 64 OR (count(*) OVER (PARTITION BY p_brand) >= 3 AND ratio < 0.08) AS decorative FROM (SELECT p_partkey, p_brand, (p_size * 10)::INTEGER AS w, (p_size * 7 + 20)::INTEGER AS h, p_size / 250.0::DOUBLE AS ratio FROM part)""")

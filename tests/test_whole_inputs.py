@@ -1,5 +1,6 @@
 """Queries take all of their rows, and bootstraps their fixed numbers of draws."""
 
+import numpy as np
 import pytest
 from conftest import SF
 
@@ -28,3 +29,20 @@ def test_draws(spark, monkeypatch, name, operator, draws):
     monkeypatch.setattr(evaluation, operator, spy)
     assert registry.QUERIES[name](spark, SF).count() > 0
     assert asked == [draws]
+
+
+def test_projection_from_counts_of_costs(spark):
+    """The total is exact, and the interval that of resampled cases; cases without a cost are left out."""
+    costs = {"a": [float(i % 7) for i in range(400)], "b": [3.0] * 50, "c": [float(i * i) for i in range(90)]}
+    rows = spark.createDataFrame([(s, i, c) for s, part in costs.items() for i, c in enumerate(part)] + [("a", 999, None)], "stratum string, case_id int, cost double")
+    (got,) = evaluation.projected_total(rows, {"a": 1000, "b": 10, "c": 20}).collect()
+    rng, runs = np.random.default_rng(1), np.zeros(5_000)
+    for s, n in (("a", 1000), ("b", 10), ("c", 20)):
+        part = np.array(costs[s])
+        runs += part[rng.integers(0, len(part), (5_000, len(part)))].mean(axis=1) * n
+    assert got.total == pytest.approx(sum(np.mean(costs[s]) * n for s, n in (("a", 1000), ("b", 10), ("c", 20))))
+    low, high = np.quantile(runs, [0.025, 0.975])
+    assert got.low == pytest.approx(low, rel=0.01) and got.high == pytest.approx(high, rel=0.01)
+    (fixed,) = evaluation.projected_total(rows.where("stratum = 'b'"), {"b": 10}).collect()
+    assert fixed.total == fixed.low == fixed.high == 30.0
+    assert evaluation.projected_total(rows.where("stratum = 'none'"), {"b": 10}).count() == 0
