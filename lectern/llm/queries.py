@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import (
     curve_search,
+    fill_in_middle,
     gumbel_pieces,
     jaccard_join,
     language_id,
@@ -91,11 +92,26 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), *map(count, pii_pseudonyms.KINDS))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, rate=50, spm_rate=80)
+    text, form = F.col("fim_text"), F.col("fim_form")
+    return done.select(
+        "doc_id",
+        F.col("fim_units").alias("n"),
+        form.alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2(text.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(text, form).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_language_id, op3_gumbel_pieces, op4_best_fit_packing, op5_token_counts,
         op6_curve_search, op7_url_filter, op8_quality_classifier, op9_jaccard_join, op10_pii_pseudonyms,
+        op11_fill_in_middle,
     )
 }
 
@@ -188,4 +204,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(root) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY 1, 2
     """,
+    "op11_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+                sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), h AS (
+            SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+            FROM t
+        ), cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE
+                WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), parts AS (
+            SELECT *, coalesce(array_to_string(units[1 : a], ''), '') AS p, coalesce(array_to_string(units[a + 1 : b], ''), '') AS m, coalesce(array_to_string(units[b + 1 : n], ''), '') AS s FROM cut
+        )
+        SELECT doc_id, n::BIGINT AS n, form,
+            CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
