@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
+    centroid_clustering,
     curve_search,
     fill_in_middle,
     gumbel_pieces,
@@ -106,12 +107,42 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def _cluster_sql(rounds: int = 3) -> str:
+    """All rounds written out: every vector is compared with every centroid."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS MATERIALIZED (SELECT vec_id, c, sum((v - m) * (v - m))::BIGINT AS d FROM x JOIN c{r} USING (i) GROUP BY vec_id, c),
+        a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r FROM d{r}) WHERE r = 1)""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (SELECT c, i, sum(v) AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id) GROUP BY c, i),
+        c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, m)::BIGINT AS m FROM c{r} LEFT JOIN s{r} USING (c, i))""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+        ),
+        x AS MATERIALIZED (SELECT vec_id, unnest(v) AS v, unnest(range(64)) AS i FROM kept),
+        c0 AS MATERIALIZED (SELECT c, unnest(v) AS m, unnest(range(64)) AS i FROM (
+            SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS c FROM kept) WHERE c < 16),{','.join(steps)},
+        whole AS (SELECT c, sum(d) AS w, count(*) AS n FROM a{rounds} GROUP BY c),
+        named AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, w::BIGINT AS cluster_inertia, (SELECT sum(w) FROM whole)::BIGINT AS inertia, h AS centroid_sha256, n::BIGINT AS centroid_size
+        FROM a{rounds} JOIN whole USING (c) JOIN named USING (c)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_language_id, op3_gumbel_pieces, op4_best_fit_packing, op5_token_counts,
         op6_curve_search, op7_url_filter, op8_quality_classifier, op9_jaccard_join, op10_pii_pseudonyms,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_centroid_clusters,
     )
 }
 
@@ -204,6 +235,7 @@ ORACLES: dict[str, str] = {
         )
         SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(root) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY 1, 2
     """,
+    "op12_centroid_clusters": _cluster_sql(),
     "op11_fill_in_middle": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
