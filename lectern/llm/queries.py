@@ -16,6 +16,7 @@ from lectern.llm import (
     jaccard_join,
     language_id,
     line_frequency,
+    lm_scoring,
     packing,
     pii_pseudonyms,
     quality_rules_ensemble,
@@ -137,12 +138,18 @@ def _cluster_sql(rounds: int = 3) -> str:
     """
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = lm_scoring.learned(F.col("doc_id"))
+    scored = lm_scoring.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), learned)
+    return scored.select("doc_id", (~learned).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_language_id, op3_gumbel_pieces, op4_best_fit_packing, op5_token_counts,
         op6_curve_search, op7_url_filter, op8_quality_classifier, op9_jaccard_join, op10_pii_pseudonyms,
-        op11_fill_in_middle, op12_centroid_clusters,
+        op11_fill_in_middle, op12_centroid_clusters, op13_lm_scores,
     )
 }
 
