@@ -18,14 +18,18 @@ iban      check digits, modulo 97                        the account, letters as
                                                          country stays, the check digits are computed anew
 date      a day of 1900 to 2099 (y-m-d, m/d/y, d.m.y)    17 x 4297 days
 email     name and domain                                the name: letters as letters, digits as digits; domain stays
-secret    key word in any case and the whole run of its  the value: small hex as hex, else letters and digits as
-          value, or a cloud or service key form          themselves
+secret    a key word in any case, also inside a longer   the value: letters as letters of their case, digits as
+          name, and its value; bearer and basic tokens;  digits; quotes and signs stay
+          a cloud or service key form
 ========  =============================================  =============================================================
 
 The round function is an HMAC with SHA-256 under a key derived for each kind. Key material reaches the executors as the row
 of a one-row table that a scalar subquery reads, so it stands in no plan, event log or page of the UI. There is no
 default: a key is given, or set as ``lectern.pii.secret`` in the session.
 
+A key word's value is all between quotes, or the whole run up to a blank, quote, comma, semicolon or angle bracket. After an
+equals sign any value counts; after a colon a bare one that has a digit or sign, or at least twelve letters, as prose has colons too.
+
 Formats are kept, but a number of an address may get wider or narrower, an ip6 is written in full, and of dates written
 without leading zeros only the day is kept linked, not how it is written. Where kinds could overlap, the one that starts
 first counts, then the first one of the pattern's list. What does not validate stays as it is, and so does all other text, byte for byte. Defined results: null text stays
@@ -58,13 +62,23 @@ _COUNTRIES = (
 # Digits that end here and don't begin an address, a date, a mail name, a security number or a phone.
 _ALONE = r"(?![0-9A-Za-z]|[./][0-9]|[A-Za-z0-9._%+\-]*+@|-[0-9]{2}-[0-9]{4}|[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z]))"
 
+# What names a secret, also with more of a name behind.
+_NAMED = r"(?=[pPsStTaA])(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|authorization)(?:[_\-][A-Za-z0-9_\-]*+|s?+)[\"']?[ \t]{0,2}"
+_RUN = r"[^\s\"'<>,;]"
+_VALUE = rf"""(?:"[^"\n]++"|'[^'\n]++'|["']?"""
+_TELLING = rf"(?={_RUN}*[^A-Za-z\s\"'<>,;.!?:)]|[A-Za-z]{{12}})"
+#: What stands before a secret's value.
+_HEAD = rf"^(?:{_NAMED}(?:=>|:=|[=:])[ \t]{{0,2}}[\"']?|(?i:bearer|basic)[ \t]{{1,2}}|AKIA|(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_])"
+
 # Each alternative can start only where a run of its characters starts, and runs are possessive: time is linear.
 _PATTERN = "|".join(
     (
         r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
         r"\bAKIA[0-9A-Z]{16}\b",
         r"(?=[a-z]{2,4}[-_])(?<![A-Za-z0-9_\-])(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,}+",
-        r"""\b(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}["']?[A-Za-z0-9+/_\-]{12,}+""",
+        rf"{_NAMED}(?:=>|:=|=)[ \t]{{0,2}}{_VALUE}{_RUN}++)",
+        rf"{_NAMED}:[ \t]{{0,2}}{_VALUE}{_TELLING}{_RUN}++)",
+        rf"\b(?=[bB])(?i:bearer|basic)[ \t]{{1,2}}(?={_RUN}*[0-9]|[A-Za-z]{{16}}){_RUN}{{8,}}+",
         r"(?<![0-9A-Za-z+(])(?:\+1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])",
         rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![0-9A-Za-z])(?:{_COUNTRIES.replace(' ', '|')})" + r"[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
         r"(?=[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:])(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}::?){2,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
@@ -179,7 +193,7 @@ def _ip6(key: str, invert: bool) -> str:
     digits = f"array_join(transform({filled}, x -> lpad(lower(x), 4, '0')), '')"
     both = f"named_struct('a', {groups('split(m, \'::\')[0]')}, 'b', if(m like '%::%', {groups('split(m, \'::\')[1]')}, cast(array() as array<string>)))"
     fits = "m not rlike '::.*::' and if(m like '%::%', size(g[0]) + size(g[1]) between 3 and 7, size(g[0]) = 8)"
-    new = _let("n", _string(key, "ip6", digits, invert, hexa="true"), "array_join(transform(sequence(0, 7), j -> substr(n, 4 * j + 1, 4)), ':')")
+    new = _let("n", _string(key, "ip6", digits, invert, hexa=True), "array_join(transform(sequence(0, 7), j -> substr(n, 4 * j + 1, 4)), ':')")
     return _let("q0", both, _let("g", "array(q0.a, q0.b)", f"if({fits}, {new}, null)"))
 
 
@@ -189,7 +203,7 @@ def _remainder97(value: str) -> str:
 
 def _iban(key: str, invert: bool) -> str:
     check = lambda account: f"lpad(cast(98 - {_remainder97(f'concat({account}, substr(p, 1, 2), \'00\')')} as string), 2, '0')"
-    new = _let("n", _string(key, "iban", "substr(p, 5)", invert, hexa="false"), f"concat(substr(p, 1, 2), {check('n')}, n)")
+    new = _let("n", _string(key, "iban", "substr(p, 5)", invert), f"concat(substr(p, 1, 2), {check('n')}, n)")
     spaced = "if(m like '% %', btrim(regexp_replace(w, '(.{4})', '$1 ')), w)"
     return _let("p", "replace(m, ' ', '')", f"if(length(p) between 15 and 34 and substr(p, 3, 2) = {check('substr(p, 5)')}, {_let('w', new, spaced)}, null)")
 
@@ -210,13 +224,14 @@ def _date(key: str, invert: bool) -> str:
     )
 
 
-def _string(key: str, kind: str, value: str, invert: bool, hexa: str = "v rlike '^[0-9a-f]+$' and v rlike '[0-9]'") -> str:
+def _string(key: str, kind: str, value: str, invert: bool, hexa: bool = False) -> str:
     """A permutation of all strings of the same shape: the halves' characters shift by keyed hashes of the other half in turn.
 
-    A hex string stays hex; else digits stay digits, and small and capital letters stay so; other characters stay.
+    Digits stay digits, and small and capital letters stay so; other characters stay. So the alphabet of a place is that of
+    its pseudonym too, and the network can be inverted. ``hexa``: all are small hex digits, which the kind has to fix.
     """
     sign, order = ("-", f"sequence({ROUNDS - 1}, 0)") if invert else ("+", f"sequence(0, {ROUNDS - 1})")
-    alphabet = f"case when h then '0123456789abcdef' when c rlike '[0-9]' then '0123456789' when c rlike '[a-z]' then 'abcdefghijklmnopqrstuvwxyz' when c rlike '[A-Z]' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else c end"
+    alphabet = "'0123456789abcdef'" if hexa else "case when c rlike '[0-9]' then '0123456789' when c rlike '[a-z]' then 'abcdefghijklmnopqrstuvwxyz' when c rlike '[A-Z]' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else c end"
     code = f"transform(split(v, ''), c -> {_let('z', alphabet, 'named_struct(\"z\", z, \"x\", instr(z, c) - 1)')})"
 
     def moved(mine: str, other: str) -> str:
@@ -233,7 +248,7 @@ def _string(key: str, kind: str, value: str, invert: bool, hexa: str = "v rlike
     step = f"if(k % 2 = 0, named_struct('l', {moved('s.l', 's.r')}, 'r', s.r), named_struct('l', s.l, 'r', {moved('s.r', 's.l')}))"
     start = "named_struct('l', slice(q, 1, size(q) div 2), 'r', slice(q, size(q) div 2 + 1, size(q)))"
     done = f"aggregate({order}, {start}, (s, k) -> {step}, s -> array_join(transform(concat(s.l, s.r), e -> substr(e.z, e.x + 1, 1)), ''))"
-    return _let("v", value, _let("h", hexa, _let("q", code, done)))
+    return _let("v", value, _let("q", code, done))
 
 
 def _email(key: str, invert: bool) -> str:
@@ -241,16 +256,16 @@ def _email(key: str, invert: bool) -> str:
 
 
 def _secret(key: str, invert: bool) -> str:
-    head = "case when m like 'AKIA%' then 'AKIA' when m rlike '^(sk|pk|rk|ghp|gho|xoxb|xoxp)[-_]' then regexp_extract(m, '^[a-z]+[-_]', 0) else regexp_extract(m, '^[A-Za-z_]+ *[=:] *[\"\\']?', 0) end"
+    head = f"regexp_extract(m, {_quoted(_HEAD)}, 0)"
     return _let("w", head, f"concat(w, {_string(key, 'secret', 'substr(m, length(w) + 1)', invert)})")
 
 
 def _judged(key: str, invert: bool) -> str:
     """SQL of a struct (kind, value) for a match ``m``: both null if it doesn't validate."""
     found = (
-        ("email", r"m like '%@%'", _email(key, invert)),
+        ("email", r"m rlike '^[A-Za-z0-9._%+-]++@'", _email(key, invert)),
         ("ip6", r"m rlike '^[0-9A-Fa-f]{1,4}:' and m rlike '^[0-9A-Fa-f:]+$'", _ip6(key, invert)),
-        ("iban", r"m rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$' and m not like 'AKIA%'", _iban(key, invert)),
+        ("iban", r"m rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$'", _iban(key, invert)),
         ("secret", r"m rlike '^[A-Za-z]'", _secret(key, invert)),
         ("ip", r"m rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$'", _ip(key, invert)),
         ("ssn", r"m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", _ssn(key, invert)),

@@ -1,6 +1,7 @@
 """Secrets of any case and length, and grouped cards of up to 19 digits."""
 
 import random
+import re
 
 import pytest
 
@@ -68,3 +69,26 @@ def test_a_card_of_16_before_other_digits(spark):
     more = [" 743 555 3824", " 10.0.0.1", " 12/05/2024", " 12.05.2024", " 12.ann@mail.example", " 123-45-6789"]
     for tail, (text, kinds) in zip(more, replaced(spark, [card + t for t in more]), strict=True):
         assert kinds[0] == "card" and len(kinds) == 2 and tail not in text
+
+
+SECRETS = [  # (before, value, after)
+    ('{"password": "', "h9", '"}'), ("{'client_secret' : '", "two words 7", "'}"), ("client_secret=", "x7", " more"), ("access_token: ", "ab12cd", "\nnext"),
+    ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG+bPxRfiCY", " "), ("api-key=", "q", ""), ("Authorization: Bearer ", "eyJhbGciOiJI.eyJzdWIi-1.sig_9", ""),
+    ("clientSecret := ", "a1!b2@c3#d4", ", x"), ("password=", "abcDEF123456!tailTail99", " end"), ("Passwords = \"", "open quote12", "\" y"), ("token => '", "unclosed99", " y"),
+    ("?token=", "a1b2c3", "&x=1"), ("basic ", "dXNlcjpwYXNz1", ""), ("TOKEN=", "hunter", " ."),
+]
+
+
+def test_forms_of_secrets(spark):
+    for (head, value, tail), (text, kinds) in zip(SECRETS, replaced(spark, [f"x {h}{v}{t}" for h, v, t in SECRETS]), strict=True):
+        assert kinds == ["secret"], head
+        assert text.startswith(f"x {head}") and len(text) == len(f"x {head}{value}{tail}")
+        new = text.removeprefix(f"x {head}")[: len(value)]
+        assert not any(part in new for part in re.findall("[A-Za-z0-9]{4,}", value)), (head, new)
+        if not tail.startswith("&"):  # what goes on without a blank, quote, comma or semicolon is the value's
+            assert text.endswith(tail)
+
+
+def test_prose_with_key_words_stays(spark):
+    texts = ["The secret: nobody knows.", "a token of thanks", "Password: required", "tokenizer: fast", "basic income", "api keys", "secretary: Ann", "the bearer of news"]
+    assert [t for t, _ in replaced(spark, texts)] == texts
