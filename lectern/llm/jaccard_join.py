@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import bitmap_of, components, in_bitmap, persisted, release, small_batches
+from lectern.llm.shared import bitmap_of, components, fresh, in_bitmap, persisted, release, small_batches
 
 #: One document in so many has its shingles counted; from this count on a shingle is frequent.
 COUNTED, FREQUENT = 8, 4
@@ -352,14 +352,24 @@ def join_sets(docs: DataFrame, words: int = 3, percent: int = 90, sample_docs: i
 
 
 def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` without those linked, over however many links, with one of a smaller id.
+    """``docs`` with one row of each group that is linked, over however many links: the one of the smallest id.
 
-    Of rows that share an id one stays. Rows without an id can't be told apart and all stay.
+    Rows are told apart by id and text, so of two texts that share an id each stays or goes by its own links. Rows
+    without an id come after all others. Of linked rows of one id the smaller hash stays; of rows equal in id and text, the
+    first by its other columns. Texts without words are linked with nothing, so all rows of such texts stay.
     """
-    found = persisted(join_sets(docs, words, percent).select("doc_id", "component_id"), "found")
-    dropped_ids = persisted(found.where("component_id < doc_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped_ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept
+    own = fresh(docs, "own")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*names, F.xxhash64("doc_id", "text").alias(own))
+    found = join_sets(keyed.select(F.col(own).alias("doc_id"), "text"), words, percent).where("n_shingles > 0")
+    found = persisted(found.groupBy(F.col("doc_id").alias(own)).agg(F.first("component_id").alias("component"), F.count("*").alias("rows")), "found")
+    ids = keyed.select(own, "doc_id").join(found, own).select(own, "component", "doc_id")
+    best = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(own))).alias("least"))
+    gone = found.join(best, "component").where(F.col(own) != F.col(f"least.{own}")).select(own)
+    kept = keyed.join(persisted(gone, "gone"), own, "left_anti")
+    again = persisted(found.where("rows > 1").select(own), "again")
+    if again.isEmpty():
+        return kept.select(*names)
+    whole = F.struct(*names)
+    one = kept.join(again, own, "left_semi").groupBy(own).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return kept.join(again, own, "left_anti").select(*names).unionByName(one.select("row.*"))
