@@ -85,18 +85,37 @@ def lexemes_of(text: str, limit: int) -> list[str]:
     return list(distinct)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def lexemes(texts: pd.Series) -> pd.Series:
-    """Lexemes of documents."""
-    return texts.map(lambda t: None if t is None else lexemes_of(t, MAX_DOCUMENT_LEXEMES))
+def _analysed(limit: int):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def analysed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else lexemes_of(t, limit))
 
+    return analysed.asNondeterministic()  # else a filter on the result, moved below it, runs it twice
 
-lexemes = lexemes.asNondeterministic()  # else a filter on the result, moved below it, runs it twice
 
+_DOCUMENT, _QUERY = _analysed(MAX_DOCUMENT_LEXEMES), _analysed(MAX_QUERY_LEXEMES)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def query_lexemes(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else lexemes_of(t, MAX_QUERY_LEXEMES))
+
+def _ascii_lexemes(text: Column, limit: int) -> Column:
+    """The same lexemes for ASCII texts, where folding is lower case and nothing is an ideograph: no Python."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\w+(?:[-./:]+\w+)*"), F.lit(0))
+    parts = F.transform(words, lambda w: F.when(w.rlike("[-./:]"), F.concat(F.array(F.regexp_replace(w, "[-./:]+", "_")), F.split(w, "[-./:]+"))).otherwise(F.array(w)))
+    told = F.filter(F.flatten(parts), lambda x: ~x.isin(*STOPWORDS))
+    return F.slice(F.array_distinct(told), 1, limit)
+
+
+def _lexemes(text: Column, limit: int, analysed) -> Column:
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, _ascii_lexemes(text, limit)).otherwise(analysed(F.when(~plain, text)))
+
+
+def lexemes(text: Column) -> Column:
+    """Lexemes of documents."""
+    return _lexemes(text, MAX_DOCUMENT_LEXEMES, _DOCUMENT)
+
+
+def query_lexemes(text: Column) -> Column:
+    return _lexemes(text, MAX_QUERY_LEXEMES, _QUERY)
 
 
 def or_query(values: Column) -> Column:

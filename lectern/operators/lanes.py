@@ -4,42 +4,36 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions import values as vl
 from lectern.functions.vectors import dot, norm
+from lectern.operators import pruned
 from lectern.operators.scope import best_row
 
 # Admission gates, and candidates of a lane.
 TEXT_GATE, CROSS_GATE = 0.35, 0.25
 CANDIDATES_PER_HIT, MAX_CANDIDATES, COMPLETION_POOL = 4, 40, 100
-#: Queries sent to every task at once, about; larger batches go in several blocks.
-BLOCK_QUERIES = 10_000
 
 
 def candidate_count(k: int) -> int:
     return max(k, min(CANDIDATES_PER_HIT * k, MAX_CANDIDATES))
 
 
-def query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """A batch of queries as broadcast sides of a bounded size, dealt by a hash after its size is checked."""
-    blocks = -(-queries.count() // BLOCK_QUERIES) or 1
-    dealt = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks))
-    return [F.broadcast(queries.where(dealt == b) if blocks > 1 else queries) for b in range(blocks)]
-
-
 def distances(queries: DataFrame, vectors: DataFrame, exclude_self: bool = True) -> DataFrame:
     """(query_id, chunk_id, distance) of a batch (query_id, query) against all vectors (chunk_id, embedding).
 
-    An exact scan, as there is no vector index: the stated queries go to each vector, and only ids and a number leave.
+    All pairs of the stated queries, for plans that need every distance; ``pruned.nearest`` finds the nearest without them.
     """
     keep = F.col("query_id") != F.col("chunk_id") if exclude_self else F.lit(True)
     # norms once a vector, not once a pair
     sized = vectors.select("chunk_id", "embedding", norm(F.col("embedding")).alias("size"))
     asks = queries.select("query_id", "query", norm(F.col("query")).alias("query_size"))
-    pairs = functools.reduce(DataFrame.unionByName, [sized.join(block, keep) for block in query_blocks(asks)])
+    blocks = pruned.query_blocks(asks, pruned.BLOCK_QUERIES)
+    pairs = functools.reduce(DataFrame.unionByName, [sized.join(F.broadcast(block), keep) for block in blocks])
     size = F.col("size") * F.col("query_size")
     distance = F.round(1.0 - F.when(size > 0, dot(F.col("query"), F.col("embedding")) / size), 9) + F.lit(0.0)
     return pairs.select("query_id", "chunk_id", distance.alias("distance"))
@@ -47,11 +41,9 @@ def distances(queries: DataFrame, vectors: DataFrame, exclude_self: bool = True)
 
 def vector_lane(queries: DataFrame, vectors: DataFrame, k: int, gate: float | None = TEXT_GATE, exclude_self: bool = True) -> DataFrame:
     """The exact lane (R1, R6, T1, PF7): candidates by distance, gate on similarity, rank, score = 1 - distance."""
-    near = distances(queries, vectors, exclude_self)
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    pool = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= candidate_count(k))
+    pool = pruned.nearest(queries, vectors, candidate_count(k), exclude_self)
     admitted = pool if gate is None else pool.where(F.round(1 - F.col("distance"), 9) >= gate)
-    ranked = admitted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = admitted.where(F.col("rank") <= k)  # the gate cuts a tail off, so ranks stay as they are
     return ranked.select("query_id", "chunk_id", "rank", "distance", F.round(1 - F.col("distance"), 9).alias("score"))
 
 
@@ -82,24 +74,21 @@ def lexeme_index(chunks: DataFrame, lexemes: Column | None = None) -> DataFrame:
     return rows.withColumn("lexical_hash", F.sha2(F.array_join("lexemes", " "), 256))
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """(lexeme, chunk_id); lexemes of a chunk are distinct."""
-    return index.select(F.explode("lexemes").alias("lexeme"), "chunk_id")
-
-
 def lexical_lane(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """OR match and rank (R3, R4, R5): ``queries`` has (query_id, lexemes); more matched lexemes first, then the id.
 
-    score is 1 / rank; lexical_score is the cover score of so many matched positions.
+    score is 1 / rank; lexical_score is the cover score of so many matched positions. A block-max search: no posting
+    becomes a row.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct("lexemes")).alias("lexeme"))
-    matched = wanted.join(postings(index), "lexeme").groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("matched"), "chunk_id"))
-    r = F.col("matched") * 0.1
-    return (
-        matched.withColumn("rank", rank).where(F.col("rank") <= k)
-        .select("query_id", "chunk_id", "rank", "matched", F.round(r / (r + 1), 9).alias("lexical_score"), F.round(1 / F.col("rank"), 9).alias("score"))
-    )
+    asked = pruned.asked_terms(queries.select("query_id", F.col("lexemes").alias("terms")))
+    found = pruned.best_matches(index.select("chunk_id", F.col("lexemes").alias("terms")), asked, [_once] * len(asked), k)
+    r = F.col("score") * 0.1
+    return found.select("query_id", "chunk_id", "rank", F.col("score").cast("long").alias("matched"), F.round(r / (r + 1), 9).alias("lexical_score"), F.round(1 / F.col("rank"), 9).alias("score"))
+
+
+def _once(term: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Each matched lexeme counts one."""
+    return np.ones(len(term))
 
 
 def manifest(index: DataFrame, analyzer: str, target: str = "target_id") -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions.vectors import sigmoid
+from lectern.operators import pruned
 from lectern.operators.scope import best_row
 
 # Rank fusion's constant, BM25's parameters, the blend.
@@ -92,30 +95,37 @@ def blended(queries: DataFrame, pool: DataFrame, reference: DataFrame | None = N
 
 
 def corpus_bm25(queries: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
-    """(query_id, chunk_id, score, rank) over a whole corpus (chunk_id, terms) by an inverted index.
+    """(query_id, chunk_id, score, rank) over a whole corpus (chunk_id, terms) by a block-max search.
 
-    The corpus is exploded once; only postings of the queries' terms are kept, and statistics are single rows.
+    One pass counts in how many chunks each wanted term is, a second one searches; no posting becomes a row.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct("query_terms")).alias("term"))
-    sizes = chunks.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("average_length"))
-    hits = (
-        chunks.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(wanted, "term").join(F.broadcast(sizes))  # one row
-    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf, norm = F.col("tf"), 1 - B + B * F.col("length") / F.col("average_length")
-    total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * tf * (K1 + 1) / (tf + K1 * norm)), 6).alias("score")).where("score > 0")
-    return total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
+    asked = pruned.asked_terms(queries.select("query_id", F.col("query_terms").alias("terms")))
+    impacts = [Bm25.of(*pruned.statistics(chunks, terms)) for terms in asked]
+    return pruned.best_matches(chunks, asked, impacts, k, places=6).select("query_id", "chunk_id", "score", "rank")
+
+
+@dataclass
+class Bm25:
+    """Impacts of terms by their numbers."""
+
+    idf: np.ndarray
+    average_length: float
+
+    @classmethod
+    def of(cls, df: np.ndarray, n_docs: int, n_terms: int) -> Bm25:
+        return cls(np.log1p((n_docs - df + 0.5) / (df + 0.5)), n_terms / max(n_docs, 1))
+
+    def __call__(self, term: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+        norm = 1 - B + B * length / max(self.average_length, 1e-9)
+        return self.idf[term] * n * (K1 + 1) / (n + K1 * norm)
 
 
 def minimal_idf(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): the sum of idf of the matched terms, each counted once."""
-    docs = chunks.select("chunk_id", F.explode(F.array_distinct("terms")).alias("term"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct("query_terms")).alias("term"))
+    docs = chunks.select("chunk_id", F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     n = chunks.agg(F.count("*").alias("n_docs"))
     df = docs.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct("query_terms")).alias("term"))
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return wanted.join(df, "term").join(docs, "term").join(F.broadcast(n)).groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf), 6).alias("score"))
 

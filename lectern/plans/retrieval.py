@@ -9,6 +9,7 @@ from lectern.functions import text as tx
 from lectern.functions.vectors import cosine_distance, of_dimension
 from lectern.operators import lanes, ranking, scope, selection
 from lectern.plans.registry import CHUNKS, DISTANCE, TERMS, query
+from lectern.sources.steps import stored
 from lectern.sources.tables import chunk_id, line_chunks, table, token_count, values
 
 
@@ -36,7 +37,7 @@ _NEAR = f"""
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of one vector, itself included, by a top-k without a full sort."""
     vectors = _vectors(spark, sf_dir)
-    one = F.broadcast(vectors.where("chunk_id = 0").select(F.col("embedding").alias("query")).limit(1))
+    one = F.broadcast(vectors.where("chunk_id = 0").agg(F.min("embedding").alias("query")))  # one row
     near = vectors.join(one).select("chunk_id", cosine_distance(F.col("query"), F.col("embedding")).alias("distance"))
     return near.orderBy("distance", "chunk_id").limit(10)
 
@@ -179,9 +180,10 @@ def manifest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Twenty lexical hits of each benchmark passage as its pool, with an invented distance."""
     asks, index = _lexical(spark, sf_dir)
-    hits = lanes.lexical_lane(asks, index, 20)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), tx.terms(F.col("text")).alias("terms"))
-    pool = hits.join(docs, "chunk_id").select("query_id", "chunk_id", "terms", (F.col("rank") * 0.05).alias("distance"))
+    hits = stored(lanes.lexical_lane(asks, index, 20), "hits")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    docs = docs.select("chunk_id", tx.terms(F.col("text")).alias("terms"))
+    pool = stored(hits.join(docs, "chunk_id").select("query_id", "chunk_id", "terms", (F.col("rank") * 0.05).alias("distance")), "pool")
     asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.terms(F.col("text")).alias("query_terms"))
     return asks, pool
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.functions import values as vl
 from lectern.functions import vectors as vc
-from lectern.operators import chunking, conversation, evaluation, graph, lanes, lifecycle, ranking, scope, selection
+from lectern.operators import chunking, conversation, evaluation, graph, lanes, lifecycle, pruned, ranking, scope, selection
 from lectern.sources import admission, blocks, sinks
 from lectern.streaming import jobs
 
@@ -349,7 +349,7 @@ def test_batches_of_any_size_are_answered(spark, monkeypatch):
     vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
     asks = vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
     whole = sorted(map(tuple, lanes.distances(asks, vectors).collect()))
-    monkeypatch.setattr(lanes, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(pruned, "BLOCK_QUERIES", 7)
     assert sorted(map(tuple, lanes.distances(asks, vectors).collect())) == whole and len(whole) == 60 * 59
 
 
