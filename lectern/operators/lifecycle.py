@@ -66,6 +66,27 @@ def stale_keys(beats: DataFrame, key: str, ts: str, seconds: int = STALE_SECONDS
     return last.join(F.broadcast(newest)).select(key, "last", silent.alias("silent"), (silent > seconds).alias("stale"))  # one row
 
 
+def state_changes(beats: DataFrame, as_of: Column, silence: int = STALE_SECONDS) -> DataFrame:
+    """(job_id, attempt, status, at): changes of state of each job before ``as_of`` (ST1 to ST3), the batch form of the stream.
+
+    ``beats``: job_id, ts, attempt, status, event_id. Events of an older attempt than one before are ignored. A running job
+    that is silent for more than ``silence`` seconds waits for a retry, or fails when it has had its attempts; what follows a
+    terminal state is ignored. Repeated events change nothing.
+    """
+    order = Window.partitionBy("job_id").orderBy("ts", "attempt", "event_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    known = beats.where(F.col("ts") < as_of).withColumn("most", F.max("attempt").over(before)).where("most is null or attempt >= most")
+    ends = F.col("ts") + F.make_dt_interval(secs=F.lit(silence))
+    quiet = (F.col("status") == "running") & (F.coalesce(F.lead("ts").over(order), as_of) > ends)
+    over = F.col("status").isin(*TERMINAL) | (quiet & (F.col("attempt") >= MAX_ATTEMPTS))
+    rows = known.withColumns({"quiet": quiet, "over": over, "was_quiet": F.lag(quiet).over(order), "was": F.lag(F.struct("attempt", "status")).over(order)})
+    alive = rows.withColumn("dead", F.coalesce(F.max("over").over(before), F.lit(False))).where(~F.col("dead"))
+    same = (F.col("was.attempt") == F.col("attempt")) & (F.when(F.col("was_quiet"), "retry_wait").otherwise(F.col("was.status")) == F.col("status"))
+    own = alive.where(~F.coalesce(same, F.lit(False))).select("job_id", "attempt", "status", F.col("ts").alias("at"))
+    given_up = F.when(F.col("attempt") >= MAX_ATTEMPTS, "failed").otherwise("retry_wait")
+    return own.unionByName(alive.where("quiet").select("job_id", "attempt", given_up.alias("status"), ends.alias("at")))
+
+
 def promotion(candidates: DataFrame, changes: DataFrame) -> DataFrame:
     """(target_id, decision) for ready candidates (ST4, J9): the newest version of a document serves; others are retired.
 

@@ -36,4 +36,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def load() -> None:
     """Imports the modules that hold queries."""
-    from lectern.plans import analysis, core, documents, graphs, retrieval  # noqa: F401
+    from lectern.plans import analysis, core, documents, graphs, retrieval, streams  # noqa: F401

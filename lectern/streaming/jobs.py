@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators.lifecycle import MAX_ATTEMPTS, STALE_SECONDS, TERMINAL
+from lectern.sources.steps import shared_folder
 
 #: How late an event may come; the same as the silence after which a job is stale.
 LATENESS = f"{STALE_SECONDS} seconds"
@@ -25,41 +29,89 @@ def windowed_counts(events: DataFrame, ts: str = "ts", width: str = "1 hour", by
     return events.withWatermark(ts, lateness).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def job_states(beats: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
-    """(job_id, attempt, status, at): changes of state of each job from its events (ST1 to ST3).
+def job_states(beats: DataFrame, ts: str = "ts", lateness: str = LATENESS, silence: int = STALE_SECONDS) -> DataFrame:
+    """(job_id, attempt, status, at): changes of state of each job from its events (ST1 to ST3), in event time.
 
-    ``beats``: job_id, ts, attempt, status. Events of an older attempt than the state's are ignored, terminal states are
-    final, and an event-time timer after 120 seconds of silence sets a job to retry_wait, or to failed after three
-    attempts.
+    ``beats``: job_id, ts, attempt, status, event_id. Events wait in the state until the watermark has passed them, so
+    those that come out of order count in theirs, and the changes are those of ``lifecycle.state_changes`` as of the
+    watermark. Events of an older attempt than the state's are ignored, terminal states are final, and an event-time timer
+    after so many seconds of silence sets a job to retry_wait, or to failed after three attempts. A state holds the events of
+    one job within the watermark's delay.
     """
+    quiet = silence * 1_000_000
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempt, status, last = state.get if state.exists else (0, "", 0)
-        out = []
-        if state.hasTimedOut:
-            status = "failed" if attempt >= MAX_ATTEMPTS else "retry_wait"
-            out.append((attempt, status, pd.Timestamp(last + STALE_SECONDS * 1000, unit="ms")))
-        else:
+        attempt, status, last, waiting = state.get if state.exists else (0, "", 0, "[]")
+        pending = [tuple(e) for e in json.loads(waiting)]
+        if not state.hasTimedOut:
             for frame in frames:
-                for r in frame.sort_values(["ts", "attempt"]).itertuples():
-                    if status in TERMINAL or r.attempt < attempt:
-                        continue
-                    if (r.attempt, r.status) != (attempt, status):
-                        out.append((int(r.attempt), r.status, r.ts))
-                    attempt, status, last = int(r.attempt), r.status, max(last, int(r.ts.value // 1_000_000))
-        state.update((attempt, status, last))
-        if status == "running":
-            state.setTimeoutTimestamp(max(last + STALE_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
+                pending += zip((frame["ts"].astype("int64") // (1 if str(frame["ts"].dtype).endswith("us]") else 1000)).tolist(), frame["attempt"].tolist(), frame["event_id"].tolist(), frame["status"].tolist())
+        now = max(state.getCurrentWatermarkMs(), 0) * 1000  # microseconds
+        pending.sort()
+        due, out = [e for e in pending if e[0] < now], []
+
+        def silent_until(at: int) -> None:
+            nonlocal status
+            if status == "running" and at > last + quiet:
+                status = "failed" if attempt >= MAX_ATTEMPTS else "retry_wait"
+                out.append((attempt, status, last + quiet))
+
+        for at, number, _, told in due:
+            if number < attempt or status in TERMINAL:
+                continue
+            silent_until(at)
+            if status in TERMINAL:
+                continue
+            if (number, told) != (attempt, status):
+                out.append((number, told, at))
+            attempt, status, last = number, told, at
+        silent_until(now)
+        pending = [] if status in TERMINAL else pending[len(due) :]
+        state.update((attempt, status, last, json.dumps(pending)))
+        wake = [e[0] for e in pending[:1]] + ([last + quiet] if status == "running" else [])
+        if wake:
+            state.setTimeoutTimestamp(max(min(wake) // 1000, state.getCurrentWatermarkMs()))
         rows = pd.DataFrame(out, columns=["attempt", "status", "at"])
+        rows["at"] = pd.to_datetime(rows["at"], unit="us")
         rows.insert(0, "job_id", key[0])
         yield rows
 
     return (
-        beats.withWatermark(ts, lateness).groupBy("job_id")
-        .applyInPandasWithState(update, "job_id long, attempt long, status string, at timestamp", "attempt long, status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+        beats.withWatermark(ts, lateness).select("job_id", F.col(ts).alias("ts"), F.col("attempt").cast("long").alias("attempt"), "status", "event_id").groupBy("job_id")
+        .applyInPandasWithState(update, "job_id long, attempt long, status string, at timestamp", "attempt long, status string, last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
+def replayed(events: DataFrame, parts: int, late: int, ts: str = "ts", key: str = "event_id") -> tuple[DataFrame, int]:
+    """``events`` as a stream of files in order of arrival, a part a trigger, and the delay in seconds that its watermark needs.
+
+    An event comes up to half of ``late`` seconds late, by a hash; every tenth comes again by the other half later. Files of a
+    part may be taken in any order, so the delay is ``late`` and a part's width.
+    """
+    spark, half = events.sparkSession, late // 2
+    come = events.withColumn("come_", F.unix_timestamp(ts) + F.pmod(F.xxhash64(key), F.lit(half)))
+    again = come.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(10)) == 0).withColumn("come_", F.col("come_") + half)
+    both = come.unionByName(again)
+    first, last = both.agg(F.min("come_"), F.max("come_")).first()
+    width = max(1, -(-((last or 0) - (first or 0) + 1) // parts))
+    root = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    both.withColumn("part_", F.floor((F.col("come_") - F.lit(first or 0)) / width).cast("int")).drop("come_").write.partitionBy("part_").parquet(f"{root}/dealt")
+    dealt = spark.read.schema(T.StructType([*events.schema.fields, T.StructField("part_", T.IntegerType())])).parquet(f"{root}/dealt")
+    for n in range(parts):  # a part is a partition's folder; files are taken in order of the time they were written
+        dealt.where(F.col("part_") == n).select(*events.columns).write.mode("append").parquet(f"{root}/landed")
+    files = len(spark.read.schema(events.schema).parquet(f"{root}/landed").inputFiles())
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, files // parts)).parquet(f"{root}/landed")
+    return stream, late + width
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream has given when all that is available is taken: its appended files, read back."""
+    root = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def rate_limited(progress: DataFrame, path: str, checkpoint: str, seconds: int = 1):
     """Writes the last progress of each run in each trigger (ST6): one small batch an interval. A payload above 4,000 bytes
     is not delivered; its row says so."""
