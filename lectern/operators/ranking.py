@@ -28,7 +28,7 @@ def weighted_rrf(hits: DataFrame, weights: dict[str, int], k: int, rrf_k: int =
 
     ``hits``: query_id, lane, rank, chunk_id, group_key, text, modality, distance, representation. In each lane a group
     counts once, by its first hit; the group's shown hit is the best of these. Groups are in order of sums of decimals
-    (28 places), so ties are real ties, broken by the best lane rank, modality and id; scores are shown with 12 places.
+    (28 places), so ties are real ties, broken by the best lane rank, modality, id and group; scores are shown with 12 places.
     ``weights`` are in millionths.
     """
     micros = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
@@ -41,7 +41,7 @@ def weighted_rrf(hits: DataFrame, weights: dict[str, int], k: int, rrf_k: int =
         first.withColumn("m_", modality_order(F.col("modality"))), ["query_id", "group_key"], F.desc(F.length(F.coalesce("text", F.lit(""))) > 0), "m_", "distance", "chunk_id"
     ).select("query_id", "group_key", "chunk_id", F.col("m_").alias("modality_order"))
     kinds = hits.groupBy("query_id", "group_key").agg(F.sort_array(F.collect_set("representation")).alias("representations"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("exact_"), "best_rank", "modality_order", "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("exact_"), "best_rank", "modality_order", "chunk_id", "group_key")
     both = scored.join(shown, ["query_id", "group_key"]).join(kinds, ["query_id", "group_key"])
     top = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.withColumn("score", F.bround("exact_", 12).cast("double")).drop("exact_")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions.vectors import cosine_distance, of_dimension
-from lectern.operators import lanes, ranking, scope, selection
+from lectern.operators import context, lanes, pruned, ranking, scope, selection
 from lectern.plans.registry import CHUNKS, DISTANCE, TERMS, query
 from lectern.sources.steps import stored
 from lectern.sources.tables import chunk_id, line_chunks, table, token_count, values
@@ -394,15 +394,132 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.mmr(scored, 10)
 
 
-@query()
+def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents that have a vector as chunks: (queries, vectors, chunks). Ten make a version; labels 3 and 4 are the other space.
+
+    Queries are the chunks whose id is divisible by 50, with their own vector and text.
+    """
+    vectors = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    kinds = F.array(F.lit("text"), F.lit("table"), F.lit("image"))
+    ordinal = F.col("chunk_id") % 10
+    both = vectors.join(docs, "chunk_id").select(
+        "chunk_id", "embedding", "label", "text", F.expr("chunk_id div 10").alias("version"), ordinal.alias("ordinal"), F.get(kinds, F.col("label") % 3).alias("modality"),
+        F.when(F.col("chunk_id") % 4 != 0, F.array("lang")).otherwise(F.expr("cast(array() as array<string>)")).alias("path"),
+        F.when(F.expr("chunk_id div 10 % 3 = 0"), "sheet").otherwise("page").alias("surface"), F.expr("chunk_id % 10 div 2").alias("page"),
+    )
+    asks = both.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"), "text")
+    return asks, both.select("chunk_id", "embedding", "label"), both.drop("embedding", "label")
+
+
+_CHUNKS_SQL = f"""
+    ch AS (SELECT vec_id AS chunk_id, embedding, label, text, vec_id // 10 AS version, vec_id % 10 AS ordinal, ['text', 'table', 'image'][label % 3 + 1] AS modality,
+        CASE WHEN vec_id % 4 <> 0 THEN [lang] ELSE [] END AS path, CASE WHEN vec_id // 10 % 3 = 0 THEN 'sheet' ELSE 'page' END AS surface, vec_id % 10 // 2 AS page
+        FROM embeddings JOIN documents ON doc_id = vec_id),
+    pairs AS (SELECT q.chunk_id AS query_id, v.chunk_id, v.label, {DISTANCE.format('q.embedding', 'v.embedding')} AS distance FROM ch q JOIN ch v ON q.chunk_id % 50 = 0 AND q.chunk_id <> v.chunk_id)"""
+
+
+@query(
+    f"""WITH {_CHUNKS_SQL}, d AS ({_DUCK_INDEX}),
+    q AS (SELECT query_id, unnest(l[1:64]) AS lexeme FROM (SELECT chunk_id AS query_id, {_DUCK_LEXEMES} AS l FROM (SELECT chunk_id, {_DUCK_WORDS.format('text')} AS w FROM ch WHERE chunk_id % 50 = 0))),
+    hits AS (
+        SELECT query_id, chunk_id, distance, 'dense_text' AS lane, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM pairs WHERE label NOT IN (3, 4)
+        UNION ALL SELECT query_id, chunk_id, distance, 'cross_modal', row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) FROM pairs WHERE label IN (3, 4)
+        UNION ALL SELECT query_id, chunk_id, distance, 'lexical', row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id)
+            FROM (SELECT query_id, chunk_id, count(*) AS matched FROM q JOIN d USING (lexeme) GROUP BY 1, 2) JOIN pairs USING (query_id, chunk_id)
+    ), top AS (SELECT * FROM hits WHERE rank <= CASE lane WHEN 'cross_modal' THEN 8 ELSE 20 END),
+    g AS (SELECT chunk_id, version || '/g' || (chunk_id // 3) AS group_key FROM ch WHERE chunk_id % 7 <> 0 UNION SELECT chunk_id, version || '/g' || (chunk_id // 3 + 1) FROM ch WHERE chunk_id % 5 = 0 AND chunk_id % 7 <> 0),
+    h AS (SELECT top.*, coalesce(g.group_key, version || '/' || top.chunk_id) AS group_key, label % 3 AS m, length(text) > 0 AS told FROM top JOIN (SELECT chunk_id, version, label, text FROM ch) USING (chunk_id) LEFT JOIN g ON g.chunk_id = top.chunk_id),
+    f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, lane, group_key ORDER BY rank, chunk_id) = 1),
+    s AS (SELECT query_id, group_key, sum((CASE lane WHEN 'dense_text' THEN 1000000 WHEN 'lexical' THEN 800000 ELSE 500000 END)::HUGEINT * 10000000000000000000000000 // (60 + rank))::HUGEINT AS exact,
+        round_even(sum((CASE lane WHEN 'dense_text' THEN 1.0::DOUBLE WHEN 'lexical' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END) / (60 + rank)), 12) AS score, min(rank) AS best,
+        min(rank) FILTER (lane = 'dense_text') AS dense_text_rank, min(rank) FILTER (lane = 'lexical') AS lexical_rank, min(rank) FILTER (lane = 'cross_modal') AS cross_modal_rank FROM f GROUP BY 1, 2),
+    b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, group_key ORDER BY told DESC, m, distance, chunk_id) = 1)
+    SELECT query_id, group_key, chunk_id, score, rank::INTEGER AS rank, dense_text_rank::INTEGER AS dense_text_rank, lexical_rank::INTEGER AS lexical_rank, cross_modal_rank::INTEGER AS cross_modal_rank FROM (
+        SELECT s.*, b.chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY exact DESC, best, m, b.chunk_id, s.group_key) AS rank FROM s JOIN b USING (query_id, group_key)) WHERE rank <= 15"""
+)
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and blended lanes of each benchmark passage, merged by weighted rank fusion."""
-    asks, pool = _pool(spark, sf_dir)
-    dense = ranking.blended(asks, pool).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).withColumn("lane", F.lit("dense_text"))
-    words = pool.withColumn("rank", F.round(F.col("distance") / 0.05).cast("int")).withColumn("lane", F.lit("lexical"))
-    hits = dense.select("query_id", "chunk_id", "lane", "rank").unionByName(words.select("query_id", "chunk_id", "lane", "rank"))
-    hits = hits.select("*", F.col("chunk_id").cast("string").alias("group_key"), F.lit("text").alias("modality"), F.lit("x").alias("text"), F.lit(0.0).alias("distance"), F.lit("text").alias("representation"))
-    return ranking.weighted_rrf(hits, {"dense_text": 1_000_000, "lexical": 1_000_000}, 10).select("query_id", "chunk_id", "score", "rank")
+    """Dense, lexical and cross-modal lanes over the same chunks, fused by evidence groups; a chunk may be in several."""
+    asks, vectors, chunks = _chunks(spark, sf_dir)
+    index = lanes.lexeme_index(chunks.select("chunk_id", F.col("text").alias("content")))
+    other = F.col("label").isin(3, 4)
+    words = lanes.lexical_lane(asks.select("query_id", tx.query_lexemes(F.col("text")).alias("lexemes")), index, 21)
+    words = context.measured(context.without_self(words, 20), asks, vectors)
+    found = {"dense_text": lanes.vector_lane(asks, vectors.where(~other), 20, gate=None), "lexical": words, "cross_modal": lanes.vector_lane(asks, vectors.where(other), 8, gate=None)}
+    named = chunks.where("chunk_id % 7 <> 0").select("chunk_id", F.explode(F.when(F.col("chunk_id") % 5 == 0, F.expr("array(chunk_id div 3, chunk_id div 3 + 1)")).otherwise(F.expr("array(chunk_id div 3)"))).alias("n"))
+    groups = named.select("chunk_id", F.concat(F.lit("g"), F.col("n").cast("string")).alias("group_key"))
+    fused = context.hybrid(found, chunks.withColumn("representation", F.lit("text")), groups, {"dense_text": 1_000_000, "lexical": 800_000, "cross_modal": 500_000}, 15)
+    return fused.select("query_id", "group_key", "chunk_id", "score", "rank", "dense_text_rank", "lexical_rank", "cross_modal_rank")
+
+
+#: What a query of the source context is gated by, as vectors of these tables are nearly isotropic.
+_CONTEXT_GATE = 0.15
+
+_CONTEXT_SQL = f"""{_CHUNKS_SQL}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS n FROM pairs),
+    core AS (SELECT query_id, chunk_id, distance, false AS supplement FROM near WHERE n <= 20),
+    anchors AS (SELECT near.query_id, ch.* FROM near JOIN ch USING (chunk_id) WHERE n <= 100 AND round(1 - distance, 9) >= {_CONTEXT_GATE} AND modality IN ('text', 'table')),
+    more AS (SELECT DISTINCT a.query_id, b.chunk_id FROM anchors a JOIN ch b ON a.version = b.version AND abs(a.ordinal - b.ordinal) = 1 AND b.modality = 'table' AND a.surface = b.surface
+        AND (len(a.path) = 0 OR len(b.path) = 0 OR a.path = b.path) AND (a.surface <> 'page' OR abs(a.page - b.page) <= 1) WHERE a.query_id <> b.chunk_id),
+    supp AS (SELECT query_id, chunk_id, distance, true AS supplement FROM more JOIN pairs USING (query_id, chunk_id) WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM core)),
+    told AS (SELECT chunk_id, {TERMS.format('text')} AS terms FROM ch),
+    pool AS (SELECT * FROM (SELECT * FROM core UNION ALL SELECT * FROM supp) JOIN told USING (chunk_id)),
+    stats AS (SELECT query_id, count(*) AS n_docs, greatest(avg(len(terms)), 1.0) AS average_length FROM pool WHERE NOT supplement GROUP BY 1),
+    df AS (SELECT query_id, term, count(*) AS df FROM (SELECT DISTINCT query_id, chunk_id, unnest(terms) AS term FROM pool WHERE NOT supplement) GROUP BY 1, 2),
+    tf AS (SELECT query_id, chunk_id, term, count(*) AS tf FROM (SELECT query_id, chunk_id, unnest(terms) AS term FROM pool) GROUP BY 1, 2, 3),
+    ask AS (SELECT chunk_id AS query_id, terms[1:12] AS query_terms FROM told WHERE chunk_id % 50 = 0),
+    want AS (SELECT DISTINCT query_id, unnest(query_terms) AS term FROM ask),
+    grid AS (
+        SELECT p.query_id, p.chunk_id, ln(1 + (n_docs - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf, coalesce(tf, 0) AS tf, 1 - 0.75 + 0.75 * greatest(len(p.terms), 1) / average_length AS norm
+        FROM want w JOIN stats USING (query_id) JOIN pool p ON p.query_id = w.query_id
+        LEFT JOIN df ON df.query_id = w.query_id AND df.term = w.term LEFT JOIN tf ON tf.query_id = w.query_id AND tf.chunk_id = p.chunk_id AND tf.term = w.term),
+    bm AS (SELECT query_id, chunk_id, round(least(1.0, sum(idf * tf * 2.2 / (tf + 1.2 * norm)) / sum(idf * 2.2 / (1.2 * norm + 1))), 9)::DOUBLE AS lexical_score FROM grid GROUP BY 1, 2),
+    s AS (SELECT p.*, 0.65::DOUBLE * ((greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 1 - distance)) + 1) / 2) + 0.35::DOUBLE * coalesce(lexical_score, 0) AS s,
+        len(query_terms) > 0 AND contains(array_to_string(terms, ''), array_to_string(query_terms, '')) AS phrase
+        FROM pool p JOIN ask USING (query_id) LEFT JOIN bm ON bm.query_id = p.query_id AND bm.chunk_id = p.chunk_id),
+    scored AS (SELECT query_id, chunk_id, distance, supplement, round(CASE WHEN phrase THEN least(1.0::DOUBLE, s + 0.08::DOUBLE) ELSE s END, 9)::DOUBLE AS score FROM s),
+    guarded AS (SELECT *, NOT supplement AND row_number() OVER (PARTITION BY query_id, supplement ORDER BY score DESC, distance, chunk_id) <= 8 AS guarded FROM scored),
+    completed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY guarded DESC, score DESC, distance, chunk_id)::INTEGER AS rank FROM guarded)"""
+
+
+def _completed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ranked hits of the source context's second pass, its pool's distances, and the chunks."""
+    asks, vectors, chunks = _chunks(spark, sf_dir)
+    terms = chunks.select("chunk_id", tx.terms(F.col("text")).alias("terms"))
+    core = pruned.nearest(asks, vectors, 20).select("query_id", "chunk_id", "distance")
+    core = stored(core, "core")
+    more = stored(context.source_supplements(asks, vectors, chunks, core, _CONTEXT_GATE).select("query_id", "chunk_id", "distance"), "supplements")
+    words = asks.select("query_id", F.slice(tx.terms(F.col("text")), 1, 12).alias("query_terms"))
+    ranked = context.with_source_context(words, stored(core.join(terms, "chunk_id"), "core-terms"), stored(more.join(terms, "chunk_id"), "more-terms"), 15)
+    return ranked, core.unionByName(more), chunks
+
+
+@query(f"WITH {_CONTEXT_SQL} SELECT query_id, chunk_id, score, rank, supplement FROM completed WHERE rank <= 15")
+def source_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R11, PF9, T11, F6: a wider read's neighbouring tables, scored by the core's statistics, behind its protected half."""
+    return _completed(spark, sf_dir)[0]
+
+
+@query(
+    f"""WITH {_CONTEXT_SQL} SELECT query_id, rank, chunk_id, version, ordinal, modality, surface AS surface_type, page AS surface_start, path AS hierarchy, score, 'hybrid' AS score_kind, round(1 - distance, 9) AS vector_similarity
+    FROM completed JOIN ch USING (chunk_id) WHERE rank <= 15"""
+)
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF12: completed hits as evidence with their place, hierarchy and kind of score."""
+    ranked, pool, chunks = _completed(spark, sf_dir)
+    return context.evidence(ranked.join(pool, ["query_id", "chunk_id"]), chunks, "hybrid").select("*", "source_location.*").drop("source_location")
+
+
+@query(
+    f"""WITH {_NEAR.format(step=50)}, k AS (SELECT query_id, chunk_id // 4 AS chunk_id, ['table_text', 'ocr_text', 'caption_text', 'text'][chunk_id % 4 + 1] AS representation, chunk_id % 4 AS o, round(distance, 1) AS distance FROM near)
+    SELECT query_id, chunk_id, representation, distance FROM k QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY distance, 3 - o) = 1"""
+)
+def representation_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF11: four representations a chunk; of the nearest, to one place, the first kind."""
+    vectors = _vectors(spark, sf_dir)
+    kinds = F.array(*[F.lit(k) for k in reversed(context.REPRESENTATIONS)])
+    near = lanes.distances(_queries(vectors), vectors)
+    rows = near.select("query_id", F.expr("chunk_id div 4").alias("chunk_id"), F.get(kinds, F.col("chunk_id") % 4).alias("representation"), F.round("distance", 1).alias("distance"))
+    return context.best_representation(rows)
 
 
 @query()
