@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import decimal
 import re
 
@@ -68,50 +67,124 @@ def contains(json: Column, part: Column) -> Column:
     return F.forall(F.map_entries(b), lambda e: F.try_element_at(a, e["key"]).eqNullSafe(e["value"]))
 
 
-# The calculator's bounds, and what a number looks like (underscores aside).
+# The calculator's bounds.
 MAX_EXPRESSION, MAX_NODES, MAX_LITERAL, MAX_RESULT, DIGITS, EXPONENT = 512, 64, 64, 256, 80, 10_000
-_NUMBER = re.compile(r"(?:\d+(?:\.\d*)?|\.\d+)")
+
+#: Tokens: plain decimals, what is computed, and what is read only to tell foreign expressions from broken ones.
+_TOKEN = re.compile(
+    r"(?P<blank>[ \t\f]+)|(?P<number>(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?![\w.]))|(?P<sign>[-+*/()](?!(?<=\*)\*|(?<=/)/))"
+    r"|(?P<foreign>\*\*|//|<<|>>|[<>=!]=|[%@&|^<>,]|(?:if|else|and|or|in|is)\b)|(?P<name>[^\W\d]\w*|[0-9][0-9_.]*[jJ]\b)"
+)
+#: Of two operands: how tightly a sign binds. Foreign ones bind somewhere, as nothing is computed with them.
+_BINDS = {"+": 1, "-": 1, "*": 2, "/": 2}
+_NEGATED = 3
+
+
+class _Refused(Exception):
+    """The reason why an expression has no value."""
+
+
+def _tokens(text: str) -> list[tuple[str, str]]:
+    found, at = [], 0
+    text = text.rstrip()
+    while at < len(text):
+        token = None if text[0] in " \t" else _TOKEN.match(text, at)  # an indented expression is none
+        if not token:
+            raise _Refused("syntax")
+        if token.lastgroup != "blank":
+            found.append((token.lastgroup, token[0]))
+        at = token.end()
+    return found
+
+
+def _program(tokens: list[tuple[str, str]]) -> tuple[list[str | decimal.Decimal], bool]:
+    """The steps of a stack machine by operator precedence, and whether any of them is foreign."""
+    steps: list[str | decimal.Decimal] = []
+    held: list[tuple[str, int]] = []  # signs that wait for their right operand, and open brackets
+    foreign, operand = False, True  # whether an operand has to come next
+
+    def settle(binds: int) -> None:
+        while held and held[-1][1] >= binds:
+            steps.append(held.pop()[0])
+
+    for kind, t in tokens:
+        if kind == "number" and operand:
+            digits = t.replace("_", "")
+            whole = digits.partition(".")[0]
+            if len(t) > MAX_LITERAL or ("." not in t and whole.startswith("0") and whole.strip("0")):
+                raise _Refused("syntax")
+            steps.append(decimal.Decimal(digits))
+            operand = False
+        elif kind == "name" and operand:
+            steps.append(t)
+            foreign, operand = True, False
+        elif t == "(":
+            held.append((t, 0 if operand else -1))  # after an operand it opens a call
+            foreign, operand = foreign or not operand, True
+        elif t == ")" and not operand:
+            settle(1)
+            if not held:
+                raise _Refused("syntax")
+            held.pop()
+        elif kind == "sign" and t in "+-" and operand:
+            held.append((f"0{t}", _NEGATED))
+        elif kind in ("sign", "foreign") and t not in "()" and not operand:
+            settle(_BINDS.get(t, 1))
+            held.append((t, _BINDS.get(t, 1)))
+            foreign, operand = foreign or kind == "foreign", True
+        else:
+            raise _Refused("syntax")
+    if operand:
+        raise _Refused("syntax")
+    settle(1)
+    if held:
+        raise _Refused("syntax")
+    return steps, foreign
 
 
 def calculate(text: str) -> tuple[str | None, str | None]:
-    """(value, reject reason) of + - * / over plain decimals, in exact arithmetic of 80 digits."""
+    """(value, reject reason) of + - * / over plain decimals, in exact arithmetic of 80 digits.
+
+    Names, calls and other operators are refused as foreign, what can't be read as broken; both before anything is computed.
+    """
     if not text or not text.strip():
         return None, "expression_empty"
     if len(text) > MAX_EXPRESSION:
         return None, "expression_too_long"
     try:
-        tree = ast.parse(text, mode="eval")
-    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
-        return None, "syntax"
-    nodes = list(ast.walk(tree))
-    if len(nodes) > MAX_NODES:
-        return None, "too_complex"
-    context = decimal.Context(prec=DIGITS, Emax=EXPONENT, Emin=-EXPONENT)
-    operations = {ast.Add: context.add, ast.Sub: context.subtract, ast.Mult: context.multiply, ast.Div: context.divide, ast.UAdd: context.plus, ast.USub: context.minus}
-    numbers: dict[ast.AST, decimal.Decimal] = {}
-    for node in nodes:
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            written = ast.get_source_segment(text, node) or ""
-            if len(written) > MAX_LITERAL or not _NUMBER.fullmatch(written.replace("_", "")):
-                return None, "syntax"
-            numbers[node] = decimal.Decimal(written.replace("_", ""))
-        elif not isinstance(node, (ast.Expression, ast.BinOp, ast.UnaryOp, *operations)):
-            return None, "unsupported_ast"
-
-    def value(node) -> decimal.Decimal:
-        if node in numbers:
-            return numbers[node]
-        parts = [node.operand] if isinstance(node, ast.UnaryOp) else [node.left, node.right]
-        return operations[type(node.op)](*map(value, parts))
-
+        steps, foreign = _program(_tokens(text))
+        # a number is one node, a sign two with its operation, and the expression one
+        if 1 + sum(1 if isinstance(s, decimal.Decimal) else 2 for s in steps) > MAX_NODES:
+            raise _Refused("too_complex")
+        if foreign:
+            raise _Refused("unsupported_ast")
+        return _computed(steps), None
+    except _Refused as reason:
+        return None, str(reason)
+
+
+def _computed(steps: list[str | decimal.Decimal]) -> str:
+    exact = decimal.Context(prec=DIGITS, Emax=EXPONENT, Emin=-EXPONENT)
+    one = {"0+": exact.plus, "0-": exact.minus}
+    two = {"+": exact.add, "-": exact.subtract, "*": exact.multiply, "/": exact.divide}
+    stack: list[decimal.Decimal] = []
     try:
-        result = value(tree.body)
+        for s in steps:
+            if isinstance(s, decimal.Decimal):
+                stack.append(s)
+            elif s in one:
+                stack.append(one[s](stack.pop()))
+            else:
+                right = stack.pop()
+                stack.append(two[s](stack.pop(), right))
     except decimal.DivisionByZero:
-        return None, "division_by_zero"
+        raise _Refused("division_by_zero") from None
     except decimal.DecimalException:
-        return None, "numeric_limit"
-    shown = format(result.normalize(context), "f")
-    return (shown, None) if result.is_finite() and len(shown) <= MAX_RESULT else (None, "numeric_limit")
+        raise _Refused("numeric_limit") from None
+    shown = format(stack[0].normalize(exact), "f")
+    if not stack[0].is_finite() or len(shown) > MAX_RESULT:
+        raise _Refused("numeric_limit")
+    return shown
 
 
 @F.pandas_udf(T.StructType().add("value", T.StringType()).add("reject", T.StringType()))
