@@ -81,7 +81,8 @@ def ranked_paths(found: DataFrame, k: int = MAX_PATHS) -> DataFrame:
 
     ``found`` also has ``seed`` (the entry was grounded), ``seed_place``, ``chain`` (long paths first) and ``explicit`` (the
     question names a chain itself). A seed's place goes to its first path by the full key for explicit chains, else to its
-    cheapest direct fact. Entries that aren't grounded have places only where the query has no grounded one.
+    cheapest direct fact. ``seed_place`` counts the seeds that were found from 1, also those without a path: only the first
+    eight have places. Entries that aren't grounded have places only where the query has no grounded one.
     """
     query = Window.partitionBy("query_id")
     depth = F.when(F.col("chain"), -F.col("hops")).otherwise(F.col("hops"))
@@ -94,14 +95,12 @@ def ranked_paths(found: DataFrame, k: int = MAX_PATHS) -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("p"), F.col("entry_k_").alias("k"))
     )
     rows = rows.withColumn("place_", places)
-    nth_entry = F.dense_rank().over(query.orderBy(F.when(F.col("seed") | ~F.col("grounded_"), 0).otherwise(1), "place_"))
-    rows = rows.withColumn("nth_", nth_entry)
-    bounded = ~F.col("grounded_") | (F.col("seed") & (F.col("nth_") <= MAX_SEEDS))
+    bounded = ~F.col("grounded_") | (F.col("seed") & (F.col("seed_place") <= MAX_SEEDS))
     rows = rows.withColumn("reserved", F.col("first_") & bounded)
     nth = F.row_number().over(Window.partitionBy("query_id", F.element_at("edges", 1), "reserved").orderBy("k"))
     rows = rows.withColumn("tier", F.when(F.col("reserved"), 0).when(nth == 1, 1).otherwise(2))
     order = query.orderBy("tier", F.when(F.col("tier") == 0, F.col("place_")), "k")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("k", "reserved", "grounded_", "first_", "entry_k_", "place_", "nth_")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("k", "reserved", "grounded_", "first_", "entry_k_", "place_")
 
 
 def hydrated(found: DataFrame, supports: DataFrame, most: int = MAX_PATHS) -> DataFrame:

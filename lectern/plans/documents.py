@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions import values as vl
-from lectern.operators import chunking, scope, selection
+from lectern.operators import assets, chunking, scope, selection
 from lectern.plans.registry import CHUNKS, query
 from lectern.sources import blocks as bl
 from lectern.sources.tables import TOKEN, chunk_id, line_chunks, table, token_count, values
@@ -249,6 +249,58 @@ def relation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", scope.first_matching_rule(p, rules).alias("relation"))
 
 
+_ASSETS_SQL = f"""
+    c AS ({CHUNKS}),
+    ch AS (SELECT doc_id, ordinal AS chunk, ['t' || ordinal] AS refs, [ordinal * 2] AS positions, CASE WHEN ordinal % 10 = 9 THEN [ordinal // 10, ordinal // 10 + 1] ELSE [ordinal // 10] END AS surfaces,
+        CASE WHEN length(content) % 4 = 0 THEN ['figure:' || (length(content) % 9), 'figure:' || (ordinal % 5)] ELSE [] END AS labels FROM c),
+    a AS (SELECT doc_id, ordinal // 7 AS asset, CASE ordinal // 7 % 4 WHEN 0 THEN 'page_image' WHEN 1 THEN 'table_image' ELSE 'picture' END AS kind,
+        CASE WHEN ordinal % 3 = 0 THEN 't' || ordinal WHEN ordinal % 3 = 1 THEN 'p' || ordinal END AS ref, CASE WHEN ordinal % 2 = 0 THEN 't' || (ordinal // 5 * 5) END AS parent,
+        CASE WHEN ordinal % 5 = 0 THEN ['t' || (ordinal + 1)] ELSE [] END AS captions, ordinal * 2 + 1 AS position, [ordinal // 10] AS surfaces,
+        CASE WHEN length(content) % 3 = 0 THEN ['figure:' || (length(content) % 9)] ELSE [] END AS labels FROM c WHERE ordinal % 7 = 0)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as chunks on pages of ten, and every seventh line's asset, of three kinds, some with a ref, parent, caption or label."""
+    c = line_chunks(table(spark, sf_dir, "documents"))
+    n, long, none = F.col("ordinal"), F.length("content"), F.expr("cast(array() as array<string>)")
+    item = lambda x: F.concat(F.lit("t"), x.cast("string"))
+    figure = lambda x: F.concat(F.lit("figure:"), x.cast("string"))
+    page, third = F.expr("ordinal div 10"), n % 3
+    chunks = c.select(
+        "doc_id", n.alias("chunk"), F.array(item(n)).alias("refs"), F.array(n * 2).alias("positions"), F.when(n % 10 == 9, F.array(page, page + 1)).otherwise(F.array(page)).alias("surfaces"),
+        F.when(long % 4 == 0, F.array(figure(long % 9), figure(n % 5))).otherwise(none).alias("labels"),
+    )
+    number = F.expr("ordinal div 7")
+    assets_ = c.where(n % 7 == 0).select(
+        "doc_id", number.alias("asset"), F.when(number % 4 == 0, "page_image").when(number % 4 == 1, "table_image").otherwise("picture").alias("kind"),
+        F.when(third == 0, item(n)).when(third == 1, F.concat(F.lit("p"), n.cast("string"))).alias("ref"), F.when(n % 2 == 0, item(F.expr("ordinal div 5 * 5"))).alias("parent"),
+        F.when(n % 5 == 0, F.array(item(n + 1))).otherwise(none).alias("captions"), (n * 2 + 1).alias("position"), F.array(page).alias("surfaces"),
+        F.when(long % 3 == 0, F.array(figure(long % 9))).otherwise(none).alias("labels"),
+    )
+    return chunks, assets_
+
+
+@query(
+    f"""WITH {_ASSETS_SQL}, p AS (
+        SELECT doc_id, chunk, asset, list_min(a.labels) AS own, list_min(list_intersect(ch.labels, a.labels)) AS shared, CASE
+            WHEN kind = 'page_image' THEN CASE WHEN list_has_any(ch.surfaces, a.surfaces) THEN 0 END
+            WHEN ref IS NULL THEN NULL
+            WHEN kind = 'table_image' AND list_contains(refs, ref) THEN 1 WHEN list_has_any(refs, captions) THEN 2 WHEN list_contains(refs, ref) THEN 3
+            WHEN parent IS NOT NULL AND list_contains(refs, parent) THEN 4 WHEN list_has_any(ch.labels, a.labels) THEN 5
+            WHEN NOT list_has_any(ch.surfaces, a.surfaces) THEN NULL
+            WHEN position IN (list_min(positions) - 1, list_max(positions) + 1) THEN 6 ELSE 7 END AS rule
+        FROM ch JOIN a USING (doc_id))
+    SELECT doc_id, chunk, asset, ['ocr_of', 'table_of', 'caption_of', 'inline_figure', 'inline_figure', 'explicit_figure_reference', 'spatial_neighbor', 'same_page'][rule + 1] AS relation_type,
+        ['page_ocr', 'table_identity', 'caption_ref', 'item_ref', 'parent_ref', 'author_reference', 'surface_neighbour', 'surface_co_location'][rule + 1] AS provenance,
+        CASE rule WHEN 6 THEN 500000 WHEN 7 THEN 250000 ELSE 1000000 END AS confidence_micros, CASE WHEN rule BETWEEN 1 AND 4 THEN own WHEN rule = 5 THEN shared END AS figure_label,
+        (row_number() OVER (PARTITION BY doc_id ORDER BY chunk, asset) - 1)::INTEGER AS ordinal
+    FROM p WHERE rule IS NOT NULL"""
+)
+def chunk_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of chunks and assets by the first of eight rules."""
+    return assets.related(*_placed(spark, sf_dir))
+
+
 @query()
 def composite_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's labelled sections, cut to 40 and 20 tokens."""

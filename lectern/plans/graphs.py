@@ -55,13 +55,13 @@ def hop_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_EDGES_SQL}, {_STEPS_SQL}, k AS (SELECT *, list_max(ranks) AS mr, list_sum(ranks)::BIGINT AS sr, substr(entry, 2)::INT AS place FROM paths),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, entry ORDER BY hops, mr, sr, path_id) = 1 AND dense_rank() OVER (PARTITION BY query_id ORDER BY place) <= 8 AS reserved FROM k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, entry ORDER BY hops, mr, sr, path_id) = 1 AND place + 1 <= 8 AS reserved FROM k),
     t AS (SELECT *, CASE WHEN reserved THEN 0 WHEN row_number() OVER (PARTITION BY query_id, edges[1], reserved ORDER BY hops, mr, sr, rev, path_id) = 1 THEN 1 ELSE 2 END AS tier FROM r)
     SELECT path_id, entry, tier, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 0 THEN place END, hops, mr, sr, rev, path_id) AS rank FROM t) WHERE rank <= 20"""
 )
 def graph_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One path a seed first, then other first edges, then the rest."""
-    found = _paths(spark, sf_dir).withColumns({"seed": F.lit(True), "chain": F.lit(False), "explicit": F.lit(False), "seed_place": F.expr("cast(substr(entry, 2) as int)")})
+    found = _paths(spark, sf_dir).withColumns({"seed": F.lit(True), "chain": F.lit(False), "explicit": F.lit(False), "seed_place": F.expr("cast(substr(entry, 2) as int) + 1")})
     return graph.ranked_paths(found).select("path_id", "entry", "tier", "rank")
 
 
@@ -122,6 +122,6 @@ def graph_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def path_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole paths packed to twelve nodes, sixteen at most."""
-    found = _paths(spark, sf_dir).withColumns({"seed": F.lit(True), "chain": F.lit(True), "explicit": F.lit(True), "seed_place": F.expr("cast(substr(entry, 2) as int)")})
+    found = _paths(spark, sf_dir).withColumns({"seed": F.lit(True), "chain": F.lit(True), "explicit": F.lit(True), "seed_place": F.expr("cast(substr(entry, 2) as int) + 1")})
     ranked = graph.ranked_paths(found).withColumn("chunks", F.transform("edges", lambda e: e.cast("long")))
     return selection.packed_paths(ranked)

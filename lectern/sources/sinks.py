@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,12 +78,17 @@ def read_jsonl(spark: SparkSession, at: str, schema: str) -> DataFrame:
 def write_segments(df: DataFrame, at: str, segment: str) -> None:
     """Writes one folder a segment and skips those that are complete, so a stopped run resumes where it was (SRC11).
 
-    One job writes all missing segments, dealt out by segment and a salt; then a marker a segment makes them count."""
+    One job writes all missing segments, dealt out by segment and a hash of the row, so that a task that runs again deals its
+    rows as before; then a marker a segment that this job has written makes them count."""
     spark = df.sparkSession
     done = f"{at}/_segments"
     missing = df
     if _exists(spark, done):
         missing = df.join(spark.read.schema("name string").json(done), df[segment].cast("string") == F.col("name"), "left_anti")
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(8))
-    missing.repartition(segment, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(segment).parquet(at)
-    missing.select(F.col(segment).cast("string").alias("name")).distinct().write.mode("append").json(done)
+    salt = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), F.lit(8))
+    seen = Observation()
+    dealt = missing.select(*[F.col(f"`{c}`") for c in df.columns]).repartition(segment, salt)
+    dealt.observe(seen, F.collect_set(F.coalesce(F.col(segment).cast("string"), F.lit(""))).alias("names")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(segment).parquet(at)
+    names = seen.get["names"]  # as many as there are folders
+    if names:
+        spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("append").json(done)

@@ -138,8 +138,9 @@ def test_only_cuts_between_sections_are_merged():
     # merging comes after the choice: a region that was cut keeps its semantic cuts
     sizes, reasons = [300, 300, 100], [None, None, "section"]
     assert chunking.span_cuts(sizes, [9, 0, 0], reasons) == []
-    assert chunking.span_cuts([400, 500, 100], [900000, 0, 0], reasons) == [(0, "semantic")]
-    assert chunking.span_cuts([400, 500, 100], [900000, 0, 0], [None, None, "table"]) == [(0, "semantic"), (1, "table")]
+    # one score is its own threshold, so this cut has no gain and is for size
+    assert chunking.span_cuts([400, 500, 100], [900000, 0, 0], reasons) == [(0, "max_tokens")]
+    assert chunking.span_cuts([400, 500, 100], [900000, 0, 0], [None, None, "table"]) == [(0, "max_tokens"), (1, "table")]
 
 
 def brute_boundaries(sizes, scores):
@@ -283,6 +284,18 @@ def test_fusion_shows_the_best_first_hit_of_a_lane(spark):
     assert [r.group_key for r in order] == ["g0", "g1"] and order[0].score == order[1].score
 
 
+def test_cuts_without_a_gain_are_for_size():
+    assert {why for _, why in chunking.span_cuts([400] * 6, [0] * 6, [None] * 6)} == {"max_tokens"}
+    assert {why for _, why in chunking.span_cuts([700, 700, 100], [None] * 3, [None] * 3)} == {"max_tokens"}
+    assert chunking.span_cuts([200] * 6, [0, 0, 900_000, 0, 0, None], [None] * 6) == [(2, "semantic")]
+
+
+def test_seeds_without_a_path_have_their_places_all_the_same(spark):
+    rows = [(1, f"s{i}", i, ["e"], [1], 0, 1, f"p{i}", True, False, False) for i in (1, 3, 4, 5, 6, 7, 8, 9)]  # of nine seeds the second has no path
+    df = spark.createDataFrame(rows, "query_id long, entry string, seed_place int, edges array<string>, ranks array<long>, reversals int, hops int, path_id string, seed boolean, chain boolean, explicit boolean")
+    assert {r.path_id for r in graph.ranked_paths(df).where("tier = 0").collect()} == {"p1", "p3", "p4", "p5", "p6", "p7", "p8"}
+
+
 def test_seeds_keep_a_path_each(spark):
     def rows(chain, explicit, seed):
         found = [("a", 1, ["1"], [5], 0), ("a", 1, ["1", "2"], [5, 6], 0), ("b", 2, ["3"], [9], 0), ("b", 2, ["3", "4", "5"], [9, 1, 1], 1)]
