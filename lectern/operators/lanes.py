@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from lectern.functions import values as vl
 from lectern.functions.vectors import dot, norm
 from lectern.operators import pruned
 from lectern.operators.scope import best_row
+from lectern.sources.steps import stored
 
 # Admission gates, and candidates of a lane.
 TEXT_GATE, CROSS_GATE = 0.35, 0.25
@@ -120,6 +122,35 @@ def eligible(kind: Column, score: Column, lexical_rank: Column, cosine: Column,
     return F.coalesce(decided, F.lit(False))
 
 
-def anchored_follow_up(query_terms: Column, evidence: Column) -> Column:
-    """A follow-up query holds a term that shown evidence has."""
-    return F.exists(query_terms, lambda t: F.instr(F.lower(evidence), t) > 0)
+# Fixed value: rounds of follow-up queries after the first.
+FOLLOW_UP_ROUNDS = 2
+
+
+def anchored(asked: DataFrame, shown: DataFrame, terms: DataFrame) -> DataFrame:
+    """Follow-ups (query_id, ..., terms) that have a term of the evidence shown for their query.
+
+    ``shown``: query_id, chunk_id; ``terms``: chunk_id, terms. A semi-join on terms, so no text is searched for each of them.
+    """
+    seen = shown.select("query_id", "chunk_id").join(terms, "chunk_id").select("query_id", F.explode("terms").alias("term")).distinct()
+    named = asked.select("query_id", "ask_id", F.explode(F.array_distinct("terms")).alias("term"))
+    good = named.join(seen, ["query_id", "term"], "left_semi").select("query_id", "ask_id").distinct()
+    return asked.join(good, ["query_id", "ask_id"], "left_semi")
+
+
+def follow_up_rounds(
+    first: DataFrame, asked: DataFrame, terms: DataFrame, search: Callable[[DataFrame], DataFrame], rounds: int = FOLLOW_UP_ROUNDS
+) -> DataFrame:
+    """(query_id, round, ask_id, chunk_id, rank): evidence of a first search and of follow-up rounds.
+
+    ``asked``: query_id, round, ask_id, terms, what would be asked next; only what is anchored in the evidence shown so far is
+    searched for, and only new chunks count: the first ask's that finds one. A query goes on while its last round has
+    shown something new. Each round is stored, so a later one doesn't search again.
+    """
+    shown = stored(first.select("query_id", F.lit(0).alias("round"), F.lit(None).cast("long").alias("ask_id"), "chunk_id", F.col("rank").cast("int").alias("rank")), "round-0")
+    for n in range(1, rounds + 1):
+        going = shown.where(F.col("round") == n - 1).select("query_id").distinct()
+        now = anchored(asked.where(F.col("round") == n).join(going, "query_id", "left_semi"), shown, terms)
+        found = search(now.select("query_id", "ask_id", "terms")).join(shown.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        new = best_row(found, ["query_id", "chunk_id"], "rank", "ask_id").select("query_id", F.lit(n).alias("round"), "ask_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
+        shown = shown.unionByName(stored(new, f"round-{n}"))
+    return shown

@@ -98,12 +98,15 @@ def aspect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.aspect_scores(table(spark, sf_dir, "labels").select(F.expr("doc_id div 5").alias("case_id"), (F.col("quality") == 1).alias("correct"), (F.col("toxic") == 0).alias("cited")))
 
 
-@query("""SELECT * FROM (VALUES (1, true, true), (2, false, true), (3, true, false)) t(id, number, variant)""")
+@query("SELECT p_partkey, p_size % 2 = 0 AS number, p_size % 3 = 0 AS variant FROM part")
 def answer_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers and variants in answers."""
-    rows = values(spark, [(1, "It was 1,234.50 euros in  Total.", "1234.5"), (2, "About 99% in total", "50"), (3, "-3 units", "-3")], "id int, answer string, expected string")
-    e = F.col("expected").cast("decimal(38,10)")
-    return rows.select("id", evaluation.number_in_answer(F.col("answer"), e, F.lit(0.01).cast("decimal(10,4)")).alias("number"), evaluation.variant_in_answer(F.col("answer"), F.array(F.lit("in total"))).alias("variant"))
+    """The price and a variant in an answer about each part."""
+    p = table(spark, sf_dir, "part")
+    price = F.col("p_retailprice").cast("decimal(12,2)")
+    answer = F.concat(F.lit("It costs "), F.format_number(price, 2), F.lit(" euros "), F.when(F.col("p_size") % 3 == 0, "in  Total.").otherwise("apiece."))
+    expected = F.when(F.col("p_size") % 2 == 0, price).otherwise(price * 2).cast("decimal(38,10)")
+    within = F.lit(0.01).cast("decimal(10,4)")
+    return p.select("p_partkey", evaluation.number_in_answer(answer, expected, within).alias("number"), evaluation.variant_in_answer(answer, F.array(F.lit("in total"))).alias("variant"))
 
 
 @query(

@@ -343,15 +343,18 @@ def evidence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.evidence_refs(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("chunk_id"), F.col("ts").alias("round"), F.col("event_id").alias("place")))
 
 
-_ANSWERS = [(1, "A [ev_3, ev_1] and [ev_3] then [ev_9]."), (2, "No reference."), (3, "[ev_2][ev_1]，[ev_2，ev_4]")]
-_KNOWN = [(1, "ev_1"), (1, "ev_3"), (3, "ev_1"), (3, "ev_2"), (3, "ev_4")]
-
-
-@query("SELECT * FROM (VALUES (1, 'A [1][2] and [1] then .'), (2, 'No reference.'), (3, '[1][2]，[1][3]')) t(answer_id, text)")
+@query(
+    """WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, left(text, 60) AS head, turn % 4 + 1 AS a, conv_id % 3 + 1 AS b, (conv_id + turn % 4 + 1) % 5 <> 0 AS ka, (conv_id + conv_id % 3 + 1) % 5 <> 0 AS kb FROM conversations WHERE role = 'assistant')
+    SELECT answer_id, head || ' ' || CASE WHEN ka AND kb AND a <> b THEN '[1][2]' WHEN ka OR kb THEN '[1]' ELSE '' END || ' and ' || CASE WHEN ka THEN '[1]' ELSE '' END || ' then .' AS text FROM a"""
+)
 def cite_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations numbered by first use; unknown ones are dropped."""
-    answers = values(spark, _ANSWERS, "answer_id int, text string")
-    return conversation.rendered(answers, conversation.citations(answers, values(spark, _KNOWN, "answer_id int, ref string")))
+    """Citations behind assistants' turns, numbered by first use; unknown ones are dropped."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("answer_id", F.col("conv_id") * 1000 + F.col("turn"))
+    a, b = (F.concat(F.lit("ev_"), x.cast("string")) for x in (F.col("turn") % 4 + 1, F.col("conv_id") % 3 + 1))
+    answers = said.select("answer_id", F.concat(F.left("text", F.lit(60)), F.lit(" ["), a, F.lit(", "), b, F.lit("] and ["), a, F.lit("] then [ev_9].")).alias("text"))
+    some = F.filter(F.sequence(F.lit(1), F.lit(4)), lambda n: (F.col("conv_id") + n) % 5 != 0)
+    known = said.select("answer_id", F.explode(some).alias("n")).select("answer_id", F.concat(F.lit("ev_"), F.col("n").cast("string")).alias("ref"))
+    return conversation.rendered(answers, conversation.citations(answers, known))
 
 
 @query("SELECT user_id AS run_id, sum(event_id % 100)::BIGINT AS prompt_tokens, sum(event_id % 7)::BIGINT AS completion_tokens, count(*) AS attempts FROM events GROUP BY 1")

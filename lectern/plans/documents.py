@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions import values as vl
-from lectern.operators import assets, chunking, scope, selection
-from lectern.plans.registry import CHUNKS, query
+from lectern.operators import assets, chunking, scope, selection, windows
+from lectern.plans.registry import CHUNKS, TERMS, query
 from lectern.sources import blocks as bl
 from lectern.sources.tables import TOKEN, chunk_id, line_chunks, table, token_count, values
 
@@ -126,41 +126,67 @@ def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.btrim(F.regexp_replace("text", r"\s+", " ")).alias("flat"), F.size(tx.records(F.col("text"))).alias("records"))
 
 
-@query("""SELECT * FROM (VALUES (1, ['figure:2a', 'figure:3'], 'What is it”'), (2, [], 'Why'''), (3, ['figure:1.2'], '(3) Was ist')) t(id, labels, question)""")
+@query(
+    r"""WITH d AS (SELECT doc_id, 'See Fig. ' || (doc_id % 7) || ' and Figure ' || (doc_id % 5) || 'A; fig ' || (doc_id % 7) || ' ' || text AS a, ' ' || (doc_id % 9) || ') “' || string_split(text, chr(10))[1] || '”。' AS b FROM documents),
+    q AS (SELECT doc_id, a, trim(regexp_replace(regexp_replace(b, '\s+', ' ', 'g'), '^ +', '')) AS flat FROM d)
+    SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(a, '(?i)(?:fig(?:ure)?[.\s]*|图\s*)([0-9]+(?:[A-Za-z]|[.\-][0-9A-Za-z]+)?)', 1), lambda x: 'figure:' || lower(x)))) AS labels,
+        trim(rtrim(trim(regexp_replace(flat, '^(?:[0-9]+[.)、]|[-*•])\s+', ''), ' "''“”‘’'), '。.;；')) AS question FROM q"""
+)
 def labels_and_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figure labels and normalised questions of literal rows."""
-    rows = values(spark, [(1, "See Fig. 3 and Figure 2A; fig 3.", " 1) “What  is it”。"), (2, "2023 and 7", "- 'Why';"), (3, "图 1.2 和", "(3) Was ist.")], "id int, a string, b string")
-    return rows.select("id", tx.figure_labels(F.col("a")).alias("labels"), tx.question(F.col("b")).alias("question"))
+    """Figures named before whole texts, and first lines as numbered and quoted questions."""
+    d, n = table(spark, sf_dir, "documents"), lambda m: (F.col("doc_id") % m).cast("string")
+    named = F.concat(F.lit("See Fig. "), n(7), F.lit(" and Figure "), n(5), F.lit("A; fig "), n(7), F.lit(" "), F.col("text"))
+    asked = F.concat(F.lit(" "), n(9), F.lit(") “"), F.substring_index("text", "\n", 1), F.lit("”。"))
+    return d.select("doc_id", tx.figure_labels(named).alias("labels"), tx.question(asked).alias("question"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'a_b'), (2, NULL), (3, 'x')) t(id, q)""")
+@query(
+    f"""WITH t AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN [] ELSE ({TERMS.format('text')})[1:64] END AS l FROM benchmark)
+    SELECT item_id, CASE WHEN len(l) > 0 THEN array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), ' | ') END AS q FROM t"""
+)
 def or_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An OR query, which is null when empty."""
-    rows = values(spark, [(1, ["a_b"]), (2, []), (3, ["x", "x"])], "id int, l array<string>")
-    return rows.select("id", F.regexp_replace(tx.or_query(F.col("l")), "'", "").alias("q"))
+    """passages' terms as OR queries, null where there are none."""
+    found = F.when(F.col("item_id") % 5 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.slice(tx.terms(F.col("text")), 1, 64))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(tx.or_query(found), "'", "").alias("q"))
 
 
-@query("""SELECT * FROM (VALUES (1, '{"b":"2"}', true, '{"a":"1","b":"3"}', false), (2, '{}', false, '{"b":"3"}', false)) t(id, without_a, has_b, merged, contains_b3)""")
+@query(
+    """WITH j AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events)
+    SELECT event_id, CASE WHEN k IS NULL THEN '{"e":"1"}' ELSE '{}' END AS without_k, k IS NOT NULL AS has_k, CASE WHEN k IS NULL THEN '{"e":"1","b":"3"}' ELSE '{"k":"' || k || '","b":"3"}' END AS merged,
+        coalesce(k = (event_id % 100)::VARCHAR, false) AS contains_k FROM j"""
+)
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S33, S34, AG6: keys dropped, objects merged, containment."""
-    rows = values(spark, [(1, '{"a":"1","b":"2"}'), (2, "{}")], "id int, j string")
-    j = F.col("j")
-    return rows.select("id", vl.without_key(j, "a").alias("without_a"), vl.has_key(j, "b").alias("has_b"), vl.merged(j, F.lit('{"b":"3"}')).alias("merged"), vl.contains(j, F.lit('{"b":"3"}')).alias("contains_b3"))
+    """S33, S34, AG6: keys of events' properties dropped, objects merged, containment."""
+    e = table(spark, sf_dir, "events")
+    j = F.when(F.col("event_id") % 3 == 0, '{"e":"1"}').otherwise(F.col("props"))
+    part = F.concat(F.lit('{"k":"'), (F.col("event_id") % 100).cast("string"), F.lit('"}'))
+    return e.select("event_id", vl.without_key(j, "k").alias("without_k"), vl.has_key(j, "k").alias("has_k"), vl.merged(j, F.lit('{"b":"3"}')).alias("merged"), vl.contains(j, part).alias("contains_k"))
 
 
-@query("""SELECT * FROM (VALUES ('1 + 2 * 3', '7', NULL), ('1 / 4', '0.25', NULL), ('(1.10 - 0.1) * -2', '-2', NULL), ('1 / 0', NULL, 'division_by_zero'), ('2 ** 3', NULL, 'unsupported_ast'), ('1 +', NULL, 'syntax'), ('', NULL, 'expression_empty'),
-    ('0x10 / 2', NULL, 'syntax'), ('1e5', NULL, 'syntax'), ('0 / 0', NULL, 'numeric_limit'), ('.5 + 1_000', '1000.5', NULL), ('True + 1', NULL, 'unsupported_ast')) t(expression, value, reject)""")
+@query(
+    r"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 10 AS m FROM orders)
+    SELECT k AS order_id, CASE m WHEN 1 THEN c || ' / 0' WHEN 2 THEN 'x + ' || c WHEN 3 THEN c || ' +' WHEN 4 THEN '' WHEN 5 THEN c || ' ** 2' WHEN 6 THEN '0x1F / ' || c ELSE c || ' * (' || (k % 9) || ' - 4) + ' || (k % 7) || ' / 4' END AS expression,
+        CASE WHEN m NOT BETWEEN 1 AND 6 THEN regexp_replace(regexp_replace((c * (k % 9 - 4) + (k % 7)::DECIMAL(18, 2) / 4)::DECIMAL(18, 2)::VARCHAR, '0+$', ''), '\.$', '') END AS value,
+        CASE m WHEN 1 THEN CASE c WHEN 0 THEN 'numeric_limit' ELSE 'division_by_zero' END WHEN 2 THEN 'unsupported_ast' WHEN 3 THEN 'syntax' WHEN 4 THEN 'expression_empty' WHEN 5 THEN 'unsupported_ast' WHEN 6 THEN 'syntax' END AS reject FROM o"""
+)
 def decimal_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact decimal arithmetic and its reject reasons."""
-    rows = values(spark, [("1 + 2 * 3",), ("1 / 4",), ("(1.10 - 0.1) * -2",), ("1 / 0",), ("2 ** 3",), ("1 +",), ("",), ("0x10 / 2",), ("1e5",), ("0 / 0",), (".5 + 1_000",), ("True + 1",)], "expression string")
-    return rows.select("expression", vl.calculated(F.col("expression")).alias("c")).select("expression", "c.value", "c.reject")
+    """An expression of each order in exact decimal arithmetic, with reject reasons."""
+    k, c, m = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.col("o_orderkey") % 10
+    sound = F.concat(c, F.lit(" * ("), (k % 9).cast("string"), F.lit(" - 4) + "), (k % 7).cast("string"), F.lit(" / 4"))
+    expression = (
+        F.when(m == 1, F.concat(c, F.lit(" / 0"))).when(m == 2, F.concat(F.lit("x + "), c)).when(m == 3, F.concat(c, F.lit(" +"))).when(m == 4, "")
+        .when(m == 5, F.concat(c, F.lit(" ** 2"))).when(m == 6, F.concat(F.lit("0x1F / "), c)).otherwise(sound)
+    )
+    rows = table(spark, sf_dir, "orders").select(k.alias("order_id"), expression.alias("expression"))
+    return rows.select("order_id", "expression", vl.calculated(F.col("expression")).alias("c")).select("order_id", "expression", "c.value", "c.reject")
 
 
-@query("""SELECT n, least(30 * pow(2, n - 1), 3600)::BIGINT AS delay, (2 * n + 7) // 14 AS ratio FROM range(1, 12) t(n)""")
+@query("""SELECT event_id, least(30 * pow(2, event_id % 12), 3600)::BIGINT AS delay, (2 * floor(value)::BIGINT + 7) // 14 AS ratio FROM events""")
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S23, S21."""
-    n = spark.range(1, 12).withColumnRenamed("id", "n")
-    return n.select("n", vl.backoff_seconds(F.col("n"), 30, 3600).alias("delay"), vl.half_up_ratio(F.col("n"), F.lit(7)).alias("ratio"))
+    """The delay before each event's next attempt, and its value's rounded ratio."""
+    return table(spark, sf_dir, "events").select(
+        "event_id", vl.backoff_seconds(F.col("event_id") % 12 + 1, 30, 3600).alias("delay"), vl.half_up_ratio(F.floor("value").cast("long"), F.lit(7)).alias("ratio")
+    )
 
 
 @query()
@@ -315,3 +341,25 @@ def fair_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.pmod(F.crc32("lang"), F.lit(1000))
     units = d.select(lang.alias("query_id"), F.pmod(F.crc32("source"), F.lit(100_000)).alias("group_id"), F.col("doc_id").alias("unit"), F.col("doc_id").alias("chunk_id"), F.length("text").cast("long").alias("chars"), F.lit(False).alias("sent"))
     return selection.fair_shares(units.where("chars is not null"))
+
+
+@query()
+def rerank_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every document beside its first line as the query; those with bars are tables."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.instr("text", "|").cast("boolean").alias("is_table"), F.substring_index("text", "\n", 1).alias("asked"))
+    room = windows.body_room(token_count(F.col("asked")), F.lit(0), F.lit(1))
+    cut = d.select("doc_id", "text", F.posexplode(windows.rerank_windows(F.col("text"), room, F.col("is_table"))).alias("window", "w"))
+    return cut.select("doc_id", "window", "w.start", "w.end", "w.tokens", "w.header", F.md5(windows.window_text(F.col("text"), F.col("w"))).alias("text_md5"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE length(text) > 0)
+    SELECT doc_id, sum(strlen(c))::BIGINT AS bytes, md5(string_agg(c, '' ORDER BY i)) AS text_md5, true AS fits FROM w GROUP BY 1"""
+)
+def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2,048 bytes, joined again."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    pieces = F.transform(windows.byte_windows(F.col("text")), lambda w: F.substring(F.col("text"), w["start"] + 1, w["end"] - w["start"]))
+    cut = d.select("doc_id", pieces.alias("pieces"))
+    sizes = F.transform("pieces", lambda p: F.octet_length(p))
+    return cut.select("doc_id", F.aggregate(sizes, F.lit(0), lambda s, x: s + x).cast("long").alias("bytes"), F.md5(F.array_join("pieces", "")).alias("text_md5"), (F.array_max(sizes) <= windows.MAX_BYTES).alias("fits"))

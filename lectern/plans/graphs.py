@@ -101,11 +101,20 @@ def grounded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.grounded(asks, nations)
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(id, chain)")
+def _marks(words: tuple[str, ...]) -> str:
+    return " + ".join(f"contains(lower(q), '{w}')::INT" for w in words)
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, left(text, 100) || CASE conv_id % 3 WHEN 0 THEN ' Who ultimately owns it?' WHEN 1 THEN ' What does it support?' ELSE ' Which license do those that depend on it have?' END AS q FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, ({_marks(graph.CHAIN_MARKERS)}) > 0 OR ({_marks(graph.RELATION_MARKERS)}) >= 2 AS chain FROM c"""
+)
 def chain_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G5."""
-    rows = values(spark, [(1, "Who ultimately owns it?"), (2, "What does it support?"), (3, "Which license do those that depend on it have?")], "id int, q string")
-    return rows.select("id", graph.chain_question(F.col("q")).alias("chain"))
+    """Whether users' turns, with a question behind them, ask for a chain."""
+    n = F.col("conv_id") % 3
+    tail = F.when(n == 0, " Who ultimately owns it?").when(n == 1, " What does it support?").otherwise(" Which license do those that depend on it have?")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("q", F.concat(F.left("text", F.lit(100)), tail))
+    return rows.select("conv_id", "turn", graph.chain_question(F.col("q")).alias("chain"))
 
 
 @query(

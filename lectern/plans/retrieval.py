@@ -522,6 +522,38 @@ def representation_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.best_representation(rows)
 
 
+@query(
+    f"""WITH {_LEXICAL_SQL}, top AS (SELECT query_id, chunk_id, rank FROM lexical WHERE rank <= 5), size AS (SELECT count(*) AS n FROM benchmark),
+    ask AS (SELECT item_id AS query_id, r AS round, (item_id + r * 7) % n AS ask_id FROM benchmark CROSS JOIN size CROSS JOIN (VALUES (1), (2)) t(r) WHERE item_id % 4 <> 3),
+    told AS (SELECT item_id AS ask_id, unnest(({TERMS.format('text')})[1:8]) AS term FROM benchmark),
+    seen AS (SELECT doc_id AS chunk_id, unnest(list_distinct({TERMS.format('text')})) AS term FROM documents),
+    ok1 AS (SELECT DISTINCT a.query_id, a.ask_id FROM ask a JOIN told USING (ask_id) JOIN top s ON s.query_id = a.query_id JOIN seen ON seen.chunk_id = s.chunk_id AND seen.term = told.term WHERE round = 1),
+    n1 AS (SELECT o.query_id, ask_id, t.chunk_id, t.rank FROM ok1 o JOIN top t ON t.query_id = o.ask_id WHERE (o.query_id, t.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM top)),
+    shown1 AS (SELECT query_id, chunk_id FROM top UNION SELECT query_id, chunk_id FROM n1),
+    ok2 AS (SELECT DISTINCT a.query_id, a.ask_id FROM ask a JOIN told USING (ask_id) JOIN shown1 s ON s.query_id = a.query_id JOIN seen ON seen.chunk_id = s.chunk_id AND seen.term = told.term
+        WHERE round = 2 AND a.query_id IN (SELECT query_id FROM n1)),
+    n2 AS (SELECT o.query_id, ask_id, t.chunk_id, t.rank FROM ok2 o JOIN top t ON t.query_id = o.ask_id WHERE (o.query_id, t.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM shown1))
+    SELECT query_id, 0 AS round, NULL::BIGINT AS ask_id, chunk_id, rank::INTEGER AS rank FROM top UNION ALL SELECT query_id, 1, ask_id, chunk_id, rank::INTEGER FROM n1 UNION ALL SELECT query_id, 2, ask_id, chunk_id, rank::INTEGER FROM n2"""
+)
+def follow_up_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages, and other passages as what would be asked next, in two rounds."""
+    asks, index = _lexical(spark, sf_dir)
+    index = stored(index.select("chunk_id", "lexemes"), "lexemes")
+    passages = table(spark, sf_dir, "benchmark")
+    n = passages.count()
+    told = passages.select(F.col("item_id").alias("ask_id"), F.slice(tx.terms(F.col("text")), 1, 8).alias("terms"))
+    round_ = F.explode(F.array(F.lit(1), F.lit(2)))
+    next_ = passages.where("item_id % 4 <> 3").select(F.col("item_id").alias("query_id"), round_.alias("round")).withColumn("ask_id", (F.col("query_id") + F.col("round") * 7) % n).join(told, "ask_id")
+    terms = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), tx.terms(F.col("text")).alias("terms"))
+
+    def search(now: DataFrame) -> DataFrame:
+        wanted = now.select("ask_id").distinct().join(asks.withColumnRenamed("query_id", "ask_id"), "ask_id")
+        hits = lanes.lexical_lane(wanted.withColumnRenamed("ask_id", "query_id"), index, 5).select(F.col("query_id").alias("ask_id"), "chunk_id", "rank")
+        return now.select("query_id", "ask_id").join(hits, "ask_id")
+
+    return lanes.follow_up_rounds(lanes.lexical_lane(asks, index, 5), next_, terms, search)
+
+
 @query()
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents of each pool under twelve items and 6,000 tokens."""
