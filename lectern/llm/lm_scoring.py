@@ -35,7 +35,7 @@ from lectern.llm.shared import persisted, small_batches
 #: Longest context in bytes; a string with its next byte and its length must fit a long, so 6 at most.
 ORDER = 4
 #: Bytes of text in a block, about, and the least number of blocks.
-BLOCK, LEAST_BLOCKS = 3 << 23, 24
+BLOCK, LEAST_BLOCKS = 1 << 24, 24
 #: Bytes that occur in no UTF-8 text: what stands before a text, and its end.
 START, END = 0xFE, 0xFF
 #: Largest table that numbers strings directly; larger levels are numbered by sorting.
