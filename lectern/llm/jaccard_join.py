@@ -365,7 +365,7 @@ def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     found = persisted(found.groupBy(F.col("doc_id").alias(own)).agg(F.first("component_id").alias("component"), F.count("*").alias("rows")), "found")
     ids = keyed.select(own, "doc_id").join(found, own).select(own, "component", "doc_id")
     best = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(own))).alias("least"))
-    gone = found.join(best, "component").where(F.col(own) != F.col(f"least.{own}")).select(own)
+    gone = found.select(own).join(best.select(F.col(f"least.{own}").alias(own)), own, "left_anti")  # by row, as a component may be large
     kept = keyed.join(persisted(gone, "gone"), own, "left_anti")
     again = persisted(found.where("rows > 1").select(own), "again")
     if again.isEmpty():
