@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions.vectors import cosine_distance, of_dimension
-from lectern.operators import context, lanes, pruned, ranking, scope, selection
+from lectern.operators import context, lanes, pruned, ranking, scope, selection, visual
 from lectern.plans.registry import CHUNKS, DISTANCE, TERMS, query
 from lectern.sources.steps import stored
 from lectern.sources.tables import chunk_id, line_chunks, table, token_count, values
@@ -590,3 +590,58 @@ def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = lanes.distances(_queries(vectors), vectors)
     windows = near.select("query_id", F.expr("chunk_id div 4").alias("chunk_id"), (F.col("chunk_id") % 4).alias("window"), F.round(F.col("distance") * 4 - 3, 6).alias("logit"))
     return ranking.best_window(windows)
+
+
+def _pick_sql(n: int) -> str:
+    """The n-th picture of each query, apart from those before."""
+    apart = "".join(f" AND NOT EXISTS (FROM p{i} WHERE p{i}.query_id = r.query_id AND (p{i}.asset_id = r.asset_id OR p{i}.checksum = r.checksum OR p{i}.group_key = r.group_key))" for i in range(1, n))
+    order = "priority_micros DESC, coalesce(nullif(text_rank, 0), 2147483648), coalesce(nullif(cross_rank, 0), 2147483648), unit, asset_id, rank, nth"
+    return f"p{n} AS MATERIALIZED (SELECT *, {n} AS place FROM r WHERE competes{apart} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {order}) = 1)"
+
+
+def _priority_sql(weight: str) -> str:
+    share = lambda c: f"CASE WHEN {c} > 0 THEN 1000000 // (60 + {c}) ELSE 0 END"
+    return f"({weight} + {share('text_rank')} + {share('cross_rank')} + CASE WHEN text_rank IS NOT NULL AND cross_rank IS NOT NULL THEN 250000 ELSE 0 END)::BIGINT"
+
+
+@query(
+    f"""WITH {_NEAR.format(step=10)}, e AS (
+        SELECT query_id, chunk_id AS unit, rank, chunk_id // 10 AS version, ['text', 'table', 'image'][label % 3 + 1] AS modality, CASE WHEN label % 3 > 0 AND chunk_id % 4 > 0 THEN chunk_id % 17 END AS asset_id, 'c' || (chunk_id % 13) AS checksum,
+            CASE WHEN chunk_id % 3 > 0 THEN 'g' || (chunk_id % 11) END AS group_key, CASE WHEN chunk_id % 5 > 0 THEN rank END AS text_rank, CASE WHEN chunk_id % 2 = 0 THEN 9 - rank END AS cross_rank, chunk_id % 7 > 0 AS usable
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM near) WHERE rank <= 8),
+    v AS (SELECT query_id, rank, nth, version, usable, unit * 10 + nth AS unit, (unit * 3 + nth * 7) % 19 AS asset_id, 'c' || ((unit + nth) % 13) AS checksum, 'g' || ((unit + nth) % 11) AS group_key,
+        ['explicit_figure_reference', 'caption_of', 'inline_figure', 'ocr_of', 'table_of', 'spatial_neighbor', 'same_page'][(unit + nth * 2) % 7 + 1] AS relation_type,
+        coalesce(CASE WHEN (unit + nth) % 4 = 0 THEN nth + 1 END, text_rank) AS text_rank, CASE WHEN (unit + nth) % 3 = 0 THEN nth + 2 END AS cross_rank FROM e CROSS JOIN range(3) t(nth)),
+    r AS MATERIALIZED (
+        SELECT query_id, rank, nth, unit, asset_id, checksum, version || '/' || group_key AS group_key, text_rank, cross_rank,
+            CASE WHEN NOT usable THEN 'rejected_parent_not_admitted' WHEN relation_type IN ('spatial_neighbor', 'same_page') THEN 'rejected_weak_relation' END AS barred,
+            usable AND relation_type NOT IN ('spatial_neighbor', 'same_page') AND (relation_type = 'explicit_figure_reference' OR cross_rank IS NOT NULL OR rank = 1) AS competes,
+            CASE WHEN relation_type = 'explicit_figure_reference' THEN 'selected_explicit_reference' WHEN cross_rank IS NOT NULL THEN 'selected_dual_lane' ELSE 'selected_strong_relation' END AS reason,
+            {_priority_sql("CASE WHEN relation_type = 'explicit_figure_reference' THEN 4000000 WHEN cross_rank IS NOT NULL THEN 3250000 ELSE 3000000 END")} AS priority_micros FROM v
+        UNION ALL SELECT query_id, rank, 1000, unit, asset_id, checksum, version || '/' || coalesce(group_key, unit::VARCHAR), text_rank, cross_rank, CASE WHEN NOT usable THEN 'rejected_low_similarity' END, usable,
+            CASE WHEN text_rank IS NOT NULL AND cross_rank IS NOT NULL THEN 'selected_dual_lane' ELSE 'selected_image_only' END,
+            {_priority_sql("CASE WHEN text_rank IS NOT NULL AND cross_rank IS NOT NULL THEN 2000000 ELSE 1000000 END")} FROM e WHERE modality <> 'text' AND asset_id IS NOT NULL),
+    {", ".join(_pick_sql(n) for n in range(1, 5))}, p AS (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3 UNION ALL FROM p4),
+    j AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id, r.asset_id ORDER BY r.rank, r.nth) > 1 AS met, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, r.nth) AS position,
+        p.place, p.unit AS pick_unit, p.reason AS pick_reason, p.priority_micros AS pick_priority FROM r LEFT JOIN p ON p.query_id = r.query_id AND p.asset_id = r.asset_id),
+    d AS (SELECT *, CASE WHEN barred IS NOT NULL THEN barred WHEN place IS NULL OR met THEN 'rejected_duplicate' WHEN place > 2 THEN 'rejected_visual_budget' ELSE pick_reason END AS why FROM j)
+    SELECT query_id, position::INTEGER AS position, asset_id, CASE WHEN starts_with(why, 'selected') THEN pick_unit ELSE unit END AS unit, why AS reason, coalesce(pick_priority, 0)::BIGINT AS priority_micros FROM d"""
+)
+def visual_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T16, PF15: pictures beside the eight nearest vectors of each query, at most two shown, with a reason each."""
+    vectors = _vectors(spark, sf_dir)
+    near = pruned.nearest(_queries(vectors, 10), vectors, 8).join(vectors.select("chunk_id", "label"), "chunk_id")
+    c, rank = F.col("chunk_id"), F.col("rank")
+    name = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    evidence = stored(near.select(
+        "query_id", c.alias("unit"), "rank", F.expr("chunk_id div 10").alias("version"), F.get(F.array(F.lit("text"), F.lit("table"), F.lit("image")), F.col("label") % 3).alias("modality"),
+        F.when((F.col("label") % 3 > 0) & (c % 4 > 0), c % 17).alias("asset_id"), name("c", c % 13).alias("checksum"), F.when(c % 3 > 0, name("g", c % 11)).alias("group_key"),
+        F.when(c % 5 > 0, rank).alias("text_rank"), F.when(c % 2 == 0, 9 - rank).alias("cross_rank"), (c % 7 > 0).alias("usable"),
+    ), "shown")
+    u, n = F.col("unit"), F.col("nth")
+    kinds = F.array(*[F.lit(k) for k in (*visual.STRONG, "spatial_neighbor", "same_page")])
+    visuals = evidence.select("query_id", "rank", "unit", F.explode(F.array(*map(F.lit, range(3)))).alias("nth")).select(
+        "query_id", "rank", "nth", (u * 10 + n).alias("unit"), ((u * 3 + n * 7) % 19).alias("asset_id"), name("c", (u + n) % 13).alias("checksum"), name("g", (u + n) % 11).alias("group_key"),
+        F.get(kinds, ((u + n * 2) % 7).cast("int")).alias("relation_type"), F.when((u + n) % 4 == 0, n + 1).alias("text_rank"), F.when((u + n) % 3 == 0, n + 2).alias("cross_rank"),
+    )
+    return visual.visual_decisions(visual.visual_rows(evidence, visuals), 2)
