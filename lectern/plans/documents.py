@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -210,7 +210,37 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = u.withColumns({"ordinal": F.col("unit"), "surface": F.lit(0), "kind": kind, "section": F.lit("")})
     rows = chunking.boundary_reasons(marked).withColumn("terms", F.array_distinct(tx.terms(F.col("text"))))
     rows = chunking.smoothed(chunking.term_distances(rows))
-    return chunking.semantic_chunks(rows)
+    # a unit's page, its heading's number and its own reference, for what chunks have in common
+    heading = F.count_if(F.col("kind") == "heading").over(Window.partitionBy("doc_id").orderBy("unit"))
+    page, name = F.expr("unit div 12"), F.concat(F.lit("u"), F.col("unit").cast("string"))
+    about = marked.select("doc_id", "unit", F.array(name).alias("refs"), page.alias("first_page"), page.alias("last_page"), F.array(F.lit("document"), heading.cast("string")).alias("path"))
+    return chunking.assembled(chunking.semantic_chunks(rows), about)
+
+
+@query(
+    f"""WITH c AS ({CHUNKS}), u AS (SELECT doc_id, ordinal // 8 AS chunk, ordinal, ordinal // 2 AS page, ['d', 's' || (ordinal // 20), 'p' || (ordinal // 5)] AS path FROM c WHERE ordinal % 8 NOT IN (3, 4, 5)),
+    e AS (SELECT doc_id, ordinal // 8 AS chunk, min(ordinal) AS first_unit, max(ordinal) AS last_unit FROM c GROUP BY 1, 2),
+    r AS (SELECT doc_id, chunk, 'line' || ordinal AS ref, ordinal * 2 AS o FROM u UNION ALL SELECT doc_id, chunk, 'block' || (ordinal // 3), ordinal * 2 + 1 FROM u),
+    f AS (SELECT doc_id, chunk, ref, min(o) AS o FROM r GROUP BY 1, 2, 3),
+    i AS (SELECT *, page - dense_rank() OVER (PARTITION BY doc_id, chunk ORDER BY page) AS island FROM (SELECT DISTINCT doc_id, chunk, page FROM u)),
+    g AS (SELECT doc_id, chunk, min(page) AS a, max(page) AS z FROM i GROUP BY doc_id, chunk, island)
+    SELECT doc_id, chunk, first_unit, last_unit, refs, pages, hierarchy FROM e
+    LEFT JOIN (SELECT doc_id, chunk, list(ref ORDER BY o) AS refs FROM f GROUP BY 1, 2) USING (doc_id, chunk)
+    LEFT JOIN (SELECT doc_id, chunk, string_agg(a || '-' || z, ',' ORDER BY a) AS pages FROM g GROUP BY 1, 2) USING (doc_id, chunk)
+    LEFT JOIN (SELECT doc_id, chunk, CASE WHEN count(DISTINCT path) = 1 THEN min(path) WHEN count(DISTINCT path[2]) = 1 THEN min(path)[1:2] ELSE min(path)[1:1] END AS hierarchy FROM u GROUP BY 1, 2) USING (doc_id, chunk)"""
+)
+def chunk_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of eight lines with their lines' references, page ranges and common headings; three of eight lines have none."""
+    c = line_chunks(table(spark, sf_dir, "documents"))
+    n, text = F.col("ordinal"), lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    chunks = c.groupBy("doc_id", F.expr("ordinal div 8").alias("chunk")).agg(F.min("ordinal").alias("first_unit"), F.max("ordinal").alias("last_unit"))
+    units = c.where(~(n % 8).isin(3, 4, 5)).select(
+        "doc_id", n.alias("unit"), F.array(text("line", n), text("block", F.expr("ordinal div 3"))).alias("refs"), F.expr("ordinal div 2").alias("first_page"), F.expr("ordinal div 2").alias("last_page"),
+        F.array(F.lit("d"), text("s", F.expr("ordinal div 20")), text("p", F.expr("ordinal div 5"))).alias("path"),
+    )
+    done = chunking.assembled(chunks, units)
+    pages = F.array_join(F.transform("pages", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
+    return done.select("doc_id", "chunk", "first_unit", "last_unit", "refs", pages.alias("pages"), "hierarchy")
 
 
 @query()
