@@ -23,10 +23,12 @@ training text. Texts are never cut: a block holds at least one whole text. Resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ BLOCK, LEAST_BLOCKS = 1 << 24, 24
 START, END = 0xFE, 0xFF
 #: Largest table that numbers strings directly; larger levels are numbered by sorting.
 DENSE = 1 << 25
-#: Places that are numbered at a time.
-PIECE = 1 << 20
+#: Places that are numbered at a time: few enough for a processor's cache.
+PIECE = 1 << 16
 #: A packed string holds its length above its bytes.
 LENGTH_AT = 56
 
@@ -76,10 +78,10 @@ class Strings:
         self.keys: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
         self.offset = [0]
 
-    def number(self, learn: int = 0) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    def number(self, learn: int | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Numbers all levels. Returns the number of the longest string that begins at each place, and each level's counts: in all texts, and in the first ``learn``.
 
-        What begins in one text and ends in the next is numbered too, but counts nowhere.
+        What begins in one text and ends in the next is numbered too, but counts nowhere. Without ``learn`` nothing is counted.
         """
         ids, every, first = np.zeros(len(self.symbols), dtype=np.int32), [np.zeros(1)], [np.zeros(1)]
         cut = int(self.ends[learn - 1]) if learn else 0
@@ -106,11 +108,13 @@ class Strings:
             low, high = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
             for a, b, key in pieces():
                 ids[a:b] = own = place[key] if place is not None else np.searchsorted(keys, key)
+                if learn is None:
+                    continue
                 within = max(0, min(b, cut - level + 1) - a)  # places whose string ends in a text to learn from
                 high += np.bincount(own, minlength=len(keys))
                 if within:
                     low += np.bincount(own[:within], minlength=len(keys))
-            for back in range(1, level):  # strings over a text's end
+            for back in range(1, level if learn is not None else 1):  # strings over a text's end
                 over = self.ends - back
                 np.subtract.at(high, ids[over], 1)
                 np.subtract.at(low, ids[over[over < cut - level + 1]], 1)
@@ -132,22 +136,19 @@ class Strings:
     def costs(self, share: np.ndarray, factor: np.ndarray) -> np.ndarray:
         """log10 of the probability of each longest string's last byte after the others. Both arrays are by ``offset``, NaN where the tree has nothing."""
         top = self.order + 1
-        number = np.arange(len(self.keys[top]))
-        spelled = np.empty((top, len(number)), dtype=np.int64)  # symbols of each longest string
-        for level in range(top, 0, -1):
-            key = self.keys[level][number]
-            spelled[level - 1], number = key % self.width, key // self.width
-        out, left = np.zeros(spelled.shape[1]), np.arange(spelled.shape[1])  # those that have escaped so far
-        for skip in range(top):  # contexts from the longest to the empty one
-            level, context = top - skip, np.zeros(len(left), dtype=np.int64)
-            for k in range(1, level):
-                context = np.searchsorted(self.keys[k], context * self.width + spelled[skip + k - 1, left])
-            whole = np.searchsorted(self.keys[level], context * self.width + spelled[top - 1, left])
+        shorter = [np.zeros(0, dtype=np.int64), np.zeros(len(self.keys[1]), dtype=np.int64)]  # each string without its first byte
+        for level in range(2, top + 1):
+            key = self.keys[level]
+            shorter.append(np.searchsorted(self.keys[level - 1], shorter[-1][key // self.width] * self.width + key % self.width))
+        out = np.zeros(len(self.keys[top]))
+        left = whole = np.arange(len(out))  # those that have escaped so far, and what is looked up of them
+        for level in range(top, 0, -1):  # contexts from the longest to the empty one
             p = share[self.offset[level] + whole]
             gone = np.isnan(p)
             out[left[~gone]] += p[~gone]
-            left, context = left[gone], context[gone]
-            out[left] += np.nan_to_num(factor[self.offset[level - 1] + context])
+            left, whole = left[gone], whole[gone]
+            out[left] += np.nan_to_num(factor[self.offset[level - 1] + self.keys[level][whole] // self.width])
+            whole = shorter[level][whole]
         out[left] -= np.log10(256)
         return out
 
@@ -156,6 +157,21 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass").lower() for t in table["text"].to_pylist()]  # of bytes, lower() changes A-Z alone
 
 
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts in their order, the number of each word of each text, and how many each text has."""
+    number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+    found, sizes = [], np.zeros(len(texts), dtype=np.int64)
+    for i, t in enumerate(texts):
+        own = t.split()
+        sizes[i] = len(own)
+        found.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+    names = pa.array(list(number), pa.binary())
+    order = pc.sort_indices(names)
+    place = np.empty(len(names), dtype=np.int32)
+    place[order.to_numpy()] = np.arange(len(names), dtype=np.int32)
+    return names.take(order), place[np.concatenate([np.zeros(0, dtype=np.int32), *found])], sizes
+
+
 _PARTS_ARROW = pa.schema([("block", pa.int32()), ("at", pa.int32()), ("token", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
@@ -173,14 +189,9 @@ def _parts(order: int):
             columns += [pa.nulls(len(at), pa.string()) if token is None else token, pa.nulls(len(at), pa.int64()) if gram is None else pa.array(gram, pa.int64())]
             out.append(pa.table([*columns, pa.array(n, pa.int64())], schema=_PARTS_ARROW))
 
-        words: dict[bytes, int] = {}
-        for i, t in enumerate(texts):
-            one = int(i < learn)
-            for w in t.split():
-                words[w] = words.get(w, 0) + one
-        known = sorted(words)
-        add(np.arange(len(known)), pa.array([w.decode() for w in known], pa.string()), None, np.array([words[w] for w in known], dtype=np.int64))
-        del words, known
+        names, number, sizes = _words(texts)
+        add(np.arange(len(names)), names.cast(pa.string()), None, np.bincount(number[: sizes[:learn].sum()], minlength=len(names)))
+        del names, number
 
         strings = Strings(texts, order)
         _, every, first = strings.number(learn)
@@ -202,18 +213,18 @@ def _scored(order: int, tokens: int, kinds: int, ends: int):
     def score(docs: pa.Table, found: pa.Table) -> pa.Table:
         texts, at = _texts(docs), found["at"].to_numpy()
         is_word = found["c"].is_valid().to_numpy()
-        words = {w: i for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
-        count = np.zeros(len(words), dtype=np.int64)
+        names, number, sizes = _words(texts)
+        count = np.zeros(len(names), dtype=np.int64)
         count[at[is_word]] = found["c"].filter(found["c"].is_valid()).to_numpy()
         bottom = np.log10(tokens + 0.5 * (kinds + 1))
         weight, end = np.log10(count + 0.5) - bottom, np.log10(ends + 0.5) - bottom
-        n_tokens, n_known, base = [], [], []
-        for t in texts:
-            own = np.array([words[w] for w in t.split()], dtype=np.int64)
-            n_tokens.append(len(own) + 1)
-            n_known.append(int(np.count_nonzero(count[own])) + int(ends > 0))
-            base.append(float(weight[own].sum() + end))
-        del words
+        known, base = np.full(len(texts), int(ends > 0)), np.full(len(texts), end)
+        begin = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(sizes).tolist():
+            own = number[begin[i] : begin[i] + sizes[i]]
+            known[i] += np.count_nonzero(count[own])
+            base[i] += weight[own].sum()
+        del names, number
 
         strings = Strings(texts, order)
         ids, _, _ = strings.number()
@@ -222,7 +233,7 @@ def _scored(order: int, tokens: int, kinds: int, ends: int):
             into[at[~is_word]] = found[name].to_numpy()[~is_word]
         cost = strings.costs(share, factor)
         score = [float(cost[ids[b : e - order]].sum()) for b, e in zip(strings.begins, strings.ends)]
-        return pa.table([docs["doc_id"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([docs["doc_id"], pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
