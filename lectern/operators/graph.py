@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import values as vl
 from lectern.operators.scope import best_row
+from lectern.sources.steps import stored
 
 # Bounds of a search.
 MAX_HOPS, MAX_SEEDS, MAX_PATHS = 3, 8, 20
@@ -38,6 +39,44 @@ def merged_edges(first: DataFrame, second: DataFrame) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("lane", "rank", "edge_id"))).drop("lane")
 
 
+# Seeds that are centres, and how far a centre reaches.
+MAX_CENTRES, REACH = 3, 3
+
+
+def distances(centres: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
+    """(query_id, seed, node, distance): nodes up to ``reach`` steps from each centre, each once, at its least distance.
+
+    A breadth-first search: each step joins the last frontier with the edges of its nodes and leaves out what was visited, so
+    work follows nodes and not paths. Frontiers are stored, so no step runs twice.
+    """
+    steps = doubled(edges).select(F.col("from_node").alias("node"), "to_node")
+    visited = stored(centres.select("query_id", "seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct(), "frontier-0")
+    frontier = visited
+    for n in range(1, reach + 1):
+        met = frontier.select("query_id", "seed", "node").join(steps, "node").select("query_id", "seed", F.col("to_node").alias("node")).distinct()
+        new = met.join(visited.select("query_id", "seed", "node"), ["query_id", "seed", "node"], "left_anti")
+        frontier = stored(new.select("query_id", "seed", "node", F.lit(n).alias("distance")), f"frontier-{n}")
+        visited = visited.unionByName(frontier)
+    return visited
+
+
+def centred_edges(seeds: DataFrame, edges: DataFrame, limit: int, reach: int = REACH) -> DataFrame:
+    """(query_id, edge_id, source, target, rank): edges near a query's first three seeds.
+
+    ``seeds``: query_id, seed, place. Each centre gives its ``limit`` nearest edges, by the distance of the nearer end, then
+    their own rank; of several centres the first one's list wins, and ``limit`` edges stay.
+    """
+    centres = seeds.where(F.col("place") <= MAX_CENTRES)
+    near = distances(centres, edges, reach - 1)
+    ends = edges.select("edge_id", "source", "target", "rank", F.explode(F.array_distinct(F.array("source", "target"))).alias("node"))
+    met = near.join(ends, "node").groupBy("query_id", "seed", "edge_id", "source", "target", "rank").agg(F.min("distance").alias("distance"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("distance", "rank", "edge_id"))
+    some = met.withColumn("nth", nth).where(F.col("nth") <= limit).join(centres.select("query_id", "seed", "place"), ["query_id", "seed"])
+    one = best_row(some, ["query_id", "edge_id"], "place", "nth")
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "nth")))
+    return ranked.where(F.col("rank") <= limit).select("query_id", "edge_id", "source", "target", "rank")
+
+
 def doubled(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, self-loops dropped (J17): from_node, to_node, edge_id, rank, reversed."""
     rows = edges.where("source <> target")

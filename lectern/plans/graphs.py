@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -75,8 +75,6 @@ def graph_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunk of each hop; paths with a hop without one are dropped (20 paths are the feature)."""
-    from pyspark.sql import Window
-
     e = _edges(spark, sf_dir).where("edge_id % 50 <> 0").select("edge_id", (F.col("edge_id") % 40).alias("k"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_size") % 3).alias("mentions"), (F.col("p_size") % 2 == 0).alias("holds_fact"), F.col("p_size").alias("overlap"), (F.col("p_partkey") % 5).alias("ordinal"), (F.col("p_partkey") % 40).alias("k"))
     supports = e.join(p, "k").select(F.col("edge_id").cast("string").alias("edge_id"), "chunk_id", "mentions", "holds_fact", "overlap", "ordinal")
@@ -134,3 +132,30 @@ def path_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _paths(spark, sf_dir).withColumns({"seed": F.lit(True), "chain": F.lit(True), "explicit": F.lit(True), "seed_place": F.expr("cast(substr(entry, 2) as int) + 1")})
     ranked = graph.ranked_paths(found).withColumn("chunks", F.transform("edges", lambda e: e.cast("long")))
     return selection.packed_paths(ranked)
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES_SQL}, steps AS (SELECT source AS a, target AS b FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target),
+    centres AS (SELECT * FROM (SELECT s_suppkey % 5 AS query_id, 's' || s_suppkey AS seed, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS place FROM supplier) WHERE place <= 3),
+    reach AS (SELECT query_id, seed, seed AS node, 0 AS d FROM centres UNION SELECT query_id, seed, b, d + 1 FROM reach JOIN steps ON a = node WHERE d < 2),
+    near AS (SELECT query_id, seed, node, min(d) AS d FROM reach GROUP BY 1, 2, 3),
+    met AS (SELECT query_id, seed, edge_id, source, target, rank, min(d) AS d FROM near JOIN edges ON node IN (source, target) GROUP BY ALL),
+    listed AS (SELECT m.*, place, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, seed ORDER BY d, rank, edge_id) AS n FROM met) m JOIN centres USING (query_id, seed) WHERE n <= 16),
+    one AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY query_id, edge_id ORDER BY place, n) = 1),
+    centred AS (SELECT query_id, edge_id, source, target, 0 AS lane, row_number() OVER (PARTITION BY query_id ORDER BY place, n) AS rank FROM one),
+    hits AS (SELECT s_suppkey % 5 AS query_id, edge_id, source, target, 1 AS lane, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY rank DESC, edge_id) AS rank FROM edges JOIN supplier ON source = 's' || s_suppkey),
+    both_ AS (SELECT * FROM centred WHERE rank <= 16 UNION ALL SELECT * FROM hits WHERE rank <= 10),
+    first_ AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id, edge_id ORDER BY lane, rank) = 1)
+    SELECT query_id, edge_id, source, target, row_number() OVER (PARTITION BY query_id ORDER BY lane, rank, edge_id)::INTEGER AS rank FROM first_"""
+)
+def centred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2, SO2: edges near three suppliers of each query, by breadth-first distance, before the query's own hits."""
+    edges = _edges(spark, sf_dir)
+    group = (F.col("s_suppkey") % 5).alias("query_id")
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("s_suppkey"))
+    seeds = table(spark, sf_dir, "supplier").select(group, name.alias("seed"), "s_suppkey").withColumn("place", place)
+    hits = edges.join(table(spark, sf_dir, "supplier").select(group, name.alias("source")), "source")
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "edge_id"))).where("rank <= 10")
+    near = graph.centred_edges(seeds, edges, 16)
+    return graph.merged_edges(near, hits.select("query_id", "edge_id", "source", "target", "rank"))
