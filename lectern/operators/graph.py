@@ -142,12 +142,19 @@ def ranked_paths(found: DataFrame, k: int = MAX_PATHS) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("k", "reserved", "grounded_", "first_", "entry_k_", "place_")
 
 
-def hydrated(found: DataFrame, supports: DataFrame, most: int = MAX_PATHS) -> DataFrame:
-    """Paths with their best chunk a hop (G6, J18); a path is dropped if a hop has no chunk.
+def best_supports(supports: DataFrame, key: str = "edge_id") -> DataFrame:
+    """(key, chunk_id): the best chunk of each edge, or of each key that edges share.
 
-    ``supports``: edge_id (string), chunk_id, mentions (endpoints named), holds_fact, overlap, ordinal.
+    ``supports``: key, chunk_id, mentions (endpoints named), holds_fact, overlap, ordinal.
+    """
+    return supports.groupBy(key).agg(F.max_by("chunk_id", F.struct("mentions", "holds_fact", "overlap", -F.col("ordinal"), -F.col("chunk_id"))).alias("chunk_id"))
+
+
+def hydrated(found: DataFrame, best: DataFrame, most: int = MAX_PATHS) -> DataFrame:
+    """Paths with their best chunk a hop (G6, J18), ``most`` a query by ``rank``; a path is dropped if a hop has no chunk.
+
+    ``best``: edge_id (string), chunk_id, an edge once, as of ``best_supports``.
     """
-    best = supports.groupBy("edge_id").agg(F.max_by("chunk_id", F.struct("mentions", "holds_fact", "overlap", -F.col("ordinal"), -F.col("chunk_id"))).alias("chunk_id"))
     hops = found.select("query_id", "path_id", "rank", F.size("edges").alias("hops"), F.posexplode("edges").alias("hop", "edge_id"))
     met = hops.join(best, "edge_id").groupBy("query_id", "path_id", "rank", "hops").agg(F.transform(F.sort_array(F.collect_list(F.struct("hop", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks"))
     whole = met.where(F.size("chunks") == F.col("hops"))
