@@ -10,6 +10,7 @@ from lectern.functions import values as vl
 from lectern.operators import assets, chunking, scope, selection, windows
 from lectern.plans.registry import CHUNKS, TERMS, query
 from lectern.sources import blocks as bl
+from lectern.sources.steps import stored
 from lectern.sources.tables import TOKEN, chunk_id, line_chunks, table, token_count, values
 
 _SMOOTH = """
@@ -207,14 +208,14 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     are tables, and short ones head sections."""
     u = chunking.units(table(spark, sf_dir, "documents"))
     kind = F.when(F.instr("text", "|") > 0, "table").when(F.length("text") < 20, "heading").otherwise("text")
-    marked = u.withColumns({"ordinal": F.col("unit"), "surface": F.lit(0), "kind": kind, "section": F.lit("")})
+    marked = stored(u.withColumns({"ordinal": F.col("unit"), "surface": F.lit(0), "kind": kind, "section": F.lit("")}), "units")
     rows = chunking.boundary_reasons(marked).withColumn("terms", F.array_distinct(tx.terms(F.col("text"))))
     rows = chunking.smoothed(chunking.term_distances(rows))
     # a unit's page, its heading's number and its own reference, for what chunks have in common
     heading = F.count_if(F.col("kind") == "heading").over(Window.partitionBy("doc_id").orderBy("unit"))
     page, name = F.expr("unit div 12"), F.concat(F.lit("u"), F.col("unit").cast("string"))
     about = marked.select("doc_id", "unit", F.array(name).alias("refs"), page.alias("first_page"), page.alias("last_page"), F.array(F.lit("document"), heading.cast("string")).alias("path"))
-    return chunking.assembled(chunking.semantic_chunks(rows), about)
+    return chunking.assembled(stored(chunking.semantic_chunks(rows), "chunks"), about)
 
 
 @query(

@@ -34,3 +34,8 @@ def test_supports_are_found_once_a_key(spark):
     parts, edges = count(spark, "part"), count(spark, "supplier") + count(spark, "nation")
     found = most_rows(registry.QUERIES["graph_hydrate"](spark, SF))
     assert 0 < found <= max(parts, 8 * edges) < parts * edges // 40
+
+
+def test_units_are_cut_once_and_chunks_need_no_frame_a_document(spark):
+    plan = registry.QUERIES["semantic_chunks"](spark, SF)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "FlatMapGroups" not in plan
