@@ -49,6 +49,36 @@ def vector_lane(queries: DataFrame, vectors: DataFrame, k: int, gate: float | No
     return ranked.select("query_id", "chunk_id", "rank", "distance", F.round(1 - F.col("distance"), 9).alias("score"))
 
 
+def common_lane(queries: DataFrame, rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    """(query_id, ..., rank): each query's first ``k`` rows (chunk_id, ...) in an order that is the same for all queries, its own left out.
+
+    They are among the first k + 1 of all rows, so no row meets a query beyond these.
+    """
+    few = rows.orderBy(*order).limit(k + 1)
+    met = queries.select("query_id").join(F.broadcast(few), F.col("query_id") != F.col("chunk_id"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def placed(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """``rows`` with ``place`` from 1, by two columns: numbered within the first one's values, behind the rows of smaller values."""
+    sizes = rows.groupBy(first).agg(F.count("*").alias("n_"))
+    before = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")  # a row a value
+    nth = F.row_number().over(Window.partitionBy(first).orderBy(second))
+    return rows.withColumn("nth_", nth).join(F.broadcast(before), rows[first].eqNullSafe(before[first])).drop(before[first]).withColumn("place", F.col("before_") + F.col("nth_")).drop("before_", "nth_")
+
+
+def merged_with_all(few: DataFrame, every: DataFrame, among: Column) -> DataFrame:
+    """(query_id, chunk_id, distance, rank, dense): a short lane merged with one that holds all pairs whose chunk is ``among`` its rows.
+
+    The short lane's hits are ``dense``: those among the long lane's rows mark them, the others come beside (J14). Only the
+    short lane goes to all tasks, in blocks of queries, and the long one's pairs stay where they are made.
+    """
+    few = stored(few, "few")
+    marks = few.where(among).select("query_id", "chunk_id", F.lit(True).alias("dense_"))
+    marked = every.join(F.broadcast(marks), ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "distance", "rank", F.coalesce("dense_", F.lit(False)).alias("dense"))
+    return marked.unionByName(few.where(~among).select("query_id", "chunk_id", "distance", F.lit(None).cast("int").alias("rank"), F.lit(True).alias("dense")))
+
+
 def dual_quota(source: DataFrame, questions: DataFrame, k_source: int, k_question: int) -> DataFrame:
     """Body hits and question hits with separate quotas (T3, R2, SO1, W2).
 

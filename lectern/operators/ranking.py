@@ -133,6 +133,11 @@ def minimal_idf(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def best_window(windows: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, window): the strongest window's logit through a sigmoid, and its index (AG10)."""
     top = windows.groupBy("query_id", "chunk_id").agg(F.max("logit").alias("logit"), F.max_by("window", F.struct("logit", -F.col("window"))).alias("window"))
+    return window_scores(top)
+
+
+def window_scores(top: DataFrame) -> DataFrame:
+    """Logits of each chunk's strongest window as scores."""
     return top.select("query_id", "chunk_id", F.round(sigmoid(F.col("logit")), 9).alias("score"), "window")
 
 

@@ -1,5 +1,6 @@
 """What a query passes on inside must not grow with pairs: no step of its plan gives more rows than its input accounts for."""
 
+import pytest
 from conftest import SF
 
 from lectern.plans import registry
@@ -18,10 +19,10 @@ def most_rows(df):
             return walk(node.executedPlan())
         if kind.endswith("QueryStageExec"):
             return walk(node.plan())
-        told = node.metrics().get("numOutputRows")
-        mine = told.get().value() if told.isDefined() else 0
+        told = [node.metrics().get(m) for m in ("numOutputRows", "pythonNumRowsReceived")]
+        mine = [m.get().value() for m in told if m.isDefined()]
         below = node.children()
-        return max([mine, *[walk(below.apply(i)) for i in range(below.size())]])
+        return max([0, *mine, *[walk(below.apply(i)) for i in range(below.size())]])
 
     return walk(plan)
 
@@ -39,3 +40,19 @@ def test_supports_are_found_once_a_key(spark):
 def test_units_are_cut_once_and_chunks_need_no_frame_a_document(spark):
     plan = registry.QUERIES["semantic_chunks"](spark, SF)._jdf.queryExecution().toString()
     assert "MapInPandas" not in plan and "FlatMapGroups" not in plan
+
+
+def vector_pairs(spark):
+    return count(spark, "embeddings") * spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
+
+
+#: Queries over vectors, and the part of all pairs that a step may give at most: the rows of the result, where these are pairs.
+PARTS = {
+    "rrf_weighted": 8,
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_pairs_of_vectors_are_no_rows(name, spark):
+    found = most_rows(registry.QUERIES[name](spark, SF))
+    assert 0 < found <= vector_pairs(spark) // PARTS[name] + count(spark, "embeddings")
