@@ -54,6 +54,7 @@ PARTS = {
     "vector_group_best": 8,
     "best_window": 3,
     "round_robin_views": 8,
+    "rrf_two_lane": 8,
 }
 
 
