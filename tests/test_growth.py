@@ -55,6 +55,7 @@ PARTS = {
     "best_window": 3,
     "round_robin_views": 8,
     "rrf_two_lane": 8,
+    "policy_grid": 8,
 }
 
 
