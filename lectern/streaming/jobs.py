@@ -71,10 +71,11 @@ def job_states(beats: DataFrame, ts: str = "ts", lateness: str = LATENESS, silen
         wake = [e[0] for e in pending[:1]] + ([last + quiet] if status == "running" else [])
         if wake:
             state.setTimeoutTimestamp(max(min(wake) // 1000, state.getCurrentWatermarkMs()))
-        rows = pd.DataFrame(out, columns=["attempt", "status", "at"])
-        rows["at"] = pd.to_datetime(rows["at"], unit="us")
-        rows.insert(0, "job_id", key[0])
-        yield rows
+        if out:  # most keys of a trigger change nothing, and a frame costs more than the rest
+            rows = pd.DataFrame(out, columns=["attempt", "status", "at"])
+            rows["at"] = pd.to_datetime(rows["at"], unit="us")
+            rows.insert(0, "job_id", key[0])
+            yield rows
 
     return (
         beats.withWatermark(ts, lateness).select("job_id", F.col(ts).alias("ts"), F.col("attempt").cast("long").alias("attempt"), "status", "event_id").groupBy("job_id")
