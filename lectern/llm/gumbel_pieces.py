@@ -25,12 +25,12 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,6 @@ SAMPLES, SEED = 4, 2024
 _STATES, _TEXTS, _CHARS = 700_000, 1024, 1 << 22
 #: Characters of a unit from which on it is kept whole.
 _LONG = 24
-_UNIT = re.compile("▁*[^▁]+|▁+$")
 #: Log-mass, relative to its node's, below which a set of paths is beyond the precision of the rest's sum.
 _NEGLIGIBLE = 45.0
 _G = 0x9E3779B97F4A7C15
@@ -91,6 +90,9 @@ class Vocabulary:
             level = below
         self.node_piece, self.node_weight = np.array(self.node_piece, dtype=np.int64), np.array(self.node_weight)
         self.characters = len(self.code) + 1
+        self.code_of = np.zeros(0x110000, dtype=np.int64)  # by code point; units have spaces for space marks
+        for c, code in self.code.items():
+            self.code_of[ord(" " if c == "▁" else c)] = code
         walk = np.array(sorted((node * self.characters + c, child) for node, c, child in edges), dtype=np.int64)
         self.walk_key, self.walk_child = walk[:, 0].copy(), walk[:, 1].copy()
         # bytes of a piece in the text, where a space mark is a space
@@ -124,9 +126,9 @@ class Lattices:
     """Normalised lattices of distinct units, side by side: states, and edges with conditional probabilities.
 
     What can follow a position, and how likely, depends only on the rest of the unit, so a state is a rest, and units
-    with equal endings share their states. A state knows its first character and the state of what follows it, so pieces
-    are found for all new states at once: a walker a state goes down the trie and along the states. Long units are kept
-    whole, in logarithms.
+    with equal endings share their states. A state is known by its first character and the state of what follows it, so all
+    units find their states together, from their last characters on, and pieces are found for all new states at once: a
+    walker a state goes down the trie and along the states. Long units are kept whole, in logarithms.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -134,12 +136,14 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.states: dict[str, int] = {}  # rest of a unit -> state; all its own rests are there too
+        # (state of what follows + 1, character) -> state, by sorted keys
+        self.known, self.known_state = np.array([-1]), np.array([-1])
         self.whole: dict[str, int] = {}  # long unit -> its first state
         self.sequences: dict[bytes, int] = {}
         self.outside: dict[tuple[int, tuple[int, ...]], float] = {}  # (state, path) -> the probability of all others
-        # of a state: first character, state of the rest after it (-1: none), weight of all ways on, its edges' range
-        self._char, self._tail, self._beta, self._first, self._end = (_Grown(k) for k in ("i8", "i8", "f8", "i8", "i8"))
+        # of a state: first character, state of the rest after it (-1: none), weight of all ways on, its edges' range, and
+        # whether its weights are too small for a product
+        self._char, self._tail, self._beta, self._first, self._end, self._lost = (_Grown(k) for k in ("i8", "i8", "f8", "i8", "i8", "?"))
         # of an edge: probability, its logarithm, the sum up to it, state (-1: the unit's end), piece or the number of a
         # character's bytes after all pieces
         self._mass, self._log, self._cum, self._to, self._ids = (_Grown(k) for k in ("f8", "f8", "f8", "i8", "i8"))
@@ -167,18 +171,20 @@ class Lattices:
             here.append((i + 1, *self._bytes(unit[i])))
         return here
 
-    def states_of(self, units: list[str]) -> np.ndarray:
-        """The first state of each unit; what is missing is added."""
-        states, whole = self.states, self.whole
-        found = list(map(states.get, units))
-        gaps = [i for i, state in enumerate(found) if state is None]
-        if gaps:
-            missing = dict.fromkeys(units[i] for i in gaps)
-            self._add([u for u in missing if len(u) <= _LONG and u not in whole])
-            first = {u: states[u] if u in states else whole[u] if u in whole else self._add_whole(u) for u in missing}
-            for i in gaps:
-                found[i] = first[units[i]]
-        return np.array(found, dtype=np.int64)
+    def states_of(self, units: pa.Array) -> np.ndarray:
+        """The first state of each of distinct units, with spaces for space marks; what is missing is added."""
+        names = units.to_pylist()
+        length = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        chars = np.frombuffer("".join(names).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        short = np.flatnonzero(length <= _LONG)
+        found = np.full(len(names), -1)
+        found[short] = self._add(chars, np.cumsum(length)[short], length[short])
+        apart = found < 0
+        apart[short] = self._lost.now[found[short]]
+        for i in np.flatnonzero(apart):
+            unit = names[i].replace(" ", "▁")
+            found[i] = self.whole[unit] if unit in self.whole else self._add_whole(unit)
+        return found
 
     def _put(self, degree: np.ndarray, mass: np.ndarray, to: np.ndarray, ids: np.ndarray) -> None:
         """Adds the edges of new states, state by state, with normalised masses."""
@@ -194,30 +200,34 @@ class Lattices:
         for grown, values in ((self._first, first), (self._end, end), (self._mass, mass), (self._cum, cum), (self._to, to), (self._ids, ids)):
             grown.add(values)
 
-    def _add(self, units: list[str]) -> None:
-        """Adds the states of units that aren't there; those whose weights are too small for a product are left out."""
-        states, v = self.states, self.vocabulary
-        base = len(self)
-        rests: list[str] = []
-        tails: list[int] = []
-        get, end = states.get, base
-        for rest in units:
-            fresh = []
-            while rest and (after := get(rest)) is None:
-                fresh.append(rest)
-                rest = rest[1:]
-            if not rest:
-                after = -1
-            for rest in reversed(fresh):
-                tails.append(after)
-                states[rest] = after = end
-                end += 1
-            rests += reversed(fresh)
-        m = len(rests)
+    def _add(self, chars: np.ndarray, ends: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The first states of units, given by where they end in ``chars``, and adds those that aren't there."""
+        v, base = self.vocabulary, len(self)
+        last, going, end = np.full(len(ends), -1), np.arange(len(ends)), base
+        keys: list[np.ndarray] = []
+        for n in range(1, _LONG + 1):  # rests of n characters
+            going = going[length[going] >= n]
+            if not len(going):
+                break
+            key, back = np.unique((last[going] + 1) << 21 | chars[ends[going] - n], return_inverse=True)
+            place = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+            state = np.where(self.known[place] == key, self.known_state[place], -1)
+            new = state < 0
+            keys.append(key[new])
+            state[new] = np.arange(end, end + len(keys[-1]))
+            end += len(keys[-1])
+            last[going] = state[back]
+        m = end - base
         if not m:
-            return
-        self._char.add(np.fromiter((v.code.get(r[0], 0) for r in rests), dtype=np.int64, count=m))
-        self._tail.add(np.array(tails, dtype=np.int64))
+            return last
+        lengths = np.repeat(np.arange(1, len(keys) + 1), list(map(len, keys))).astype(np.int8)
+        fresh = np.concatenate(keys)
+        tails, first_char = (fresh >> 21) - 1, fresh & ((1 << 21) - 1)
+        known, states = np.concatenate([self.known, fresh]), np.concatenate([self.known_state, np.arange(base, end)])
+        order = np.argsort(known, kind="stable")
+        self.known, self.known_state = known[order], states[order]
+        self._char.add(v.code_of[first_char])
+        self._tail.add(tails)
         char, tail = self._char.now, self._tail.now
         # a walker a state: down the trie by its characters, a step for all at a time
         state, node, at = np.arange(m), np.zeros(m, dtype=np.int64), base + np.arange(m)
@@ -238,30 +248,29 @@ class Lattices:
             on = at >= 0
             state, node, at = state[on], node[on], at[on]
         spelled = np.flatnonzero(~single)  # characters that are no piece
-        spelling = [self._bytes(rests[k][0]) for k in spelled]
-        edges.insert(0, (spelled, tail[base + spelled], np.array([x for x, _ in spelling], dtype=np.int64), np.array([w for _, w in spelling])))
+        kinds, back = np.unique(first_char[spelled], return_inverse=True)
+        spelling = [self._bytes("▁" if c == 32 else chr(c)) for c in kinds.tolist()]
+        edges.insert(0, (spelled, tail[base + spelled], np.array([x for x, _ in spelling], dtype=np.int64)[back], np.array([w for _, w in spelling])[back]))
         # long pieces first: they are the likeliest, so a draw mostly stops at a state's first edge
         state, to, ids, weight = (np.concatenate(x) for x in zip(*reversed(edges)))
         order = np.argsort(state, kind="stable")
         state, to, ids, weight = state[order], to[order], ids[order], weight[order]
         # backward sums by the length of the rest, shortest first
         self._beta.add(np.ones(m))
-        beta, own = self._beta.now, np.array(tails, dtype=np.int64) - base
-        lengths = np.fromiter(map(len, rests), dtype=np.int8, count=m)
-        lost = np.zeros(m, dtype=bool)
-        by_length, state_order = np.argsort(lengths[state], kind="stable"), np.argsort(lengths, kind="stable")
-        cuts = np.searchsorted(lengths[state][by_length], np.arange(_LONG + 2))
-        state_cuts = np.searchsorted(lengths[state_order], np.arange(_LONG + 2))
-        for n in range(1, _LONG + 1):
-            e, s = by_length[cuts[n] : cuts[n + 1]], state_order[state_cuts[n] : state_cuts[n + 1]]
-            if len(s):
+        self._lost.add(np.zeros(m, dtype=bool))
+        beta, lost = self._beta.now, self._lost.now
+        state_cuts = np.searchsorted(lengths, np.arange(_LONG + 2))  # new states, and so their edges, are in order of length
+        cuts = np.searchsorted(state, state_cuts)
+        for n in range(1, len(keys) + 1):
+            e, s = slice(cuts[n], cuts[n + 1]), slice(state_cuts[n], state_cuts[n + 1])
+            if s.stop > s.start:
                 weight[e] *= np.where(to[e] >= 0, beta[to[e]], 1.0)
-                total = np.bincount(state[e], weights=weight[e], minlength=m)[s]
-                lost[s] = (total < 1e-250) | ((own[s] >= 0) & lost[np.maximum(own[s], 0)])  # products of many rare bytes
-                beta[base + s] = np.where(lost[s], 1.0, total)
+                total = np.bincount(state[e] - s.start, weights=weight[e], minlength=s.stop - s.start)
+                gone = (total < 1e-250) | ((tails[s] >= 0) & lost[tails[s]])  # products of many rare bytes
+                lost[base + s.start : base + s.stop] = gone
+                beta[base + s.start : base + s.stop] = np.where(gone, 1.0, total)
         self._put(np.bincount(state, minlength=m), weight / beta[base + state], to, ids)
-        for k in np.flatnonzero(lost):
-            del states[rests[k]]
+        return last
 
     def _add_whole(self, unit: str) -> int:
         n, base = len(unit), len(self)
@@ -275,7 +284,7 @@ class Lattices:
             shares[i] = [1.0] if len(log) == 1 else [math.exp(x - beta[i]) for x in log]
         flat = [(share, base + j if j < n else -1, sequence) for i in range(n) for share, (j, sequence, _) in zip(shares[i], pieces[i])]
         mass, to, ids = zip(*flat)
-        for grown, value in ((self._char, 0), (self._tail, -1), (self._beta, 1.0)):
+        for grown, value in ((self._char, 0), (self._tail, -1), (self._beta, 1.0), (self._lost, False)):
             grown.add(np.full(n, value))
         self._put(np.array([len(x) for x in pieces]), np.array(mass), np.array(to, dtype=np.int64), np.array(ids, dtype=np.int64))
         if n < 4 * _LONG:
@@ -445,14 +454,30 @@ def _below(log_mass: float, bound: float, u: float) -> float:
     return log_mass - math.log(math.exp(min(log_mass - bound, 700.0)) - math.log(u))
 
 
+def units_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts in order, with a space for each space mark and for the dummy prefix, and how many each text has."""
+    long = pa.large_string()
+    marked = pc.binary_join_element_wise(pa.scalar("", long), pc.replace_substring(pa.array(texts, long), "▁", " "), pa.scalar(" ", long))
+    edges = np.frombuffer(marked.buffers()[1], dtype=np.int64)[: len(marked) + 1] if len(marked) else np.zeros(1, dtype=np.int64)
+    raw = marked.buffers()[2] if len(marked) else pa.py_buffer(b"")
+    space = np.frombuffer(raw, dtype=np.uint8)[: edges[-1]] == ord(" ")
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    starts[edges[:-1]] = True
+    cuts = np.append(np.flatnonzero(starts), edges[-1])
+    units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), raw)
+    return units, np.diff(np.searchsorted(cuts, edges))
+
+
 def sample_texts(lattices: Lattices, keys: list[int], texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` samples in falling order: (ids, log_prob, gumbel, inclusion)."""
     if len(lattices) > _STATES:
         lattices.clear()
-    units = [_UNIT.findall("▁" + t.replace(" ", "▁")) for t in texts]
-    every = lattices.states_of([u for of_text in units for u in of_text])
-    states = np.split(every, np.cumsum([len(of_text) for of_text in units])[:-1]) if texts else []
-    del units
+    units, counts = units_of(texts)
+    coded = units.dictionary_encode()
+    every = lattices.states_of(coded.dictionary)[coded.indices.to_numpy()]
+    states = np.split(every, np.cumsum(counts)[:-1]) if texts else []
+    del units, coded
     lattices.freeze()
     rows = [_mix1((_mix1((seed + (key >> 64)) & _WORD) * _G + (key & _WORD)) & _WORD) for key in keys]
 

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -165,3 +166,18 @@ def test_units_of_many_rare_characters_and_rows_without_a_key(lattices):
 def test_decoded_text_takes_the_place_of_a_clashing_column(spark):
     rows = spark.createDataFrame([([31, 32], 7)], "ids array<int>, TEXT int")
     assert gumbel_pieces.decode_pieces(rows, PIECES).columns == ["ids", "text"]
+
+
+def test_units_are_cut_and_found_for_all_texts_at_once():
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "a", "▁ b▁", "x \n", "é  中 y ", "\U0001f600" * 30 + " end", *("".join(rng.choice(list("ab ▁\n中"), 12)) for _ in range(200))]
+    units, counts = gumbel_pieces.units_of(texts)
+    want = [re.findall("▁*[^▁]+|▁+$", "▁" + t.replace(" ", "▁")) for t in texts]
+    assert counts.tolist() == [len(x) for x in want]
+    assert [u.replace(" ", "▁") for u in units.to_pylist()] == [u for x in want for u in x]
+    own, distinct = gumbel_pieces.Lattices(gumbel_pieces.Vocabulary(PIECES)), units.unique()
+    first = own.states_of(distinct)
+    size = len(own)
+    assert own.states_of(distinct).tolist() == first.tolist() and len(own) == size  # known units add nothing
+    assert own.states_of(distinct.slice(5, 9)).tolist() == first[5:14].tolist()
+    assert gumbel_pieces.units_of([])[1].tolist() == []
