@@ -174,13 +174,14 @@ def follow_up_rounds(
 
     ``asked``: query_id, round, ask_id, terms, what would be asked next; only what is anchored in the evidence shown so far is
     searched for, and only new chunks count: the first ask's that finds one. A query goes on while its last round has
-    shown something new. Each round is stored, so a later one doesn't search again.
+    shown something new. Each round is stored, so a later one doesn't search again, and so is what is asked in it, as a search
+    takes its asks more than once.
     """
     shown = stored(first.select("query_id", F.lit(0).alias("round"), F.lit(None).cast("long").alias("ask_id"), "chunk_id", F.col("rank").cast("int").alias("rank")), "round-0")
     for n in range(1, rounds + 1):
         going = shown.where(F.col("round") == n - 1).select("query_id").distinct()
         now = anchored(asked.where(F.col("round") == n).join(going, "query_id", "left_semi"), shown, terms)
-        found = search(now.select("query_id", "ask_id", "terms")).join(shown.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        found = search(stored(now.select("query_id", "ask_id", "terms"), f"asked-{n}")).join(shown.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         new = best_row(found, ["query_id", "chunk_id"], "rank", "ask_id").select("query_id", F.lit(n).alias("round"), "ask_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
         shown = shown.unionByName(stored(new, f"round-{n}"))
     return shown

@@ -1,5 +1,7 @@
 """Follow-up rounds: anchors, new evidence only, and when a query stops."""
 
+from pyspark.sql import functions as F
+
 from lectern.operators import lanes
 
 CORPUS = {1: ["apple", "tree"], 2: ["apple", "pie"], 3: ["pie", "oven"], 4: ["oven", "steel"], 5: ["moon"]}
@@ -36,3 +38,18 @@ def test_follow_ups_are_anchored_in_what_was_shown(spark):
 def test_a_chunk_is_shown_once_a_query(spark):
     asked = [(1, 1, 10, ["apple"]), (1, 1, 11, ["pie", "apple"]), (1, 2, 12, ["tree", "apple"])]
     assert run(spark, [(1, 1, 1)], asked) == [(1, 1, 10, 2), (1, 1, 11, 3)]
+
+
+def test_asks_of_a_round_are_made_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in CORPUS.items()], "chunk_id long, text string")
+    terms = docs.select("chunk_id", F.split("text", " ").alias("terms"))
+    one = spark.createDataFrame([(1, 1, 1)], "query_id long, chunk_id long, rank int")
+    more = spark.createDataFrame([(1, 1, 10, ["apple"]), (1, 2, 11, ["pie"])], "query_id long, round int, ask_id long, terms array<string>")
+    plans = []
+
+    def search(now):
+        plans.append(now._jdf.queryExecution().optimizedPlan().toString())
+        return now.select("query_id", "ask_id", F.lit(2).cast("long").alias("chunk_id"), F.lit(1).alias("rank"))
+
+    assert lanes.follow_up_rounds(one, more, terms, search).count() == 2
+    assert len(plans) == 2 and not any("Join" in p for p in plans)  # read back, not made again at each use
