@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,22 +77,20 @@ def _bigrams(run: str) -> list[str]:
 
 def lexemes_of(text: str, limit: int) -> list[str]:
     """Distinct lexemes of a text in order of first occurrence, at most ``limit``."""
-    words = _WORD.finditer(unicodedata.normalize("NFC", text).casefold())
-    found = (x for m in words for x in _emitted(m[0]) if x not in _STOP)
-    distinct: dict[str, None] = {}
-    for x in found:
-        distinct[x] = None
-        if len(distinct) == limit:
-            break
-    return list(distinct)
+    folded = unicodedata.normalize("NFC", text).casefold()
+    words = dict.fromkeys(_WORD.findall(folded))  # what a word emits again is no news
+    if not _IDEOGRAPHS.search(folded) and all(map(str.isalnum, words)):  # each word is its own and only lexeme
+        return list(islice((w for w in words if w not in _STOP), limit))
+    distinct = dict.fromkeys(x for w in words for x in _emitted(w) if x not in _STOP)
+    return list(islice(distinct, limit))
 
 
 def _analysed(limit: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def analysed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else lexemes_of(t, limit))
+    def analysed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if t is None else lexemes_of(t, limit) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return analysed.asNondeterministic()  # else a filter on the result, moved below it, runs it twice
+    return F.arrow_udf(analysed, T.ArrayType(T.StringType())).asNondeterministic()  # else a filter on the result, moved below it, runs it twice
 
 
 _DOCUMENT, _QUERY = _analysed(MAX_DOCUMENT_LEXEMES), _analysed(MAX_QUERY_LEXEMES)

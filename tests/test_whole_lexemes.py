@@ -42,3 +42,15 @@ def test_sql_says_the_same_of_odd_texts(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     rows = {r.chunk_id: (r.n, r.lexical_hash) for r in registry.QUERIES["lexeme_index"](spark, str(tmp_path)).collect()}
     assert {i: (n, h) for i, n, h in c.execute(registry.ORACLES["lexeme_index"]).fetchall()} == rows
+
+
+def test_a_word_is_analysed_once_a_text(monkeypatch):
+    from lectern.functions import text
+
+    seen, real = [], text._emitted
+    monkeypatch.setattr(text, "_emitted", lambda word: seen.append(word) or real(word))
+    assert text.lexemes_of("é a-b x a-b é the a-b", 4096) == ["é", "a_b", "b", "x"]
+    assert seen.count("a-b") == 1
+    seen.clear()
+    assert text.lexemes_of("Größe é Größe the é", 4096) == ["grösse", "é"] and not seen
+    assert text.lexemes_of("Größe é x", 2) == ["grösse", "é"]
