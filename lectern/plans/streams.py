@@ -48,7 +48,8 @@ def _delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1, ST2, ST3 as a stream: changes of state of jobs up to the last watermark, with timers for silent ones."""
-    changes = jobs.drained(jobs.job_states(_beats(_delayed(spark, sf_dir)), lateness=f"{DELAY} seconds", silence=SILENCE))
+    states = jobs.job_states(_beats(_delayed(spark, sf_dir)), lateness=f"{DELAY} seconds", silence=SILENCE)
+    changes = jobs.drained(states, tasks=max(16, 2 * spark.sparkContext.defaultParallelism))  # a task costs more than some of the groups
     return changes.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
